@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Scale words with their factors.
@@ -22,31 +24,56 @@ CURRENCIES = {
 NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body
+    names it. Keeps nested pattern matches out of the generated code, where
+    they would be repeated at every use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _choose(text: Column, patterns: dict[str, str]) -> Column:
+    """Name of the first pattern found in the text."""
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(patterns.items()):
+        out = F.when(text.rlike(pattern), name).otherwise(out)
+    return out
+
+
 def normalize_value(raw: Column) -> Column:
     """struct(amount, unit, currency); NULL when the text holds no number.
 
     The amount is in base units, so "840 crore" and "8.4 billion" are equal.
     ``unit`` is the scale word, "%", or the word after the number.
     """
-    text = F.lower(raw)
-    number = F.regexp_extract(text, f"({NUMBER})", 1)
-    after = F.lower(F.regexp_extract(text, rf"{NUMBER}\s*(%|[a-z]+)?", 1))
-    amount = F.regexp_replace(number, ",", "").try_cast("decimal(20,6)")
-    scale = F.lit(None).cast("string")
-    for name, words in reversed(SCALE_WORDS.items()):
-        scale = F.when(after.rlike(f"^({words})$"), name).otherwise(scale)
-    factor = F.lit(1).cast("decimal(13,0)")
-    for name, times in SCALES.items():
-        factor = F.when(scale == name, F.lit(times).cast("decimal(13,0)")).otherwise(factor)
-    currency = F.lit(None).cast("string")
-    for code, pattern in reversed(CURRENCIES.items()):
-        currency = F.when(text.rlike(pattern), code).otherwise(currency)
-    percent = after.isin("%", "percent", "pct") | text.rlike(r"[0-9]\s*per cent")
-    unit = F.when(percent, "%").otherwise(F.coalesce(scale, F.when(after != "", after)))
-    return F.when(
-        amount.isNotNull(),
-        F.struct(
-            (amount * factor).cast("decimal(38,6)").alias("amount"), unit.alias("unit"), currency.alias("currency")
+    factors = F.create_map(*[x for n, f in SCALES.items() for x in (F.lit(n), F.lit(f).cast("decimal(13,0)"))])
+    scale_words = {name: f"^({words})$" for name, words in SCALE_WORDS.items()}
+    found = let(
+        F.lower(raw),
+        lambda text: F.struct(
+            F.regexp_replace(F.regexp_extract(text, f"({NUMBER})", 1), ",", "").try_cast("decimal(20,6)").alias("number"),
+            F.regexp_extract(text, rf"{NUMBER}\s*(%|[a-z]+)?", 1).alias("word"),
+            _choose(text, CURRENCIES).alias("currency"),
+            text.rlike(r"[0-9]\s*per cent").alias("per_cent"),
+        ),
+    )
+    scaled = let(
+        found,
+        lambda f: F.struct(
+            f["number"].alias("number"), f["word"].alias("word"), f["currency"].alias("currency"),
+            _choose(f["word"], scale_words).alias("scale"),
+            (f["per_cent"] | f["word"].isin("%", "percent", "pct")).alias("percent"),
+        ),
+    )
+    return let(
+        scaled,
+        lambda f: F.when(
+            f["number"].isNotNull(),
+            F.struct(
+                (f["number"] * F.coalesce(F.try_element_at(factors, f["scale"]), F.lit(1).cast("decimal(13,0)")))
+                .cast("decimal(38,6)").alias("amount"),
+                F.when(f["percent"], "%").otherwise(F.coalesce(f["scale"], F.nullif(f["word"], F.lit("")))).alias("unit"),
+                f["currency"].alias("currency"),
+            ),
         ),
     )
 
@@ -72,14 +99,25 @@ def normalize_period(raw: Column, fiscal_start_month: int = 4) -> Column:
     start, FY2025 runs from 2024-04-01 to 2025-03-31.
     """
     m = fiscal_start_month
-    first, second = F.regexp_extract(raw, FISCAL, 1), F.regexp_extract(raw, FISCAL, 2)
-    ends_in = _full_year(F.when(second != "", second).otherwise(first))
-    fiscal_start = F.make_date(ends_in - (1 if m > 1 else 0), F.lit(m), F.lit(1))
-    quarter = F.regexp_extract(raw, QUARTER, 1).try_cast("int")
-    quarter_year = F.regexp_extract(raw, CALENDAR_QUARTER, 1).try_cast("int")
-    d1, d2 = F.regexp_extract(raw, DATE_RANGE, 1).try_cast("date"), F.regexp_extract(raw, DATE_RANGE, 2).try_cast("date")
-    day = F.regexp_extract(raw, DATE, 1).try_cast("date")
-    year = F.regexp_extract(raw, CALENDAR, 1).try_cast("int")
+
+    def day(pattern: str, group: int) -> Column:
+        return F.regexp_extract(raw, pattern, group).try_cast("date")
+
+    def number(pattern: str) -> Column:
+        return F.regexp_extract(raw, pattern, 1).try_cast("int")
+
+    fiscal = let(
+        F.struct(F.regexp_extract(raw, FISCAL, 1).alias("a"), F.regexp_extract(raw, FISCAL, 2).alias("b")),
+        lambda y: F.make_date(
+            _full_year(F.when(y["b"] != "", y["b"]).otherwise(y["a"])) - (1 if m > 1 else 0), F.lit(m), F.lit(1)
+        ),
+    )
+    found = F.struct(
+        fiscal.alias("fiscal"), number(QUARTER).alias("quarter"), number(CALENDAR_QUARTER).alias("quarter_year"),
+        day(DATE_RANGE, 1).alias("d1"), day(DATE_RANGE, 2).alias("d2"), day(DATE, 1).alias("day"),
+        number(CALENDAR).alias("year"),
+    )
+    nothing = F.lit(None).cast("date")
 
     def span(kind: str, start: Column, end: Column) -> Column:
         return F.struct(F.lit(kind).alias("time_type"), start.alias("start"), end.alias("end"))
@@ -87,19 +125,19 @@ def normalize_period(raw: Column, fiscal_start_month: int = 4) -> Column:
     def months(kind: str, start: Column, count: int) -> Column:
         return span(kind, start, F.date_sub(F.add_months(start, count), 1))
 
-    nothing = F.lit(None).cast("date")
-    return (
-        F.when(
-            quarter.isNotNull() & fiscal_start.isNotNull(),
-            months("quarter", F.add_months(fiscal_start, (quarter - 1) * 3), 3),
+    return let(
+        found,
+        lambda f: F.when(
+            f["quarter"].isNotNull() & f["fiscal"].isNotNull(),
+            months("quarter", F.add_months(f["fiscal"], (f["quarter"] - 1) * 3), 3),
         )
         .when(
-            quarter_year.isNotNull(),
-            months("quarter", F.make_date(quarter_year, (quarter - 1) * 3 + 1, F.lit(1)), 3),
+            f["quarter_year"].isNotNull(),
+            months("quarter", F.make_date(f["quarter_year"], (f["quarter"] - 1) * 3 + 1, F.lit(1)), 3),
         )
-        .when(fiscal_start.isNotNull(), months("fiscal_year", fiscal_start, 12))
-        .when(d1.isNotNull() & d2.isNotNull(), span("range", d1, d2))
-        .when(day.isNotNull(), span("date", day, day))
-        .when(year.isNotNull(), months("calendar_year", F.make_date(year, F.lit(1), F.lit(1)), 12))
-        .otherwise(span("unspecified", nothing, nothing))
+        .when(f["fiscal"].isNotNull(), months("fiscal_year", f["fiscal"], 12))
+        .when(f["d1"].isNotNull() & f["d2"].isNotNull(), span("range", f["d1"], f["d2"]))
+        .when(f["day"].isNotNull(), span("date", f["day"], f["day"]))
+        .when(f["year"].isNotNull(), months("calendar_year", F.make_date(f["year"], F.lit(1), F.lit(1)), 12))
+        .otherwise(span("unspecified", nothing, nothing)),
     )

@@ -99,16 +99,14 @@ def embed_with(load_model: Callable[[], Model]) -> Callable[[Column], Column]:
     return run.asNondeterministic()
 
 
-def hyperplane_bucket(vector: Column, planes: list[list[float]]) -> Column:
-    """Sign pattern of the vector against fixed hyperplanes, as an integer."""
-    bits = [
-        F.when(dot(vector, F.lit(p).cast("array<double>")) >= 0, F.lit(1 << i)).otherwise(0)
-        for i, p in enumerate(planes)
-    ]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total + bit
-    return total
+def hyperplane_buckets(vector: Column, planes: list[list[float]], bits: int) -> Column:
+    """Sign patterns of the vector against fixed hyperplanes: one integer per
+    run of ``bits`` planes, as an array."""
+    sides = F.transform(F.lit(planes), lambda p: F.when(dot(vector, p) >= 0, 1).otherwise(0))
+    starts = F.lit(list(range(1, len(planes) + 1, bits)))
+    return F.transform(
+        starts, lambda s: F.aggregate(F.slice(sides, s, F.lit(bits)), F.lit(0), lambda acc, bit: acc * 2 + bit)
+    )
 
 
 def random_planes(count: int, dim: int, seed: int = 7) -> list[list[float]]:

@@ -166,6 +166,8 @@ def nearest(
     if not group:
         group = ["_all"]
         anchors, candidates = anchors.withColumn("_all", F.lit(0)), candidates.withColumn("_all", F.lit(0))
+    # Fresh column identities, as both sides may come from one DataFrame.
+    candidates = candidates.select(*[F.col(c).alias(c) for c in candidates.columns])
     keys = [*group, "vkey", *(["owner"] if owned else [])]
     cand = distinct_candidates(candidates, k, group, owned)
     keyed = _vector_key(anchors)
@@ -202,7 +204,7 @@ def nearest(
     flat = left.select(*carried, "ab", "cb", F.col("vkey.a").alias("va"), F.col("vkey.b").alias("vb"), "embedding")
     pairs = (
         flat.groupBy(*group, "ab", "cb")
-        .cogroup(right.drop("vkey").groupBy(*group, "ab", "cb"))
+        .cogroup(right.select(*group, "ab", "cb", *(["owner"] if owned else []), "candidate_id", F.col("embedding").alias("embedding")).groupBy(*group, "ab", "cb"))
         .applyInPandas(tile, schema)
     )
     best = _rank(pairs, [*carried, "va", "vb"], k)
@@ -254,23 +256,23 @@ def nearest_to_questions(
 
 
 def nearest_by_bucket(
-    anchors: DataFrame, candidates: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 6, seed: int = 7
+    anchors: DataFrame, candidates: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 6, seed: int = 7,
+    group: list[str] | None = None,
 ) -> DataFrame:
-    """Approximate ``nearest`` over all candidates: only those that share a
+    """Approximate ``nearest``: only candidates that share a
     hyperplane bucket in one of ``tables`` hash tables are compared, by exact
     distance. Rows without a vector are never found."""
-    from veritrace.functions.vectors import hyperplane_bucket, random_planes
+    from veritrace.functions.vectors import hyperplane_buckets, random_planes
 
     planes = random_planes(tables * bits, dim, seed)
 
     def spread(df: DataFrame) -> DataFrame:
-        buckets = [
-            F.struct(F.lit(i).alias("t"), hyperplane_bucket(F.col("embedding"), planes[i * bits:(i + 1) * bits]).alias("b"))
-            for i in range(tables)
-        ]
-        return df.filter(F.col("embedding").isNotNull()).withColumn("bucket", F.explode(F.array(*buckets)))
+        marked = df.filter(F.col("embedding").isNotNull()).withColumn(
+            "buckets", hyperplane_buckets(F.col("embedding"), planes, bits)
+        )
+        return marked.select("*", F.posexplode("buckets").alias("table", "bucket")).drop("buckets")
 
-    found = nearest(spread(anchors), spread(candidates), k, group=["bucket"])
+    found = nearest(spread(anchors), spread(candidates), k, group=[*(group or []), "table", "bucket"])
     window = Window.partitionBy("anchor_id").orderBy(*distance_order(), "candidate_id")
     return (
         found.select("anchor_id", "candidate_id", "distance").dropDuplicates(["anchor_id", "candidate_id"])
