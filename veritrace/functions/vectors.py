@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -102,7 +103,9 @@ def embed_with(load_model: Callable[[], Model]) -> Callable[[Column], Column]:
 def hyperplane_buckets(vector: Column, planes: list[list[float]], bits: int) -> Column:
     """Sign patterns of the vector against fixed hyperplanes: one integer per
     run of ``bits`` planes, as an array."""
-    sides = F.transform(F.lit(planes), lambda p: F.when(dot(vector, p) >= 0, 1).otherwise(0))
+    # As JSON the planes are one literal, folded when the query is planned.
+    table = F.from_json(F.lit(json.dumps(planes)), "array<array<double>>")
+    sides = F.transform(table, lambda p: F.when(dot(vector, p) >= 0, 1).otherwise(0))
     starts = F.lit(list(range(1, len(planes) + 1, bits)))
     return F.transform(
         starts, lambda s: F.aggregate(F.slice(sides, s, F.lit(bits)), F.lit(0), lambda acc, bit: acc * 2 + bit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # ----------------------------------------------------------------- assembly
 
@@ -24,24 +24,26 @@ def _choice(table: dict[str, str], key: Column) -> Column:
 
 
 def assemble(questions: DataFrame, fact_rows: DataFrame, relation_rows: DataFrame) -> DataFrame:
-    """Components per question by rule, as rows (question_id, component_no,
-    component_type, fact_a_id, fact_b_id, reason).
+    """Components per question by rule, as rows in order of (section, rank,
+    relationship_id): component_type, fact_a_id, fact_b_id, reason.
 
     Text comes first, then a card per retrieved fact in order of distance, then
     a card per relationship of those facts; a question with no facts gets a
-    single uncertainty card. Questions with many relationships stay rows.
+    single uncertainty card. A fact may have any number of relationships, so
+    the list stays rows and is not numbered.
     """
+    key = dict(fact_rows.dtypes)["fact_id"]
     found = fact_rows.select("question_id").distinct().withColumn("answered", F.lit(True))
     heads = questions.select("question_id").join(found, "question_id", "left").select(
-        "question_id", F.lit(0).alias("section"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("relationship_id"),
+        "question_id", F.lit(0).alias("section"), F.lit(0).alias("rank"), F.lit(None).cast("long").alias("relationship_id"),
         F.when(F.col("answered"), "AnswerText").otherwise("UncertaintyCard").alias("component_type"),
-        F.lit(None).cast("long").alias("fact_a_id"), F.lit(None).cast("long").alias("fact_b_id"),
+        F.lit(None).cast(key).alias("fact_a_id"), F.lit(None).cast(key).alias("fact_b_id"),
         F.lit(None).cast("string").alias("reason"),
     )
     cards = fact_rows.select(
-        "question_id", F.lit(1).alias("section"), "rank", F.lit(0).cast("long").alias("relationship_id"),
+        "question_id", F.lit(1).alias("section"), "rank", F.lit(None).cast("long").alias("relationship_id"),
         F.lit("FactCard").alias("component_type"), F.col("fact_id").alias("fact_a_id"),
-        F.lit(None).cast("long").alias("fact_b_id"), F.lit(None).cast("string").alias("reason"),
+        F.lit(None).cast(key).alias("fact_b_id"), F.lit(None).cast("string").alias("reason"),
     )
     relations = (
         relation_rows.withColumn("component_type", _choice(CARD_FOR, F.col("relationship_type")))
@@ -53,10 +55,7 @@ def assemble(questions: DataFrame, fact_rows: DataFrame, relation_rows: DataFram
             _choice(REASON_FOR, F.col("relationship_type")).alias("reason"),
         )
     )
-    order = Window.partitionBy("question_id").orderBy("section", "rank", "relationship_id")
-    return heads.unionByName(cards).unionByName(relations).withColumn(
-        "component_no", F.row_number().over(order) - 1
-    ).select("question_id", "component_no", "component_type", "fact_a_id", "fact_b_id", "reason")
+    return heads.unionByName(cards).unionByName(relations)
 
 
 # --------------------------------------------------------------- validation

@@ -19,6 +19,8 @@ from veritrace.operators.ingest import running_totals
 
 # A document up to this many pages is gathered into one row.
 MAX_GATHERED_PAGES = 256
+# Units up to which the token counts of a document are gathered into one row.
+MAX_GATHERED_UNITS = 8192
 # Units per block on the distributed way; only their token counts move.
 BLOCK_UNITS = 262_144
 
@@ -113,21 +115,36 @@ def _next_starts(tokens: np.ndarray, budget: int, real: int) -> np.ndarray:
     return np.where(j >= n, -1, j - 1)
 
 
-def pack_units(units: DataFrame, budget: int = tx.MAX_CHUNK_TOKENS, block: int = BLOCK_UNITS) -> DataFrame:
-    """Chunk ranges for any number of units per document.
+def pack_units(
+    units: DataFrame, budget: int = tx.MAX_CHUNK_TOKENS, max_units: int = MAX_GATHERED_UNITS, block: int = BLOCK_UNITS
+) -> DataFrame:
+    """Chunk ranges (document_id, first_unit, last_unit) for any number of
+    units per document. Needs only document_id, unit_no and tokens; unit
+    numbers are dense from 0."""
+    narrow = units.select("document_id", F.col("unit_no").cast("long").alias("unit_no"), F.col("tokens").cast("int").alias("tokens"))
+    long_ids = narrow.filter(F.col("unit_no") >= max_units).select("document_id").distinct()
+    short = narrow.join(long_ids, "document_id", "left_anti")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "tokens"))), lambda u: u["tokens"])
+    folded = (
+        short.groupBy("document_id").agg(listed.alias("tokens"))
+        .select("document_id", F.inline(_pack_array(F.col("tokens"), budget)))
+        .select("document_id", F.col("first").cast("long").alias("first_unit"), F.col("last").cast("long").alias("last_unit"))
+    )
+    return folded.unionByName(_pack_blocks(narrow.join(long_ids, "document_id", "left_semi"), budget, block))
+
 
-    Returns (document_id, first_unit, last_unit). Needs only document_id,
-    unit_no and tokens. Every unit counts at least one token, so a chunk spans
-    at most ``budget`` + 2 units; a block plus that many units of the following
-    ones decides every chunk that starts in the block.
+def _pack_blocks(units: DataFrame, budget: int, block: int) -> DataFrame:
+    """``pack_units`` for documents that are not gathered.
+
+    Every unit counts at least one token, so a chunk spans at most ``budget`` +
+    2 units; a block plus that many units of the following ones decides every
+    chunk that starts in the block.
 
     Positions are unit numbers plus one: position 0 is an empty unit put before
     each document, so that the first chunk follows the same rule as the others.
     """
     halo = budget + 4
-    narrow = units.select(
-        "document_id", (F.col("unit_no") + 1).cast("long").alias("at"), F.col("tokens").cast("int").alias("tokens")
-    )
+    narrow = units.select("document_id", (F.col("unit_no") + 1).alias("at"), "tokens")
     heads = narrow.filter("at = 1").select("document_id", F.lit(0).cast("long").alias("at"), F.lit(0).alias("tokens"))
     # Units near the head of a block are also shown to the blocks before it.
     blocks = narrow.unionByName(heads).withColumn(
@@ -249,10 +266,10 @@ def _gathered_chunks(pages: DataFrame, budget: int, sep: str) -> DataFrame:
     )
 
 
-def _distributed_chunks(pages: DataFrame, budget: int, sep: str, block: int) -> DataFrame:
+def _distributed_chunks(pages: DataFrame, budget: int, sep: str, max_units: int, block: int) -> DataFrame:
     """Chunking for documents of any size."""
     units = paragraph_units(pages, sep)
-    ranges = pack_units(units, budget, block)
+    ranges = pack_units(units, budget, max_units, block)
     members = ranges.select(
         "document_id", "first_unit", "last_unit", F.explode(F.sequence("first_unit", "last_unit")).alias("unit_no")
     )
@@ -282,6 +299,7 @@ def build_chunks(
     budget: int = tx.MAX_CHUNK_TOKENS,
     sep: str = tx.PARAGRAPH_SEP,
     max_pages: int = MAX_GATHERED_PAGES,
+    max_units: int = MAX_GATHERED_UNITS,
     block: int = BLOCK_UNITS,
 ) -> DataFrame:
     """Chunks of (document_id, page_number, text) pages.
@@ -298,7 +316,7 @@ def build_chunks(
     # number; this scan reads two narrow columns.
     long_ids = pages.filter(F.col("page_number") > max_pages).select("document_id").distinct()
     short = _gathered_chunks(pages.join(long_ids, "document_id", "left_anti"), budget, sep)
-    long = _distributed_chunks(pages.join(long_ids, "document_id", "left_semi"), budget, sep, block)
+    long = _distributed_chunks(pages.join(long_ids, "document_id", "left_semi"), budget, sep, max_units, block)
     chunks = short.select(*columns).unionByName(long.select(*columns))
     return chunks.withColumn("token_count", tx.token_estimate(F.col("text")))
 

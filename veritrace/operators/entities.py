@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritrace.functions import text as tx
 from veritrace.functions.trigrams import set_similarity, trigrams
+from veritrace.operators.nearest import spread_tiles
 from veritrace.schemas import natural_id
 from veritrace.session import materialize
 
@@ -86,8 +87,9 @@ def _tiles(mentions: DataFrame, entities: DataFrame, k: int, tile: int) -> DataF
             "similarity": np.concatenate(score),
         })
 
-    left = spread(mentions, "mention_id", "m", "e").groupBy("entity_type", "b_m", "b_e")
-    right = spread(entities, "entity_id", "e", "m").groupBy("entity_type", "b_m", "b_e")
+    keys = ["entity_type", "b_m", "b_e"]
+    left = spread_tiles(spread(mentions, "mention_id", "m", "e"), keys).groupBy(*keys)
+    right = spread_tiles(spread(entities, "entity_id", "e", "m"), keys).groupBy(*keys)
     return left.cogroup(right).applyInPandas(best, f"mention_id {m_type}, entity_id {e_type}, similarity double")
 
 
@@ -106,7 +108,11 @@ def candidate_entities(
     mention whose ``k``-th find is above that is done. The others, and those
     with fewer than ``k`` finds, are compared in tiles.
     """
-    asked = mentions.select("mention_id", "entity_type", trigrams(F.col("name")).alias("grams"))
+    # A name that many mentions share is looked up once.
+    named = mentions.select("mention_id", "entity_type", F.col("name").alias("name"))
+    asked = named.groupBy("entity_type", "name").agg(F.min("mention_id").alias("mention_id")).select(
+        "mention_id", "entity_type", trigrams(F.col("name")).alias("grams"), "name"
+    )
     known = entities.select("entity_id", "entity_type", trigrams(F.col("canonical_name")).alias("grams"))
     known_grams = known.select("entity_type", "entity_id", F.size("grams").alias("n_e"), F.explode("grams").alias("gram"))
     rare = known_grams.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= common)
@@ -130,9 +136,11 @@ def candidate_entities(
     )
     done = worst.join(bound, "mention_id").filter((F.col("n") >= k) & (F.col("worst") > F.col("bound"))).select("mention_id")
     rest = _tiles(asked.join(done, "mention_id", "left_anti"), known, k, tile)
-    return first.join(done, "mention_id", "left_semi").select("mention_id", "entity_id", "similarity", "rank").unionByName(
+    best = first.join(done, "mention_id", "left_semi").select("mention_id", "entity_id", "similarity", "rank").unionByName(
         _top(rest, k).select("mention_id", "entity_id", "similarity", "rank")
     )
+    answered = best.join(asked.select("mention_id", "entity_type", "name"), "mention_id").drop("mention_id")
+    return named.join(answered, ["entity_type", "name"]).select("mention_id", "entity_id", "similarity", "rank")
 
 
 def decide(confidence: Column, matched: Column) -> Column:
@@ -192,76 +200,147 @@ def alias_rows(resolved: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs(names: DataFrame, threshold: float = ALIAS) -> DataFrame:
-    """Pairs (later, earlier) of (mention_id, entity_type, seq, grams) rows with
-    similarity at or above ``threshold``, without comparing all pairs.
-
-    Two sets that similar share one of the few rarest trigrams of each, so only
-    the prefix of each set in order of rarity is joined.
-    """
+def _prefixes(names: DataFrame, threshold: float) -> DataFrame:
+    """The rarest trigrams of each (mention_id, entity_type, grams) row, as
+    rows (mention_id, entity_type, gram). Two names at or above ``threshold``
+    share at least one of them."""
     grams = names.select("mention_id", "entity_type", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     freq = grams.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("df"))
     by_rarity = Window.partitionBy("mention_id").orderBy("df", "gram")
-    prefix = (
+    return (
         grams.join(freq, ["entity_type", "gram"]).withColumn("at", F.row_number().over(by_rarity))
         .filter(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-        .select("mention_id", "entity_type", "gram", "n")
+        .select("mention_id", "entity_type", "gram")
     )
-    a, b = prefix.alias("a"), prefix.alias("b")
-    met = a.join(
-        b,
-        (F.col("a.entity_type") == F.col("b.entity_type")) & (F.col("a.gram") == F.col("b.gram"))
-        & (F.col("b.n") >= F.col("a.n") * threshold) & (F.col("a.n") >= F.col("b.n") * threshold)
-        & (F.col("a.mention_id") != F.col("b.mention_id")),
-    ).select(F.col("a.mention_id").alias("later"), F.col("b.mention_id").alias("earlier")).distinct()
-    left = names.select(F.col("mention_id").alias("later"), F.col("seq").alias("l_seq"), F.col("grams").alias("lg"))
-    right = names.select(F.col("mention_id").alias("earlier"), F.col("seq").alias("e_seq"), F.col("grams").alias("eg"))
-    return (
-        met.join(left, "later").join(right, "earlier").filter(F.col("e_seq") < F.col("l_seq"))
-        .withColumn("similarity", set_similarity(F.col("lg"), F.col("eg")))
-        .filter(F.col("similarity").cast("float") >= F.lit(threshold).cast("float"))
-        .select("later", "earlier", "e_seq", "similarity")
+
+
+def _near(grams_a: list, grams_b: list) -> np.ndarray:
+    """Similarity of every set of one block with every set of another."""
+    codes, vocabulary = pd.factorize(np.concatenate([*grams_a, *grams_b]))
+    sizes = np.array([len(g) for g in [*grams_a, *grams_b]])
+    marks = np.zeros((len(sizes), len(vocabulary)), dtype=np.float32)
+    marks[np.repeat(np.arange(len(sizes)), sizes), codes] = 1
+    n = len(grams_a)
+    shared = marks[:n] @ marks[n:].T
+    return shared.astype(np.float64) / (sizes[:n, None] + sizes[None, n:] - shared)
+
+
+def _earlier_in_tiles(asked: DataFrame, others: DataFrame, threshold: float, tile: int = TILE_NAMES) -> DataFrame:
+    """For (mention_id, seq, grams, entity_type, gram) rows in ``asked``: what
+    the earlier, similar ones in ``others`` (with ``seed`` in addition) of the
+    same trigram are. A trigram may be in any number of names, so its names are
+    compared block by block, and a tile says for each asked name only whether
+    an undecided neighbour precedes it and which seed is the most similar."""
+    key = dict(asked.dtypes)["mention_id"]
+    group = ["entity_type", "gram"]
+    counted = asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / tile).alias("na")).join(
+        others.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / tile).alias("nb")), group
     )
 
+    def spread(df: DataFrame, mine: str, other: str) -> DataFrame:
+        cols = [F.col(c).alias(c) for c in df.columns]
+        blocks = df.join(counted, group).select(
+            *cols, F.pmod(F.xxhash64("mention_id"), F.col(f"n{mine}")).cast("int").alias(f"b{mine}"),
+            F.explode(F.sequence(F.lit(0), (F.col(f"n{other}") - 1).cast("int"))).alias(f"b{other}"),
+        )
+        return spread_tiles(blocks, [*group, "ba", "bb"])
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"mention_id": a["mention_id"].iloc[:0], "blocked": [], "seed_id": a["mention_id"].iloc[:0], "similarity": []})
+        b = b.sort_values("mention_id")
+        near = _near(list(a["grams"]), list(b["grams"]))
+        close = (near.astype(np.float32) >= np.float32(threshold)) & (b["seq"].to_numpy()[None, :] < a["seq"].to_numpy()[:, None])
+        seed = b["seed"].to_numpy(dtype=bool)
+        best = np.where(close & seed, near, -1.0)
+        at = best.argmax(axis=1)
+        top = best[np.arange(len(a)), at]
+        return pd.DataFrame({
+            "mention_id": a["mention_id"].to_numpy(), "blocked": (close & ~seed).any(axis=1),
+            "seed_id": pd.Series(b["mention_id"].to_numpy()[at]).where(top >= 0, None), "similarity": np.where(top >= 0, top, np.nan),
+        })
+
+    return spread(asked, "a", "b").groupBy(*group, "ba", "bb").cogroup(
+        spread(others, "b", "a").groupBy(*group, "ba", "bb")
+    ).applyInPandas(compare, f"mention_id {key}, blocked boolean, seed_id {key}, similarity double")
+
 
-def resolve_batch(new: DataFrame, rounds: int = 16) -> DataFrame:
+def resolve_batch(
+    new: DataFrame, rounds: int = 24, threshold: float = ALIAS, small: int = 64, tile: int = TILE_NAMES
+) -> DataFrame:
     """Resolution among mentions that match no stored entity, as if they came
-    one by one: a mention joins the most similar earlier one that became an
-    entity, or becomes an entity itself.
+    one by one in the order of ``seq``: a mention joins the most similar
+    earlier one that became an entity, or becomes an entity itself.
 
     ``new``: mention_id, name, entity_type, seq; distinct by normalized name.
-    Each round settles every mention whose earlier neighbours are settled or
-    overruled, which gives the sequential outcome; chains of undecided
-    neighbours longer than ``rounds`` are closed as entities and marked
-    ``approximate``. Returns mention_id, seed_id, similarity, approximate.
+    Similar names share one of their rarest trigrams. Trigrams with few names
+    are joined once; the others are compared in tiles. In each round an open
+    mention with an entity among its earlier neighbours joins, and one without
+    open or entity neighbours becomes an entity; that is the outcome of going
+    one by one. Names still open after the last round become entities and are
+    marked ``approximate``.
+
+    Returns mention_id, seed_id, similarity, approximate.
     """
     names = materialize(
         new.select("mention_id", "entity_type", "seq", trigrams(F.col("name")).alias("grams")), "batch-names"
     )
-    pairs = materialize(similar_pairs(names), "batch-pairs")
-    state = materialize(names.select("mention_id", F.lit(None).cast("boolean").alias("seed")), "batch-state")
+    prefixes = materialize(_prefixes(names, threshold), "batch-prefixes")
+    size = prefixes.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("n"))
+    few = prefixes.join(size.filter(F.col("n") <= small).drop("n"), ["entity_type", "gram"])
+    many = materialize(
+        prefixes.join(size.filter(F.col("n") > small).drop("n"), ["entity_type", "gram"])
+        .join(names.drop("entity_type"), "mention_id"), "batch-common",
+    )
+    left, right = few.alias("a"), few.alias("b")
+    met = left.join(right, ["entity_type", "gram"]).select(
+        F.col("a.mention_id").alias("mention_id"), F.col("b.mention_id").alias("earlier")
+    ).filter(F.col("mention_id") != F.col("earlier")).distinct()
+    pairs = materialize(
+        met.join(names.select("mention_id", "seq", F.col("grams").alias("a")), "mention_id")
+        .join(names.select(F.col("mention_id").alias("earlier"), F.col("seq").alias("e_seq"), F.col("grams").alias("b")), "earlier")
+        .filter(F.col("e_seq") < F.col("seq"))
+        .withColumn("similarity", set_similarity(F.col("a"), F.col("b")))
+        .filter(F.col("similarity").cast("float") >= F.lit(threshold).cast("float"))
+        .select("mention_id", "earlier", "similarity"), "batch-pairs",
+    )
+
+    def look_back(asked: DataFrame, others: DataFrame) -> DataFrame:
+        """Per asked mention: blocked, and the best seed before it. ``others``
+        has mention_id and seed."""
+        by_pair = pairs.join(asked, "mention_id", "left_semi").join(
+            others.select(F.col("mention_id").alias("earlier"), "seed"), "earlier"
+        ).select(
+            "mention_id", (~F.col("seed")).alias("blocked"), F.when(F.col("seed"), F.col("earlier")).alias("seed_id"),
+            F.when(F.col("seed"), F.col("similarity")).alias("similarity"),
+        )
+        by_tile = _earlier_in_tiles(many.join(asked, "mention_id", "left_semi"), many.join(others, "mention_id"), threshold, tile)
+        return by_pair.unionByName(by_tile).groupBy("mention_id").agg(
+            F.max("blocked").alias("blocked"),
+            F.min(F.when(F.col("seed_id").isNotNull(), F.struct((-F.col("similarity")).alias("s"), "seed_id"))).alias("best"),
+        )
+
+    state = names.select("mention_id", F.lit("open").alias("status"))
     for _ in range(rounds):
-        earlier = pairs.select("later", F.col("earlier").alias("mention_id")).join(state, "mention_id").groupBy("later").agg(
-            F.max(F.col("seed").cast("int")).alias("any_seed"), F.count_if(F.col("seed").isNull()).alias("n_open")
-        ).withColumnRenamed("later", "mention_id")
-        settled = (
-            F.when(F.col("seed").isNotNull(), F.col("seed"))
-            .when(F.col("any_seed") == 1, False)
-            .when(F.coalesce("n_open", F.lit(0)) == 0, True)
+        seen = look_back(
+            state.filter(F.col("status") == "open").select("mention_id"),
+            state.filter(F.col("status") != "joined").select("mention_id", (F.col("status") == "seed").alias("seed")),
         )
-        state = materialize(
-            state.join(earlier, "mention_id", "left").select("mention_id", settled.alias("seed")), "batch-state"
+        status = (
+            F.when(F.col("status") != "open", F.col("status")).when(F.col("best").isNotNull(), "joined")
+            .when(~F.coalesce("blocked", F.lit(False)), "seed").otherwise("open")
         )
-        if state.filter(F.col("seed").isNull()).isEmpty():
+        state = materialize(state.join(seen, "mention_id", "left").select("mention_id", status.alias("status")), "batch-state")
+        if state.filter(F.col("status") == "open").isEmpty():
             break
-    final = state.select("mention_id", F.col("seed").isNull().alias("approximate"), F.coalesce("seed", F.lit(True)).alias("seed"))
-    seeds = final.filter("seed").select(F.col("mention_id").alias("earlier"))
-    best = pairs.join(seeds, "earlier").groupBy("later").agg(
-        F.min(F.struct((-F.col("similarity")).alias("s"), "e_seq", "earlier")).alias("b")
-    ).select(F.col("later").alias("mention_id"), F.col("b.earlier").alias("seed_id"), (-F.col("b.s")).alias("similarity"))
+    final = state.select(
+        "mention_id", (F.col("status") != "joined").alias("seed"), (F.col("status") == "open").alias("approximate")
+    )
+    best = look_back(
+        final.filter(~F.col("seed")).select("mention_id"), final.filter("seed").select("mention_id", "seed")
+    ).select("mention_id", "best")
     return final.join(best, "mention_id", "left").select(
         "mention_id",
-        F.when(F.col("seed"), F.col("mention_id")).otherwise(F.col("seed_id")).alias("seed_id"),
-        F.when(F.col("seed"), 1.0).otherwise(F.col("similarity")).alias("similarity"),
-        "approximate",
+        F.when(F.col("seed"), F.col("mention_id")).otherwise(F.col("best.seed_id")).alias("seed_id"),
+        F.when(F.col("seed"), 1.0).otherwise(-F.col("best.s")).alias("similarity"), "approximate",
     )

@@ -152,6 +152,12 @@ def _blocks(df: DataFrame, group: list[str], salt: Column, other: DataFrame, min
     )
 
 
+def spread_tiles(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Shuffles by tile into a fixed number of partitions. Tiles are small in
+    bytes but heavy on the processor, so they must not be merged by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def nearest(
     anchors: DataFrame, candidates: DataFrame, k: int, group: list[str] | None = None, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
@@ -202,9 +208,12 @@ def nearest(
         return out
 
     flat = left.select(*carried, "ab", "cb", F.col("vkey.a").alias("va"), F.col("vkey.b").alias("vb"), "embedding")
+    other = right.select(
+        *group, "ab", "cb", *(["owner"] if owned else []), "candidate_id", F.col("embedding").alias("embedding")
+    )
+    tiles = [*group, "ab", "cb"]
     pairs = (
-        flat.groupBy(*group, "ab", "cb")
-        .cogroup(right.select(*group, "ab", "cb", *(["owner"] if owned else []), "candidate_id", F.col("embedding").alias("embedding")).groupBy(*group, "ab", "cb"))
+        spread_tiles(flat, tiles).groupBy(*tiles).cogroup(spread_tiles(other, tiles).groupBy(*tiles))
         .applyInPandas(tile, schema)
     )
     best = _rank(pairs, [*carried, "va", "vb"], k)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veritrace.functions import labels, values
 from veritrace.operators.nearest import nearest, nearest_by_bucket
 from veritrace.operators.views import first_evidence
+from veritrace.session import materialize
 
 # Fixed value: related facts per fact.
 RELATED = 5
@@ -30,6 +31,9 @@ def related_facts(facts: DataFrame, anchors: DataFrame | None = None, k: int = R
     pool = facts.filter((F.col("status") == "active") & F.col("predicate_id").isNotNull()).select(
         F.col("fact_id").alias("candidate_id"), "predicate_id", F.col("document_id").alias("owner"), "embedding"
     )
+    if anchors is not None:
+        # A few arriving anchors touch only the facts of their predicates.
+        pool = pool.join(asked.select("predicate_id").distinct(), "predicate_id", "left_semi")
     return _pairs(nearest(asked, pool, k, group=["predicate_id"]))
 
 
@@ -159,13 +163,20 @@ def insert_relationships(judged: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def candidate_pairs(facts: DataFrame, stored: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Pairs to be judged. They are looked at several times from here on, so
+    they are written once rather than searched for each time."""
+    pairs = new_pairs(dedupe_pairs(related_facts(facts, anchors)), stored)
+    return materialize(pairs.select("fact_a_id", "fact_b_id"), "pairs")
+
+
 def reason(
     facts: DataFrame, evidence: DataFrame, documents: DataFrame, entities: DataFrame, predicates: DataFrame,
     stored: DataFrame, anchors: DataFrame | None = None, classify=classify_pairs,
 ) -> DataFrame:
     """New relationships of the anchors (default: every active fact)."""
     anchors = facts.filter(F.col("status") == "active") if anchors is None else anchors
-    pairs = new_pairs(dedupe_pairs(related_facts(facts, anchors)), stored)
+    pairs = candidate_pairs(facts, stored, anchors)
     return insert_relationships(
         classify(reasoning_context(pairs, facts, evidence, documents, entities, predicates)), stored
     )

@@ -13,14 +13,25 @@ LIST_LIMIT = 200
 def fact_view(
     facts: DataFrame, documents: DataFrame, entities: DataFrame, predicates: DataFrame, evidence: DataFrame
 ) -> DataFrame:
-    """Facts with file name ("" if the document is gone), subject, predicate
-    and their evidence ordered by page. Vectors are not read."""
-    quotes = evidence.groupBy("fact_id").agg(
+    """Facts with file name ("" if the document is gone), subject, predicate,
+    and one row per piece of evidence, or one without any. The order within a
+    fact is (page_number, evidence_id). Vectors are not read.
+
+    Kept as rows because a fact may have any amount of evidence; a bounded
+    listing may nest them with ``nest_evidence``.
+    """
+    quotes = evidence.select("fact_id", "page_number", "evidence_id", "quote")
+    return named_facts(facts, documents, entities, predicates).join(quotes, "fact_id", "left")
+
+
+def nest_evidence(listed: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The facts of a listing of bounded length with their evidence as an array
+    ordered by page. Only evidence of the listed facts is gathered."""
+    quotes = evidence.join(listed.select("fact_id"), "fact_id", "left_semi").groupBy("fact_id").agg(
         F.array_sort(F.collect_list(F.struct("page_number", "evidence_id", "quote"))).alias("evidence")
     )
-    return named_facts(facts, documents, entities, predicates).join(quotes, "fact_id", "left").withColumn(
-        "evidence", F.coalesce("evidence", F.expr("cast(array() as array<struct<page_number:int,evidence_id:string,quote:string>>)"))
-    )
+    empty = F.expr("cast(array() as array<struct<page_number:int,evidence_id:string,quote:string>>)")
+    return listed.join(quotes, "fact_id", "left").withColumn("evidence", F.coalesce("evidence", empty))
 
 
 def named_facts(facts: DataFrame, documents: DataFrame, entities: DataFrame, predicates: DataFrame) -> DataFrame:

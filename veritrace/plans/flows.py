@@ -31,27 +31,21 @@ class Store:
         "facts": schemas.FACTS, "evidence": schemas.EVIDENCE, "relationships": schemas.RELATIONSHIPS,
         "jobs": schemas.JOB_EVENTS,
     }
-    KEYS = {
-        "documents": ["document_id"], "pages": ["document_id", "page_number"], "chunks": ["chunk_id"],
-        "predicates": ["canonical_name"], "entities": ["normalized_key", "entity_type"],
-        "aliases": ["entity_id", "alias_text", "source_chunk_id"], "facts": ["fact_id"], "evidence": ["evidence_id"],
-        "relationships": ["fact_a_id", "fact_b_id"], "jobs": ["document_id", "stage", "seq"],
-    }
 
-    def read(self, name: str) -> DataFrame:
-        return tables.read_table(self.spark, f"{self.root}/{name}", self.SCHEMAS[name])
+    def read(self, name: str, before: int | None = None) -> DataFrame:
+        """The table, or what batches before the given one wrote."""
+        return tables.read_table(self.spark, f"{self.root}/{name}", self.SCHEMAS[name], before)
 
-    def add(self, name: str, rows: DataFrame) -> None:
-        """Appends the rows whose key is not stored; a replay adds nothing."""
-        tables.append_absent(rows, f"{self.root}/{name}", self.SCHEMAS[name], self.KEYS[name])
+    def write(self, name: str, rows: DataFrame, batch: int) -> None:
+        tables.write_batch(rows, f"{self.root}/{name}", self.SCHEMAS[name], batch)
 
 
-def fresh_documents(store: Store, arrivals: DataFrame) -> DataFrame:
+def fresh_documents(store: Store, arrivals: DataFrame, batch: int) -> DataFrame:
     """Arrivals (filename, text; file names unique) whose content is neither
     stored nor in an earlier arrival. The document id is the content's hash."""
     docs = ingest.fingerprint_documents(arrivals, "text", mime="text/plain")
     narrow = docs.select(F.col("filename").alias("document_id"), "sha256", F.col("filename").alias("arrival"))
-    stored = store.read("documents").select("document_id", "sha256")
+    stored = store.read("documents", before=batch).select("document_id", "sha256")
     winners = ingest.new_documents(ingest.dedupe_documents(narrow, stored)).select(F.col("document_id").alias("filename"))
     return docs.join(winners, "filename", "left_semi").withColumn(
         "document_id", schemas.natural_id(F.lit("document"), "sha256")
@@ -68,10 +62,10 @@ def text_pages(docs: DataFrame, repair: bool = True) -> DataFrame:
     )
 
 
-def _resolve_subjects(store: Store, proposed: DataFrame) -> DataFrame:
+def _resolve_subjects(store: Store, proposed: DataFrame, batch: int) -> DataFrame:
     """Entity for each distinct (normalized name, type), storing what is new.
     Returns subject_key, subject_type, entity_id."""
-    stored = store.read("entities")
+    stored = store.read("entities", before=batch)
     mentions = materialize(
         proposed.groupBy(tx.normalized_key(F.col("subject")).alias("key"), F.col("subject_type").alias("entity_type")).agg(
             F.min(F.struct("chunk_id", "fact_no", "subject")).alias("m")
@@ -95,12 +89,12 @@ def _resolve_subjects(store: Store, proposed: DataFrame) -> DataFrame:
         F.col("mention_id").alias("seed_id"), schemas.natural_id(F.lit("entity"), "entity_type", "key").alias("entity_id"),
         F.col("name").alias("canonical_name"), "entity_type", F.col("key").alias("normalized_key"),
     )
-    store.add("entities", created)
+    store.write("entities", created, batch)
     linked = seeds.join(created.select("seed_id", "entity_id"), "seed_id")
     weak = linked.filter(
         (F.col("mention_id") != F.col("seed_id")) & (F.col("similarity") < F.lit(entities.LINK).cast("float"))
     ).select("entity_id", F.col("name").alias("alias_text"), F.col("similarity").alias("confidence"), F.col("chunk_id").alias("source_chunk_id"))
-    store.add("aliases", entities.alias_rows(resolved).unionByName(weak))
+    store.write("aliases", entities.alias_rows(resolved).unionByName(weak), batch)
     old = resolved.filter(F.col("decision") != "new").select("key", "entity_type", "entity_id")
     return old.unionByName(linked.select("key", "entity_type", "entity_id"))
 
@@ -117,22 +111,21 @@ def ingest_documents(
     their facts with everything stored.
 
     Stage results are written before they are used again, so a provider is
-    called once per row. The document rows go last: until then a replay of the
-    batch repeats it, and deterministic ids keep it from storing rows twice.
+    called once per row. ``batch`` numbers must grow; repeating a number
+    replaces what that batch stored, which makes replays harmless.
     """
-    docs = materialize(fresh_documents(store, arrivals), "docs")
+    docs = materialize(fresh_documents(store, arrivals, batch), "docs")
     pages = materialize(text_pages(docs), "pages")
-    store.add("pages", pages)
+    store.write("pages", pages, batch)
 
     chunks = chunking.build_chunks(pages).withColumn("chunk_id", schemas.natural_id("document_id", "chunk_no"))
     chunks = materialize(chunking.embed_chunks(chunks, embed), "chunks")
-    store.add("chunks", chunks)
+    store.write("chunks", chunks, batch)
 
-    proposed = extraction.ground(extract(chunks))
-    proposed = materialize(proposed, "proposed")
+    proposed = materialize(extraction.ground(extract(chunks)), "proposed")
     grounded = extraction.keep_grounded(proposed)
-    store.add("predicates", ontology.grow_ontology(grounded, store.read("predicates")))
-    subjects = _resolve_subjects(store, grounded)
+    store.write("predicates", ontology.grow_ontology(grounded, store.read("predicates", before=batch)), batch)
+    subjects = _resolve_subjects(store, grounded, batch)
     named = ontology.lookup_predicates(grounded, store.read("predicates")).withColumn(
         "key", tx.normalized_key(F.col("subject"))
     ).join(
@@ -140,26 +133,25 @@ def ingest_documents(
         ["key", "subject_type"], "left",
     )
     facts = materialize(extraction.build_facts(named), "facts")
-    evidence = extraction.build_evidence(facts)
-    store.add("facts", facts)
-    store.add("evidence", evidence)
+    store.write("facts", facts, batch)
+    store.write("evidence", extraction.build_evidence(facts), batch)
+
+    counts = pages.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("page_count"))
+    store.write("documents", ingest.document_rows(docs).drop("page_count", "status", "processed_at").join(
+        counts, "document_id", "left"
+    ).withColumns({"status": F.lit("ready"), "processed_at": F.current_timestamp()}), batch)
 
     related = reasoning.reason(
-        store.read("facts"), store.read("evidence"),
-        store.read("documents").select("document_id", "filename").unionByName(docs.select("document_id", "filename")),
-        store.read("entities"), store.read("predicates"), store.read("relationships"), anchors=facts, classify=classify,
+        store.read("facts"), store.read("evidence"), store.read("documents"), store.read("entities"),
+        store.read("predicates"), store.read("relationships", before=batch), anchors=facts, classify=classify,
     )
-    store.add("relationships", related)
-    store.add("jobs", _events(docs, pages, chunks, proposed, batch))
-    counts = pages.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
-    rows = ingest.document_rows(docs).drop("page_count", "status", "processed_at").join(counts, "document_id", "left")
-    store.add("documents", rows.select(
-        "*", F.col("n_pages").alias("page_count"), F.lit("ready").alias("status"),
-        F.current_timestamp().alias("processed_at"),
-    ))
+    store.write("relationships", related, batch)
+    store.write("jobs", _events(docs, pages, chunks, proposed, store.read("relationships"), facts, batch), batch)
 
 
-def _events(docs: DataFrame, pages: DataFrame, chunks: DataFrame, proposed: DataFrame, batch: int) -> DataFrame:
+def _events(
+    docs: DataFrame, pages: DataFrame, chunks: DataFrame, proposed: DataFrame, related: DataFrame, facts: DataFrame, batch: int
+) -> DataFrame:
     """One closing event per document and stage, with the stage's metrics."""
     def closing(counts: DataFrame, stage: str, **metrics) -> DataFrame:
         seq = F.lit(batch * len(runlog.STAGES) + runlog.STAGES.index(stage))
@@ -174,11 +166,13 @@ def _events(docs: DataFrame, pages: DataFrame, chunks: DataFrame, proposed: Data
         F.count_if(F.col("grounding") == "exact").alias("kept"), F.count_if(F.col("grounding") == "none").alias("dropped"),
         F.count_if(F.col("grounding") == "normalized").alias("not_verbatim"),
     )
+    owners = facts.select(F.col("fact_id").alias("fact_a_id"), "document_id")
     return (
         closing(count(pages), "extract_text", pages="n")
         .unionByName(closing(count(chunks), "chunk", chunks="n"))
         .unionByName(closing(count(chunks.filter(F.col("embedding").isNotNull())), "embed", embedded="n"))
         .unionByName(closing(drops, "extract_facts", facts="kept", dropped_ungrounded="dropped", dropped_not_verbatim="not_verbatim"))
+        .unionByName(closing(count(related.join(owners, "fact_a_id")), "reason_relationships", relationships_created="n"))
     )
 
 

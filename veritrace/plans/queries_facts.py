@@ -450,8 +450,7 @@ def pair_new(t):
 
 
 def _fresh(t):
-    pairs = reasoning.dedupe_pairs(reasoning.related_facts(t("fx_facts")))
-    return reasoning.new_pairs(pairs, t("fx_relationships"))
+    return reasoning.candidate_pairs(t("fx_facts"), t("fx_relationships"))
 
 
 @query("first_evidence", """

@@ -156,12 +156,26 @@ def evidence_bundle(t):
 
 @query("fact_view", f"""
     WITH {VIEW_SQL}
-    SELECT fact_id, document_filename, subject, predicate, value_raw, evidence FROM views""")
+    SELECT v.fact_id, v.document_filename, v.subject, v.predicate, v.value_raw, e.page_number, e.evidence_id, e.quote
+    FROM views v LEFT JOIN fx_evidence e ON e.fact_id = v.fact_id""")
 def fact_view(t):
+    return _views(t).select(
+        "fact_id", "document_filename", "subject", "predicate", "value_raw", "page_number", "evidence_id", "quote"
+    )
+
+
+# The newest facts as the listing shows them, evidence nested.
+@query("fact_view_recent", f"""
+    WITH {VIEW_SQL}
+    SELECT fact_id, document_filename, subject, predicate, value_raw, evidence FROM views WHERE status = 'active'
+    ORDER BY created_at DESC, fact_id DESC LIMIT 200""")
+def fact_view_recent(t):
+    recent = views.recent_facts(t("fx_facts"))
+    named = views.named_facts(recent, t("fx_documents"), t("fx_entities"), t("fx_predicates"))
     joined = F.array_join(
         F.transform("evidence", lambda e: F.concat(e["page_number"].cast("string"), F.lit(":"), e["quote"])), ";"
     )
-    return _views(t).select(
+    return views.nest_evidence(named, t("fx_evidence")).select(
         "fact_id", "document_filename", "subject", "predicate", "value_raw", joined.alias("evidence")
     )
 

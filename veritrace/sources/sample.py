@@ -8,6 +8,7 @@ SQL engine share, so a check can run the very same projection.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -111,6 +112,10 @@ PROJECTIONS = {
 }
 
 
+# Schemas by path; reading them once spares a job per use.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def _names(sql: str) -> list[str]:
     return [n for n in (*TABLES, *PROJECTIONS) if "{" + n + "}" in sql]
 
@@ -118,7 +123,10 @@ def _names(sql: str) -> list[str]:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A sample table, or one of the projections."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = spark.read.parquet(path).schema
+        return spark.read.schema(_SCHEMAS[path]).parquet(path)
     sql = PROJECTIONS[name]
     return spark.sql(sql, **{n: load(spark, sf_dir, n) for n in _names(sql)})
 

@@ -18,29 +18,36 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame
     )
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored table, or an empty one where nothing was written yet."""
+def exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def absent_rows(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not stored, one row per key.
+def read_table(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
+    """A stored table, or an empty one where nothing was written yet.
 
-    The stored side is reduced to its keys before the anti join.
+    Rows lie in one folder per batch; ``before`` reads only the folders of
+    earlier batches.
     """
-    return new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    if before is not None:
+        rows = rows.filter(rows["batch"] < before)
+    return rows.drop("batch")
 
 
-def append(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Appends ``df`` with the columns and types of the table."""
-    cols = [df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
-    df.select(*cols).write.mode("append").parquet(path)
+def write_batch(rows: DataFrame, path: str, schema: T.StructType, batch: int) -> None:
+    """Writes the rows of one batch with the columns and types of the table.
+
+    A replayed batch replaces its own folder, so it stores nothing twice and
+    needs no comparison with what other batches wrote.
+    """
+    cols = [rows[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
+    rows.select(*cols).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def append_absent(df: DataFrame, path: str, schema: T.StructType, keys: list[str]) -> None:
-    """Insert-if-absent: the parquet form of an upsert that keeps the old row."""
-    append(absent_rows(df, read_table(df.sparkSession, path, schema), keys), path, schema)
+def absent_rows(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """Insert-if-absent: rows of ``new`` whose key is not stored, one per key.
+    The stored side is reduced to its keys before the anti join."""
+    return new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")

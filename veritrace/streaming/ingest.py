@@ -19,8 +19,8 @@ def pair_arrivals(stored: DataFrame, arrived: DataFrame, k: int = RELATED) -> Da
 def start_ingest(arrivals: DataFrame, store: Store, checkpoint: str, available_now: bool = False, **providers):
     """Starts the streaming query over an ``arrivals`` stream (filename, text).
 
-    Replays are harmless: ids come from content, and inserts skip what is
-    stored, so a batch that ran half way adds only its missing rows.
+    Replays are harmless: ids come from content, and a batch that ran half way
+    replaces what it stored.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         ingest_documents(store, batch, batch=batch_id, **providers)
