@@ -144,14 +144,21 @@ def _pack_blocks(units: DataFrame, budget: int, block: int) -> DataFrame:
     each document, so that the first chunk follows the same rule as the others.
     """
     halo = budget + 4
-    narrow = units.select("document_id", (F.col("unit_no") + 1).alias("at"), "tokens")
-    heads = narrow.filter("at = 1").select("document_id", F.lit(0).cast("long").alias("at"), F.lit(0).alias("tokens"))
+    unit = F.struct((F.col("unit_no") + 1).alias("at"), F.col("tokens").alias("tokens"))
+    head = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("tokens"))
+    placed = units.select(
+        "document_id", F.inline(F.when(F.col("unit_no") == 0, F.array(head, unit)).otherwise(F.array(unit)))
+    )
     # Units near the head of a block are also shown to the blocks before it.
-    blocks = narrow.unionByName(heads).withColumn(
+    blocks = placed.withColumn(
         "block",
         F.explode(F.sequence(F.greatest(F.floor((F.col("at") - halo) / block), F.lit(0)), F.floor(F.col("at") / block))),
     )
 
+    def same(pdf: pd.DataFrame, n: int) -> pd.Series:
+        """The document's id, n times, with no dtype of its own."""
+        return pd.Series([pdf["document_id"].iloc[0]] * n if n else [], dtype=object)
+
     def load(pdf: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         pdf = pdf.sort_values("at")
         base = int(pdf["block"].iloc[0]) * block
@@ -168,7 +175,7 @@ def _pack_blocks(units: DataFrame, budget: int, block: int) -> DataFrame:
         # A chunk from an earlier block enters within the first units.
         entry = np.arange(1 if base == 0 else min(real, halo))
         return pd.DataFrame({
-            "document_id": pdf["document_id"].iloc[0],
+            "document_id": same(pdf, len(entry)),
             "entry": entry + base,
             "leave": np.where(out[entry] < 0, -1, out[entry] + base),
         })
@@ -180,7 +187,7 @@ def _pack_blocks(units: DataFrame, budget: int, block: int) -> DataFrame:
             seen.append(at)
             at = leave[at]
         return pd.DataFrame({
-            "document_id": pdf["document_id"].iloc[0], "block": [s // block for s in seen], "entry": seen,
+            "document_id": same(pdf, len(seen)), "block": [s // block for s in seen], "entry": seen,
         })
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -193,8 +200,7 @@ def _pack_blocks(units: DataFrame, budget: int, block: int) -> DataFrame:
                 first.append(max(at + base - 1, 0))
                 last.append(end + base - 1)
                 at = int(hop[at])
-        doc = left["document_id"].iloc[0] if first else None
-        return pd.DataFrame({"document_id": [doc] * len(first), "first_unit": first, "last_unit": last})
+        return pd.DataFrame({"document_id": same(left, len(first)), "first_unit": first, "last_unit": last})
 
     key = dict(units.dtypes)["document_id"]
     entries = (

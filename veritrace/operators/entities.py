@@ -19,7 +19,7 @@ ALIAS = 0.75
 
 # A trigram in more names than this is common: it is left out of the first
 # search, and the names for which that might matter are searched in tiles.
-COMMON_NAMES = 1000
+COMMON_NAMES = 64
 TILE_NAMES = 2048
 
 

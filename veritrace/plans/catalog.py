@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veritrace.session import prepare
 from veritrace.sources import sample
 
 Loader = Callable[[str], DataFrame]
@@ -20,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Callable[[Loader], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(partial(sample.load, spark, sf_dir))
+            return fn(partial(sample.load, prepare(spark), sf_dir, spread=True))
 
         QUERIES[name] = run
         if sql is not None:

@@ -11,7 +11,7 @@ from veritrace import schemas
 from veritrace.functions import text as tx
 from veritrace.functions.vectors import embed_hash
 from veritrace.operators import answers, chunking, entities, extraction, ingest, ontology, reasoning, retrieval, runlog, views
-from veritrace.session import materialize
+from veritrace.session import materialize, prepare
 from veritrace.sources import tables
 
 # Pages of a plain-text document are separated by form feeds.
@@ -25,6 +25,9 @@ class Store:
     spark: SparkSession
     root: str
 
+    def __post_init__(self) -> None:
+        prepare(self.spark)
+
     SCHEMAS = {
         "documents": schemas.DOCUMENTS, "pages": schemas.PAGES, "chunks": schemas.CHUNKS,
         "predicates": schemas.PREDICATES, "entities": schemas.ENTITIES, "aliases": schemas.ALIASES,

@@ -15,6 +15,7 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -36,6 +37,25 @@ def local_session(cpus: int | str = 8, app: str = "veritrace", memory: str = "12
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that results depend on, for sessions made elsewhere.
+
+    Spark 4.1 takes a union of two sides with equal hash partitioning as
+    partitioned, but adaptive execution may merge the partitions of the two
+    sides differently; a grouping on top then splits keys. Times are UTC.
+    """
+    for key in ("spark.sql.unionOutputPartitioning", "spark.sql.session.timeZone"):
+        spark.conf.set(key, BASE_CONF[key])
+    return spark
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table out to all cores when it has fewer files than
+    there are cores. Tables of many files, as on a cluster, are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 

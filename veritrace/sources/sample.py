@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from veritrace.session import spread_small
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -120,15 +122,20 @@ def _names(sql: str) -> list[str]:
     return [n for n in (*TABLES, *PROJECTIONS) if "{" + n + "}" in sql]
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Tables with work to spread over the cores even when they are one file.
+LARGE = {"documents", "conversations", "pages", "orders", "lineitem", "events", "customer", "part", "embeddings"}
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A sample table, or one of the projections."""
     if name in TABLES:
         path = f"{sf_dir}/{name}.parquet"
         if path not in _SCHEMAS:
             _SCHEMAS[path] = spark.read.parquet(path).schema
-        return spark.read.schema(_SCHEMAS[path]).parquet(path)
+        table = spark.read.schema(_SCHEMAS[path]).parquet(path)
+        return spread_small(table) if spread and name in LARGE else table
     sql = PROJECTIONS[name]
-    return spark.sql(sql, **{n: load(spark, sf_dir, n) for n in _names(sql)})
+    return spark.sql(sql, **{n: load(spark, sf_dir, n, spread) for n in _names(sql)})
 
 
 def with_projections(sql: str) -> str:
