@@ -78,12 +78,13 @@ def normalize_value(raw: Column) -> Column:
     )
 
 
-FISCAL = r"(?i)(?:\bfy|\bfinancial year|\bfiscal year|\bfiscal)\s*'?([0-9]{4}|[0-9]{2})(?:\s*[-–/]\s*([0-9]{4}|[0-9]{2}))?\b"
-QUARTER = r"(?i)\bq([1-4])\b"
+# Patterns for lower-cased text.
+FISCAL = r"(?:\bfy|\bfinancial year|\bfiscal year|\bfiscal)\s*'?([0-9]{4}|[0-9]{2})(?:\s*[-–/]\s*([0-9]{4}|[0-9]{2}))?\b"
+QUARTER = r"\bq([1-4])\b"
 DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
-DATE_RANGE = rf"(?i){DATE}\s*(?:to|–|until)\s*{DATE}"
-CALENDAR = r"(?i)^\s*(?:cy\s*|calendar year\s*)?([0-9]{4})\s*$"
-CALENDAR_QUARTER = r"(?i)\bq[1-4]\s+([0-9]{4})\b"
+DATE_RANGE = rf"{DATE}\s*(?:to|–|until)\s*{DATE}"
+CALENDAR = r"^\s*(?:cy\s*|calendar year\s*)?([0-9]{4})\s*$"
+CALENDAR_QUARTER = r"\bq[1-4]\s+([0-9]{4})\b"
 
 
 def _full_year(digits: Column) -> Column:
@@ -100,23 +101,25 @@ def normalize_period(raw: Column, fiscal_start_month: int = 4) -> Column:
     """
     m = fiscal_start_month
 
-    def day(pattern: str, group: int) -> Column:
-        return F.regexp_extract(raw, pattern, group).try_cast("date")
+    # A pattern is tried only where a character it needs is there.
+    def part(text: Column, needs: str, pattern: str, group: int = 1) -> Column:
+        return F.when(F.contains(text, F.lit(needs)), F.nullif(F.regexp_extract(text, pattern, group), F.lit("")))
 
-    def number(pattern: str) -> Column:
-        return F.regexp_extract(raw, pattern, 1).try_cast("int")
+    def fiscal(text: Column) -> Column:
+        year = F.coalesce(part(text, "f", FISCAL, 2), part(text, "f", FISCAL, 1))
+        return let(year, lambda y: F.make_date(_full_year(y) - (1 if m > 1 else 0), F.lit(m), F.lit(1)))
 
-    fiscal = let(
-        F.struct(F.regexp_extract(raw, FISCAL, 1).alias("a"), F.regexp_extract(raw, FISCAL, 2).alias("b")),
-        lambda y: F.make_date(
-            _full_year(F.when(y["b"] != "", y["b"]).otherwise(y["a"])) - (1 if m > 1 else 0), F.lit(m), F.lit(1)
+    found = let(
+        F.lower(raw),
+        lambda text: F.struct(
+            fiscal(text).alias("fiscal"), part(text, "q", QUARTER).try_cast("int").alias("quarter"),
+            part(text, "q", CALENDAR_QUARTER).try_cast("int").alias("quarter_year"),
+            part(text, "-", DATE_RANGE, 1).try_cast("date").alias("d1"),
+            part(text, "-", DATE_RANGE, 2).try_cast("date").alias("d2"),
+            part(text, "-", DATE).try_cast("date").alias("day"),
+            F.regexp_extract(text, CALENDAR, 1).try_cast("int").alias("year"),
         ),
     )
-    found = F.struct(
-        fiscal.alias("fiscal"), number(QUARTER).alias("quarter"), number(CALENDAR_QUARTER).alias("quarter_year"),
-        day(DATE_RANGE, 1).alias("d1"), day(DATE_RANGE, 2).alias("d2"), day(DATE, 1).alias("day"),
-        number(CALENDAR).alias("year"),
-    )
     nothing = F.lit(None).cast("date")
 
     def span(kind: str, start: Column, end: Column) -> Column:
