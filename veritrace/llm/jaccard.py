@@ -31,7 +31,7 @@ from veritrace.llm.components import components
 
 GRAM, PERCENT = 4, 85
 #: Counters per sketch row, as a power of two, and the two counts that part the order.
-SKETCH_BITS, OFTEN = 28, (2, 64)
+SKETCH_BITS, OFTEN = 27, (2, 64)
 FRAGMENTS = 8
 SET = "_id long, _h long, n int, k1 long, k2 long"
 ENTRY = "_id long, _h long, n int, single int, prefix array<long>, grams array<binary>"
@@ -194,6 +194,8 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, percent: int = PERCENT, b
     reps = classes.select("rep._id", "rep._h")
     # A class is named by the place of its representative, so that ids may repeat.
     entries = keep(open_sets.dropDuplicates(["_id", "_h"]).join(reps, ["_id", "_h"]).withColumn("r", F.monotonically_increasing_id()), "entries")
+    # Executors keep a broadcast on their disks; it is not needed any more.
+    seen.destroy()
     names = entries.select("r", "_id", "_h")
     postings = keep(
         entries.select("r", "n", "single", F.explode("prefix").alias("token")).withColumn("most", F.col("n") - F.col("single")), "postings"
