@@ -97,6 +97,17 @@ def test_documents_arriving_later_are_compared_with_stored_ones(spark):
     assert store.read("entities").count() == 1
 
 
+def test_one_document_per_content(spark):
+    store = Store(spark, scratch_path(spark, "copies"))
+    rows = [("a.pdf", CORPUS[0][1]), ("a.pdf", CORPUS[0][1]), ("b.pdf", CORPUS[0][1]), ("a.pdf", CORPUS[2][1])]
+    ingest_documents(store, arrivals(spark, rows))
+    assert sorted(r.filename for r in store.read("documents").collect()) == ["a.pdf", "a.pdf"]
+    assert store.read("chunks").count() == store.read("chunks").dropDuplicates(["chunk_id"]).count() == 2
+    assert store.read("facts").count() == 2
+    ingest_documents(store, arrivals(spark, rows[1:3]), batch=1)
+    assert store.read("documents").count() == 2
+
+
 def test_scan_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
     (tmp_path / "b.txt").write_bytes(b"no")

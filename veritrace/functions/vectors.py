@@ -31,12 +31,6 @@ def cosine_distance(a: Column, b: Column, norm_a: Column | None = None, norm_b:
     return F.when(length == 0, F.lit(float("nan"))).otherwise(1 - dot(a, b) / F.nullif(length, F.lit(0.0)))
 
 
-def check_dimension(vector: Column, dim: int) -> Column:
-    """The vector itself; fails the job when a non-null vector has another length."""
-    bad = vector.isNotNull() & (F.size(vector) != dim)
-    return F.when(bad, F.raise_error(F.lit(f"embedding must have {dim} dimensions"))).otherwise(vector)
-
-
 # A model takes texts and returns one row of floats per text.
 Model = Callable[[pd.Series], np.ndarray]
 

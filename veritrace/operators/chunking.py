@@ -1,10 +1,7 @@
 """Paragraph units, greedy packing with one unit of overlap, chunk assembly.
 
-Packing is a sequential fold over the units of one document. Nearly all
-documents have few pages, so their pages are gathered into one row and the
-whole of chunking runs as array expressions after a single shuffle. Documents
-with more than ``max_pages`` pages take another way to the same chunks, which
-never brings a document together: units are cut into blocks, each block tells
+Packing is a sequential fold over the units of one document. It is done without
+bringing a document together: units are cut into blocks, each block tells
 where a chunk that starts in it would leave it, and these hops are chained.
 """
 
@@ -12,92 +9,45 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from veritrace.functions import text as tx
 from veritrace.operators.ingest import running_totals
 
-# A document up to this many pages is gathered into one row.
-MAX_GATHERED_PAGES = 256
-# Units up to which the token counts of a document are gathered into one row.
-MAX_GATHERED_UNITS = 8192
 # Units per block on the distributed way; only their token counts move.
 BLOCK_UNITS = 262_144
 
 
-def page_units(text: Column, sep: str = tx.PARAGRAPH_SEP) -> Column:
-    """Non-blank paragraphs of one page: array of (text, start, end, tokens),
-    offsets counted in characters from the start of the page."""
-    body = F.coalesce(text, F.lit(""))
-    parts = F.arrays_zip(
-        F.split(body, sep, -1).alias("text"),
-        F.regexp_extract_all(body, F.lit(sep), 0).alias("sep"),
-    )
-    empty = F.expr("named_struct('at', 0, 'units', cast(array() as array<struct<text:string,start:int,end:int,tokens:int>>))")
-
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part["text"])
-        unit = F.struct(
-            part["text"].alias("text"), acc["at"].alias("start"), end.alias("end"),
-            tx.token_estimate(part["text"]).alias("tokens"),
-        )
-        return F.struct(
-            (end + F.coalesce(F.length(part["sep"]), F.lit(0))).alias("at"),
-            F.when(tx.is_blank(part["text"]), acc["units"]).otherwise(F.array_append(acc["units"], unit)).alias("units"),
-        )
-
-    return F.aggregate(parts, empty, step, lambda acc: acc["units"])
-
-
 def paragraph_units(pages: DataFrame, sep: str = tx.PARAGRAPH_SEP) -> DataFrame:
-    """Units of every document: (document_id, unit_no, page_number, text,
-    char_start, char_end, tokens). Offsets are in the page texts joined by a
-    blank line; units are numbered from 0 in page order."""
-    cut = pages.select(
-        "document_id", "page_number",
-        F.length(F.coalesce("text", F.lit(""))).alias("n_chars"),
-        page_units(F.col("text"), sep).alias("units"),
+    """Units of every document, its non-blank paragraphs: (document_id, unit_no,
+    page_number, text, char_start, char_end, tokens). Offsets are in the page
+    texts joined by a blank line; units are numbered from 0 in page order."""
+    body = F.coalesce(F.col("text"), F.lit(""))
+    parts = F.split(body, sep, -1)
+    sized = pages.select(
+        "document_id", "page_number", F.length(body).alias("n_chars"),
+        F.size(F.filter(parts, lambda p: ~tx.is_blank(p))).alias("n_units"),
     )
     placed = running_totals(
-        cut, "document_id", "page_number", {"char_base": F.col("n_chars") + 2, "unit_base": F.size("units")}
-    )
-    return placed.select(
-        "document_id", "page_number", "char_base", "unit_base", F.posexplode("units").alias("at", "unit")
-    ).select(
-        "document_id",
-        (F.col("unit_base") + F.col("at")).alias("unit_no"),
-        "page_number",
-        F.col("unit.text").alias("text"),
-        (F.col("char_base") + F.col("unit.start")).alias("char_start"),
-        (F.col("char_base") + F.col("unit.end")).alias("char_end"),
-        F.col("unit.tokens").alias("tokens"),
-    )
-
-
-def _pack_array(tokens: Column, budget: int) -> Column:
-    """Chunk ranges (first, last) over an array of unit token counts."""
-    start = F.expr(
-        "named_struct('first', 0, 'at', 0, 'total', 0, 'ranges', cast(array() as array<struct<first:int,last:int>>))"
+        sized, "document_id", "page_number", {"char_base": F.col("n_chars") + 2, "unit_base": F.col("n_units")}
+    ).select("document_id", "page_number", "char_base", "unit_base")
+    zipped = F.arrays_zip(parts.alias("text"), F.regexp_extract_all(body, F.lit(sep), 0).alias("sep"))
+    cut = pages.select("document_id", "page_number", F.posexplode(zipped).alias("at", "part"))
+    before = Window.partitionBy("document_id", "page_number").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    wide = F.length("part.text") + F.coalesce(F.length("part.sep"), F.lit(0))
+    solid = ~tx.is_blank(F.col("part.text"))
+    units = cut.select(
+        "document_id", "page_number", F.col("part.text").alias("text"), solid.alias("solid"),
+        F.coalesce(F.sum(wide).over(before), F.lit(0)).alias("start"),
+        F.coalesce(F.sum(solid.cast("int")).over(before), F.lit(0)).alias("nth"),
+    ).filter("solid")
+    return units.join(placed, ["document_id", "page_number"]).select(
+        "document_id", (F.col("unit_base") + F.col("nth")).alias("unit_no"), "page_number", "text",
+        (F.col("char_base") + F.col("start")).alias("char_start"),
+        (F.col("char_base") + F.col("start") + F.length("text")).alias("char_end"),
+        tx.token_estimate(F.col("text")).alias("tokens"),
     )
 
-    def step(acc: Column, t: Column) -> Column:
-        flush = (acc["at"] > 0) & (acc["total"] + t > budget)
-        closed = F.struct(acc["first"].alias("first"), (acc["at"] - 1).alias("last"))
-        # The last unit of the closed chunk opens the next one.
-        overlap = F.get(tokens, acc["at"] - 1)
-        return F.struct(
-            F.when(flush, acc["at"] - 1).otherwise(acc["first"]).alias("first"),
-            (acc["at"] + 1).alias("at"),
-            F.when(flush, overlap + t).otherwise(acc["total"] + t).alias("total"),
-            F.when(flush, F.array_append(acc["ranges"], closed)).otherwise(acc["ranges"]).alias("ranges"),
-        )
-
-    def finish(acc: Column) -> Column:
-        tail = F.struct(acc["first"].alias("first"), (acc["at"] - 1).alias("last"))
-        return F.when(acc["at"] > 0, F.array_append(acc["ranges"], tail)).otherwise(acc["ranges"])
-
-    return F.aggregate(tokens, start, step, finish)
-
 
 def _next_starts(tokens: np.ndarray, budget: int, real: int) -> np.ndarray:
     """For each of the first ``real`` units, the unit that opens the next chunk
@@ -115,26 +65,10 @@ def _next_starts(tokens: np.ndarray, budget: int, real: int) -> np.ndarray:
     return np.where(j >= n, -1, j - 1)
 
 
-def pack_units(
-    units: DataFrame, budget: int = tx.MAX_CHUNK_TOKENS, max_units: int = MAX_GATHERED_UNITS, block: int = BLOCK_UNITS
-) -> DataFrame:
+def pack_units(units: DataFrame, budget: int = tx.MAX_CHUNK_TOKENS, block: int = BLOCK_UNITS) -> DataFrame:
     """Chunk ranges (document_id, first_unit, last_unit) for any number of
     units per document. Needs only document_id, unit_no and tokens; unit
-    numbers are dense from 0."""
-    narrow = units.select("document_id", F.col("unit_no").cast("long").alias("unit_no"), F.col("tokens").cast("int").alias("tokens"))
-    long_ids = narrow.filter(F.col("unit_no") >= max_units).select("document_id").distinct()
-    short = narrow.join(long_ids, "document_id", "left_anti")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "tokens"))), lambda u: u["tokens"])
-    folded = (
-        short.groupBy("document_id").agg(listed.alias("tokens"))
-        .select("document_id", F.inline(_pack_array(F.col("tokens"), budget)))
-        .select("document_id", F.col("first").cast("long").alias("first_unit"), F.col("last").cast("long").alias("last_unit"))
-    )
-    return folded.unionByName(_pack_blocks(narrow.join(long_ids, "document_id", "left_semi"), budget, block))
-
-
-def _pack_blocks(units: DataFrame, budget: int, block: int) -> DataFrame:
-    """``pack_units`` for documents that are not gathered.
+    numbers are dense from 0.
 
     Every unit counts at least one token, so a chunk spans at most ``budget`` +
     2 units; a block plus that many units of the following ones decides every
@@ -143,6 +77,7 @@ def _pack_blocks(units: DataFrame, budget: int, block: int) -> DataFrame:
     Positions are unit numbers plus one: position 0 is an empty unit put before
     each document, so that the first chunk follows the same rule as the others.
     """
+    units = units.select("document_id", F.col("unit_no").cast("long").alias("unit_no"), F.col("tokens").cast("int").alias("tokens"))
     halo = budget + 4
     unit = F.struct((F.col("unit_no") + 1).alias("at"), F.col("tokens").alias("tokens"))
     head = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("tokens"))
@@ -169,9 +104,10 @@ def _pack_blocks(units: DataFrame, budget: int, block: int) -> DataFrame:
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         base, _, hop = load(pdf)
         real = len(hop)
-        out = np.empty(real, dtype=np.int64)
-        for s in range(real - 1, -1, -1):
-            out[s] = hop[s] if hop[s] < 0 or hop[s] >= real else out[hop[s]]
+        out = hop.astype(np.int64)
+        # Each step doubles the hops, until every unit has left the block.
+        while (stay := np.flatnonzero((out >= 0) & (out < real))).size:
+            out[stay] = out[out[stay]]
         # A chunk from an earlier block enters within the first units.
         entry = np.arange(1 if base == 0 else min(real, halo))
         return pd.DataFrame({
@@ -216,66 +152,17 @@ def _pack_blocks(units: DataFrame, budget: int, block: int) -> DataFrame:
     )
 
 
-def _gathered_chunks(pages: DataFrame, budget: int, sep: str) -> DataFrame:
-    """Chunking for documents of bounded page count: one shuffle, in arrays."""
-    rows = (
-        pages.select(
-            "document_id",
-            F.struct(
-                F.col("page_number").alias("page"),
-                F.length(F.coalesce("text", F.lit(""))).alias("n_chars"),
-                page_units(F.col("text"), sep).alias("units"),
-            ).alias("p"),
-        )
-        .groupBy("document_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    )
-    # Where each page starts in the joined text.
-    bases = F.aggregate(
-        "ps",
-        F.expr("named_struct('at', 0L, 'list', cast(array() as array<bigint>))"),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["n_chars"] + 2).alias("at"), F.array_append(acc["list"], acc["at"]).alias("list")
-        ),
-        lambda acc: acc["list"],
-    )
-    units = F.flatten(
-        F.zip_with(
-            "ps", "bases",
-            lambda p, base: F.transform(
-                p["units"],
-                lambda u: F.struct(
-                    p["page"].alias("page"), u["text"].alias("text"),
-                    (u["start"] + base).alias("start"), (u["end"] + base).alias("end"), u["tokens"].alias("tokens"),
-                ),
-            ),
-        )
-    )
-    chunk = F.transform(
-        "ranges",
-        lambda r: F.struct(
-            r["first"].cast("long").alias("first_unit"), r["last"].cast("long").alias("last_unit"),
-            F.get("units", r["first"])["page"].alias("page_start"),
-            F.get("units", r["last"])["page"].alias("page_end"),
-            F.array_join(
-                F.transform(F.slice("units", r["first"] + 1, r["last"] - r["first"] + 1), lambda u: u["text"]), "\n\n"
-            ).alias("text"),
-            F.get("units", r["first"])["start"].alias("char_start"),
-            F.get("units", r["last"])["end"].alias("char_end"),
-        ),
-    )
-    return (
-        rows.withColumn("bases", bases)
-        .select("document_id", units.alias("units"))
-        .withColumn("ranges", _pack_array(F.transform("units", lambda u: u["tokens"]), budget))
-        .select("document_id", F.posexplode(chunk).alias("chunk_no", "c"))
-        .select("document_id", "chunk_no", "c.*")
-    )
-
+def build_chunks(
+    pages: DataFrame, budget: int = tx.MAX_CHUNK_TOKENS, sep: str = tx.PARAGRAPH_SEP, block: int = BLOCK_UNITS
+) -> DataFrame:
+    """Chunks of (document_id, page_number, text) pages.
 
-def _distributed_chunks(pages: DataFrame, budget: int, sep: str, max_units: int, block: int) -> DataFrame:
-    """Chunking for documents of any size."""
-    units = paragraph_units(pages, sep)
-    ranges = pack_units(units, budget, max_units, block)
+    Returns (document_id, chunk_no, first_unit, last_unit, page_start,
+    page_end, text, char_start, char_end, token_count). ``token_count`` is
+    estimated on the joined text, which differs from the sum over its units.
+    """
+    units = paragraph_units(pages.select("document_id", "page_number", "text"), sep)
+    ranges = pack_units(units, budget, block)
     members = ranges.select(
         "document_id", "first_unit", "last_unit", F.explode(F.sequence("first_unit", "last_unit")).alias("unit_no")
     )
@@ -297,34 +184,10 @@ def _distributed_chunks(pages: DataFrame, budget: int, sep: str, max_units: int,
     numbered = running_totals(ranges, "document_id", "last_unit", {"chunk_no": F.lit(1)}, span=block).select(
         "document_id", "last_unit", F.col("chunk_no").cast("int").alias("chunk_no")
     )
-    return chunks.join(numbered, ["document_id", "last_unit"])
-
-
-def build_chunks(
-    pages: DataFrame,
-    budget: int = tx.MAX_CHUNK_TOKENS,
-    sep: str = tx.PARAGRAPH_SEP,
-    max_pages: int = MAX_GATHERED_PAGES,
-    max_units: int = MAX_GATHERED_UNITS,
-    block: int = BLOCK_UNITS,
-) -> DataFrame:
-    """Chunks of (document_id, page_number, text) pages.
-
-    Returns (document_id, chunk_no, first_unit, last_unit, page_start,
-    page_end, text, char_start, char_end, token_count). ``token_count`` is
-    estimated on the joined text, which differs from the sum over its units.
-    """
     columns = [
         "document_id", "chunk_no", "first_unit", "last_unit", "page_start", "page_end", "text", "char_start", "char_end",
     ]
-    pages = pages.select("document_id", "page_number", "text")
-    # Page numbers are dense from 1, so a long document is one with a high
-    # number; this scan reads two narrow columns.
-    long_ids = pages.filter(F.col("page_number") > max_pages).select("document_id").distinct()
-    short = _gathered_chunks(pages.join(long_ids, "document_id", "left_anti"), budget, sep)
-    long = _distributed_chunks(pages.join(long_ids, "document_id", "left_semi"), budget, sep, max_units, block)
-    chunks = short.select(*columns).unionByName(long.select(*columns))
-    return chunks.withColumn("token_count", tx.token_estimate(F.col("text")))
+    return chunks.join(numbered, ["document_id", "last_unit"]).select(*columns, tx.token_estimate(F.col("text")).alias("token_count"))
 
 
 def attach_embeddings(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -338,5 +201,5 @@ def embed_chunks(chunks: DataFrame, embed) -> DataFrame:
 
 
 __all__ = [
-    "attach_embeddings", "build_chunks", "embed_chunks", "pack_units", "page_units", "paragraph_units",
+    "attach_embeddings", "build_chunks", "embed_chunks", "pack_units", "paragraph_units",
 ]

@@ -266,7 +266,7 @@ def _earlier_in_tiles(asked: DataFrame, others: DataFrame, threshold: float, til
 
 
 def resolve_batch(
-    new: DataFrame, rounds: int = 24, threshold: float = ALIAS, small: int = 64, tile: int = TILE_NAMES
+    new: DataFrame, threshold: float = ALIAS, small: int = 64, tile: int = TILE_NAMES
 ) -> DataFrame:
     """Resolution among mentions that match no stored entity, as if they came
     one by one in the order of ``seq``: a mention joins the most similar
@@ -277,10 +277,10 @@ def resolve_batch(
     are joined once; the others are compared in tiles. In each round an open
     mention with an entity among its earlier neighbours joins, and one without
     open or entity neighbours becomes an entity; that is the outcome of going
-    one by one. Names still open after the last round become entities and are
-    marked ``approximate``.
+    one by one. The first open mention is always decided, so the rounds end;
+    there are as many as the longest chain of names that wait for the one before.
 
-    Returns mention_id, seed_id, similarity, approximate.
+    Returns mention_id, seed_id, similarity.
     """
     names = materialize(
         new.select("mention_id", "entity_type", "seq", trigrams(F.col("name")).alias("grams")), "batch-names"
@@ -321,7 +321,7 @@ def resolve_batch(
         )
 
     state = names.select("mention_id", F.lit("open").alias("status"))
-    for _ in range(rounds):
+    while not state.filter(F.col("status") == "open").isEmpty():
         seen = look_back(
             state.filter(F.col("status") == "open").select("mention_id"),
             state.filter(F.col("status") != "joined").select("mention_id", (F.col("status") == "seed").alias("seed")),
@@ -331,16 +331,12 @@ def resolve_batch(
             .when(~F.coalesce("blocked", F.lit(False)), "seed").otherwise("open")
         )
         state = materialize(state.join(seen, "mention_id", "left").select("mention_id", status.alias("status")), "batch-state")
-        if state.filter(F.col("status") == "open").isEmpty():
-            break
-    final = state.select(
-        "mention_id", (F.col("status") != "joined").alias("seed"), (F.col("status") == "open").alias("approximate")
-    )
+    final = state.select("mention_id", (F.col("status") == "seed").alias("seed"))
     best = look_back(
         final.filter(~F.col("seed")).select("mention_id"), final.filter("seed").select("mention_id", "seed")
     ).select("mention_id", "best")
     return final.join(best, "mention_id", "left").select(
         "mention_id",
         F.when(F.col("seed"), F.col("mention_id")).otherwise(F.col("best.seed_id")).alias("seed_id"),
-        F.when(F.col("seed"), 1.0).otherwise(-F.col("best.s")).alias("similarity"), "approximate",
+        F.when(F.col("seed"), 1.0).otherwise(-F.col("best.s")).alias("similarity"),
     )

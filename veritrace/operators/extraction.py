@@ -230,9 +230,9 @@ def extract_by_rule(chunks: DataFrame, metrics: dict[str, str] = METRICS) -> Dat
         period.alias("time_value"), scope.alias("scope"), F.lit(0.9).cast("float").alias("confidence"),
         clause.alias("quote"),
     )
-    return out.withColumn(
-        "fact_no", F.col("place.sentence_no") * 1_000_000 + F.col("place.clause_no") * 1_000 + F.col("place.value_no")
-    ).drop("place")
+    # Places are 32-bit, so ten digits each hold any sentence, clause and value.
+    digits = [F.lpad(F.col(f"place.{c}").cast("string"), 10, "0") for c in ("sentence_no", "clause_no", "value_no")]
+    return out.withColumn("fact_no", F.concat(*digits)).drop("place")
 
 
 # A provider takes chunk texts and returns one raw response per text.
@@ -309,27 +309,3 @@ def build_evidence(facts: DataFrame, page: Column | None = None) -> DataFrame:
         (F.col("page_start") if page is None else page).cast("int").alias("page_number"),
         "chunk_id", "quote", "char_start", "char_end",
     )
-
-
-def exact_page(facts: DataFrame, chunks: DataFrame, units: DataFrame) -> DataFrame:
-    """Adds ``quote_page``: the page of the unit in which the quote starts.
-
-    ``chunks`` has chunk_id, document_id, first_unit, last_unit. Inside a chunk
-    the units are joined by two characters; a chunk has a bounded number of
-    units, so only those few meet each of its facts.
-    """
-    members = chunks.select(
-        "chunk_id", "document_id", F.explode(F.sequence("first_unit", "last_unit")).alias("unit_no")
-    ).join(units.select("document_id", "unit_no", "page_number", F.length("text").alias("n")), ["document_id", "unit_no"])
-    order = Window.partitionBy("chunk_id").orderBy("unit_no")
-    placed = members.select(
-        "chunk_id", "page_number",
-        (F.sum(F.col("n") + 2).over(order) - F.col("n") - 2).alias("unit_from"),
-        (F.sum(F.col("n") + 2).over(order)).alias("unit_to"),
-    )
-    left, right = facts.alias("l"), placed.alias("r")
-    inside = (
-        (F.col("l.chunk_id") == F.col("r.chunk_id"))
-        & (F.col("l.char_start") >= F.col("r.unit_from")) & (F.col("l.char_start") < F.col("r.unit_to"))
-    )
-    return left.join(right, inside, "left").select("l.*", F.col("r.page_number").alias("quote_page"))

@@ -1,14 +1,9 @@
 """Exact nearest neighbours by cosine distance, for tables on both sides.
 
-Two ways, chosen by the size of the asking side:
-
-* Few questions: they are broadcast (their number is checked) and every task
-  keeps the best ``k`` per question while it streams its share of the
-  candidates. The candidates are not shuffled.
-* Many anchors: anchors and candidates of a group are cut into blocks of
-  bounded size, every pair of blocks is one task-sized tile, and a tile gives
-  back only its best ``k`` per anchor. No group is gathered whole and no pair
-  that cannot be in a result leaves a tile.
+Anchors and candidates of a group are cut into blocks of bounded size, every
+pair of blocks is one task-sized tile, and a tile gives back only its best ``k``
+per anchor. No group is gathered whole and no pair that cannot be in a result
+leaves a tile.
 
 Rows with equal vectors tie, so only the ``k`` smallest ids among them can be
 results; the others are dropped before anything is compared. Facts inherit the
@@ -20,8 +15,6 @@ numbers; a missing vector has distance NULL and comes last.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 TILE_ROWS = 4096
 # Anchors compared at a time inside a tile; bounds its memory.
 SLICE_ROWS = 512
-MAX_BROADCAST_QUESTIONS = 4096
 
 # Stand-ins inside a tile; a cosine distance is at most 2.
 _NAN, _MISSING, _EXCLUDED = 3.0, 4.0, 5.0
@@ -226,42 +218,11 @@ def nearest(
     return back.join(best.alias("r"), on).select("l.anchor_id", "r.candidate_id", "r.distance", "r.rank")
 
 
-def nearest_to_questions(
-    questions: DataFrame, candidates: DataFrame, k: int, max_questions: int = MAX_BROADCAST_QUESTIONS
-) -> DataFrame:
+def nearest_to_questions(questions: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest candidates of every question, over all candidates.
 
-    ``questions``: anchor_id, embedding. ``candidates``: candidate_id,
-    embedding. Reads at most ``max_questions`` + 1 questions to decide; more of
-    them go through ``nearest``.
-    """
-    asked = questions.select("anchor_id", "embedding")
-    head = asked.limit(max_questions + 1).toPandas()
-    if len(head) > max_questions:
-        return nearest(asked, candidates.select("candidate_id", "embedding"), k)
-    spark = candidates.sparkSession
-    shared = spark.sparkContext.broadcast(head)
-    types = dict(asked.dtypes) | dict(candidates.dtypes)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = shared.value
-        best = None
-        for batch in batches:
-            if len(a) == 0 or batch.empty:
-                continue
-            # ``best`` holds the candidates that still win for some question.
-            pool = smallest_ids(batch if best is None else pd.concat([best, batch]), k)
-            rows, cols, dist = best_pairs(a, pool, k)
-            best = pool.iloc[np.unique(cols)]
-            last = (rows, pool["candidate_id"].to_numpy()[cols], dist)
-        if best is not None:
-            rows, ids, dist = last
-            yield pd.DataFrame({"anchor_id": a["anchor_id"].to_numpy()[rows], "candidate_id": ids, "distance": dist})
-
-    pairs = candidates.select("candidate_id", "embedding").mapInPandas(
-        scan, f"anchor_id {types['anchor_id']}, candidate_id {types['candidate_id']}, distance double"
-    )
-    return _rank(pairs, ["anchor_id"], k).select("anchor_id", "candidate_id", "distance", "rank")
+    ``questions``: anchor_id, embedding. ``candidates``: candidate_id, embedding."""
+    return nearest(questions.select("anchor_id", "embedding"), candidates.select("candidate_id", "embedding"), k)
 
 
 def nearest_by_bucket(
@@ -270,7 +231,9 @@ def nearest_by_bucket(
 ) -> DataFrame:
     """Approximate ``nearest``: only candidates that share a
     hyperplane bucket in one of ``tables`` hash tables are compared, by exact
-    distance. Rows without a vector are never found."""
+    distance. Anchors that find fewer than ``k`` in this way, such as those
+    without a vector, are answered exactly, so that every anchor has ``k``
+    results if there are as many."""
     from veritrace.functions.vectors import hyperplane_buckets, random_planes
 
     planes = random_planes(tables * bits, dim, seed)
@@ -283,7 +246,10 @@ def nearest_by_bucket(
 
     found = nearest(spread(anchors), spread(candidates), k, group=[*(group or []), "table", "bucket"])
     window = Window.partitionBy("anchor_id").orderBy(*distance_order(), "candidate_id")
-    return (
+    close = (
         found.select("anchor_id", "candidate_id", "distance").dropDuplicates(["anchor_id", "candidate_id"])
         .withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
     )
+    served = close.filter(F.col("rank") == k).select("anchor_id")
+    rest = nearest(anchors.join(served, "anchor_id", "left_anti"), candidates, k, group=group)
+    return close.join(served, "anchor_id", "left_semi").unionByName(rest.select("anchor_id", "candidate_id", "distance", "rank"))

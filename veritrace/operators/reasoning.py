@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veritrace.functions import labels, values
-from veritrace.operators.nearest import nearest, nearest_by_bucket
+from veritrace.operators.nearest import nearest
 from veritrace.operators.views import first_evidence
 from veritrace.session import materialize
 
@@ -180,14 +180,3 @@ def reason(
     return insert_relationships(
         classify(reasoning_context(pairs, facts, evidence, documents, entities, predicates)), stored
     )
-
-
-def related_facts_approximate(facts: DataFrame, dim: int, k: int = RELATED, tables: int = 8, bits: int = 6) -> DataFrame:
-    """``related_facts`` through hyperplane buckets, for predicates with more
-    facts than an exact comparison can afford."""
-    rows = facts.filter(F.col("predicate_id").isNotNull())
-    asked = rows.select(F.col("fact_id").alias("anchor_id"), "predicate_id", F.col("document_id").alias("owner"), "embedding")
-    pool = rows.filter(F.col("status") == "active").select(
-        F.col("fact_id").alias("candidate_id"), "predicate_id", F.col("document_id").alias("owner"), "embedding"
-    )
-    return _pairs(nearest_by_bucket(asked, pool, k, dim, tables, bits, group=["predicate_id"]))

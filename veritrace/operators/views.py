@@ -62,7 +62,7 @@ def recent_relationships(relationships: DataFrame, limit: int = LIST_LIMIT) -> D
 
 def facts_by_document(facts: DataFrame, document_ids: DataFrame) -> DataFrame:
     """Facts of the given documents in order of creation, any status."""
-    return facts.join(document_ids, "document_id", "left_semi").orderBy("document_id", "created_at", "fact_id")
+    return facts.join(document_ids, "document_id", "left_semi").repartition("document_id").sortWithinPartitions("document_id", "created_at", "fact_id")
 
 
 def document_list(documents: DataFrame) -> DataFrame:
@@ -70,11 +70,11 @@ def document_list(documents: DataFrame) -> DataFrame:
 
 
 def page_list(pages: DataFrame) -> DataFrame:
-    return pages.orderBy("document_id", "page_number")
+    return pages.repartition("document_id").sortWithinPartitions("document_id", "page_number")
 
 
 def job_list(jobs: DataFrame) -> DataFrame:
-    return jobs.orderBy("document_id", "seq")
+    return jobs.repartition("document_id").sortWithinPartitions("document_id", "seq")
 
 
 def entity_list(entities: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -97,7 +97,7 @@ def fact_relationships(relationships: DataFrame) -> DataFrame:
 
 
 def relationships_of(relationships: DataFrame, fact_ids: DataFrame) -> DataFrame:
-    return fact_relationships(relationships).join(fact_ids, "fact_id", "left_semi").orderBy(
+    return fact_relationships(relationships).join(fact_ids, "fact_id", "left_semi").repartition("fact_id").sortWithinPartitions(
         "fact_id", F.col("created_at").desc(), F.col("relationship_id").desc()
     )
 

@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Callable[[Loader], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(partial(sample.load, prepare(spark), sf_dir, spread=True))
+            return fn(partial(sample.load, prepare(spark), sf_dir))
 
         QUERIES[name] = run
         if sql is not None:

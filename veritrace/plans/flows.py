@@ -44,13 +44,13 @@ class Store:
 
 
 def fresh_documents(store: Store, arrivals: DataFrame, batch: int) -> DataFrame:
-    """Arrivals (filename, text; file names unique) whose content is neither
-    stored nor in an earlier arrival. The document id is the content's hash."""
+    """Arrivals (filename, text) with content that is not stored: one per
+    content, under its first file name. The document id is the content's hash,
+    so names may repeat, and several names may stand for one content."""
     docs = ingest.fingerprint_documents(arrivals, "text", mime="text/plain")
-    narrow = docs.select(F.col("filename").alias("document_id"), "sha256", F.col("filename").alias("arrival"))
-    stored = store.read("documents", before=batch).select("document_id", "sha256")
-    winners = ingest.new_documents(ingest.dedupe_documents(narrow, stored)).select(F.col("document_id").alias("filename"))
-    return docs.join(winners, "filename", "left_semi").withColumn(
+    first = docs.groupBy("sha256").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "sha256"]), "filename").alias("d"))
+    stored = store.read("documents", before=batch).select("sha256").distinct()
+    return first.join(stored, "sha256", "left_anti").select("sha256", "d.*").withColumn(
         "document_id", schemas.natural_id(F.lit("document"), "sha256")
     )
 
@@ -75,7 +75,7 @@ def _resolve_subjects(store: Store, proposed: DataFrame, batch: int) -> DataFram
         ).select(
             schemas.natural_id("entity_type", "key").alias("mention_id"), "key", "entity_type",
             F.col("m.subject").alias("name"), F.col("m.chunk_id").alias("chunk_id"),
-            F.concat_ws("/", "m.chunk_id", F.lpad(F.col("m.fact_no").cast("string"), 12, "0")).alias("seq"),
+            F.concat_ws("/", "m.chunk_id", "m.fact_no").alias("seq"),
         ), "mentions",
     )
     found = entities.candidate_entities(mentions, stored)

@@ -404,7 +404,7 @@ def entity_resolve_batch(t):
     new = t("part").groupBy(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name")).agg(F.min("p_partkey").alias("seq"))
     new = new.select(F.col("seq").alias("mention_id"), "name", F.lit("org").alias("entity_type"), "seq")
     return entities.resolve_batch(new).select(
-        "mention_id", "seed_id", F.round("similarity", 6).alias("similarity"), "approximate"
+        "mention_id", "seed_id", F.round("similarity", 6).alias("similarity")
     )
 
 

@@ -189,11 +189,10 @@ def build_chunks(t):
     )
 
 
-# The same chunks by the way that long documents take, forced for documents of
-# more than 20 lines; their blocks are small, so that chunks cross them.
+# The same chunks by small blocks, so that chunks cross them.
 @query("build_chunks_long", BUILD_SQL)
 def build_chunks_long(t):
-    chunks = chunking.build_chunks(t("fx_pages"), budget=60, sep=LINE_SEP, max_pages=0, max_units=20, block=64)
+    chunks = chunking.build_chunks(t("fx_pages"), budget=60, sep=LINE_SEP, block=64)
     return chunks.select(
         "document_id", "chunk_no", "page_start", "page_end", F.md5("text").alias("text_md5"),
         "char_start", "char_end", "token_count",

@@ -49,13 +49,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deals the rows of a table out to all cores when it has fewer files than
-    there are cores. Tables of many files, as on a cluster, are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 

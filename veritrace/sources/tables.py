@@ -45,9 +45,3 @@ def write_batch(rows: DataFrame, path: str, schema: T.StructType, batch: int) ->
     """
     cols = [rows[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
     rows.select(*cols).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-
-
-def absent_rows(new: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Insert-if-absent: rows of ``new`` whose key is not stored, one per key.
-    The stored side is reduced to its keys before the anti join."""
-    return new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
