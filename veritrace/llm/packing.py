@@ -13,9 +13,11 @@ their length by a distributed count and look up their run.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,77 +25,98 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritrace.llm.base import id_or_null, identified, keep, number_within, table
+from veritrace.llm.words import column, pieces
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a task remembers; it only saves time.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 PIECES = "_id long, _h long, piece int, start long, length long, ids_crc32 long"
-#: Texts tokenised at once.
-_ROWS = 64
 
 
 class WordIds:
-    """Token ids of whole texts, word by word, each distinct word once. The
-    tokenizer drops white space and never joins what it parts, so texts may be
-    cut there."""
+    """Token ids of whole texts, word by word, each distinct word once.
+
+    The tokenizer drops white space and never joins what it parts, lower-cases,
+    and parts a letter from a full stop or comma, so texts may be lower-cased and cut
+    there before. Texts with a control string of its own, which must keep its
+    case, are only cut at white space.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.seen: dict[str, int] = {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode
+        self.control = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._reset()
 
     def _reset(self) -> None:
-        self.seen.clear()
+        self.seen: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-        self.used = 0
+        # Where the ids of word number i begin; the last entry is where free room begins.
+        self.begins = np.zeros(1 << 18, dtype=np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        for code, word in zip(self.encode(words, add_special_tokens=False), words):
-            ids = code.ids
-            end = self.used + len(ids)
-            if end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), dtype=np.uint32)])
-            self.ids[self.used : end] = ids
-            self.seen[word] = len(self.starts)
-            self.starts.append(self.used)
-            self.ends.append(end)
-            self.used = end
-
-    def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
+        if not words:
+            return
+        code = self.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(code.ids, dtype=np.uint32)
+        owner = np.array(code.word_ids, dtype=np.int64)
+        known, used = len(self.seen), int(self.begins[len(self.seen)])
+        for name, need in (("ids", used + len(ids)), ("begins", known + len(words) + 1)):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(len(held), need - len(held)), dtype=held.dtype)]))
+        self.ids[used : used + len(ids)] = ids
+        self.begins[known + 1 : known + len(words) + 1] = used + np.cumsum(np.bincount(owner, minlength=len(words)))
+        self.seen.update(zip(words, range(known, known + len(words))))
+
+    def _words(self, texts: pa.Array) -> pa.Array:
+        own = pc.match_substring(texts, self.control[0])
+        for control in self.control[1:]:
+            own = pc.or_(own, pc.match_substring(texts, control))
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([.,])", r"\1 \2")
+        if pc.any(own).as_py():
+            kept = zip(own.to_pylist(), texts.to_pylist(), cut.to_pylist())
+            cut = pa.array([t if o else c for o, t, c in kept], pa.large_string())
+        return pc.ascii_split_whitespace(cut)
+
+    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text with the end id."""
         if len(self.seen) > REMEMBERED:
             self._reset()
-        lists = pc.ascii_split_whitespace(column.cast(pa.large_string()))
+        lists = self._words(texts)
         flat = lists.flatten().dictionary_encode()
         words = flat.dictionary.to_pylist()
         self._learn([w for w in words if w not in self.seen])
         place = np.array([self.seen[w] for w in words], dtype=np.int64)
-        starts, ends = np.array(self.starts, dtype=np.int64), np.array(self.ends, dtype=np.int64)
         word = place[flat.indices.to_numpy()] if len(words) else np.zeros(0, dtype=np.int64)
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+        first = self.begins[word]
+        size = self.begins[word + 1] - first
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)]
         for a, b in zip(bounds[:-1], bounds[1:]):
-            own = word[a:b]
-            size = ends[own] - starts[own]
-            total = int(size.sum())
-            out = np.full(total + 1, END_ID, dtype=np.uint32)
-            out[:total] = self.ids[np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(total)]
-            yield out
+            yield np.append(ids[a:b], np.uint32(END_ID))
+
+
+@lru_cache(maxsize=1)
+def _known(path: str) -> WordIds:
+    """Kept by a worker from task to task."""
+    return WordIds(path)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every text: the ids of its words, then the end id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
+        known = _known(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
+            for at, end, buf, offsets in pieces(batch["text"]):
+                part = batch.slice(at, end - at)
                 out = defaultdict(list)
-                for key, h, ids in zip(part["_id"].to_pylist(), part["_h"].to_pylist(), known.texts(part["text"])):
+                for key, h, ids in zip(part["_id"].to_pylist(), part["_h"].to_pylist(), known.texts(column(buf, offsets))):
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         own = ids[start : start + capacity]
                         crc = zlib.crc32(own.astype("<u4").tobytes())
@@ -184,8 +207,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     empty table gives no rows. Sequences are numbered from 0 without gaps.
     """
     spark = docs.sparkSession
-    pieces = keep(token_pieces(docs, path, capacity), "pieces")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = keep(token_pieces(docs, path, capacity), "pieces")
+    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = plan(histogram, capacity)
     by_size: dict[int, np.ndarray] = {}
     grouped = defaultdict(list)
@@ -195,7 +218,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         by_size[size] = np.array(own, dtype=np.int64)
     # Bounded by the lengths there can be, not by the input.
     shared = spark.sparkContext.broadcast(by_size)
-    numbered = number_within(pieces, ["length"], ["_id", "_h", "piece"], "_rank")
+    numbered = number_within(rows, ["length"], ["_id", "_h", "piece"], "_rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

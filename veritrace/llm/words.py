@@ -69,6 +69,12 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         row = end
 
 
+def column(buf: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A string column of its own over the bytes of one piece."""
+    data = pa.py_buffer(buf.tobytes())
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64).tobytes()), data)
+
+
 def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the number of words of each row."""
     solid = ~SPACE[buf]
