@@ -5,10 +5,11 @@ rows that agree so far is split by its next bytes (one digit), until a group
 has one row or its texts end. Digits grow, so the rounds grow with the logarithm
 of the longest text. Equality is decided by the bytes alone; no digest is used.
 
-A group's id is the least row of its split, found by an aggregation that combines before the shuffle, so copies that hold a third of
-all rows meet in no task; rows learn their group by a join whose large keys
-adaptive execution splits. Only rows in groups of two or more go on, carrying
-the rest of their text.
+A group's id is the least doc_id and least text hash in it, which no group
+apart from it shares. It is found by an aggregation that combines before the
+shuffle, so copies that hold a third of all rows meet in no task; rows learn
+their group by a join whose large keys adaptive execution splits. Only rows in
+groups of two or more go on, carrying the rest of their text.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ def normalized(text: Column) -> Column:
 
 def _split(rows: DataFrame, *digit: str) -> DataFrame:
     """Groups of two or more rows that agree in ``digit``, with a group id."""
-    found = rows.groupBy(*digit).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_h")).alias("_group"))
+    # The least id and the least hash of a group: long buffers, so it is hashed and not sorted.
+    found = rows.groupBy(*digit).agg(F.count(F.lit(1)).alias("_n"), F.struct(F.min("_id"), F.min("_h")).alias("_group"))
     return found.filter("_n > 1").drop("_n")
 
 
@@ -36,14 +38,14 @@ def equal_groups(docs: DataFrame) -> DataFrame:
     """(_id, _h, _group) of the rows whose normalised text occurs more than once."""
     base = identified(docs).withColumn("_t", normalized(F.col("text"))).drop("text")
     heads = base.select("_id", "_h", F.substring("_t", 1, FIRST_DIGIT).alias("_d"))
-    active = heads.join(_split(heads, "_d"), "_d").select("_id", "_h", F.col("_group").alias("_g")).distinct()
+    active = heads.join(_split(heads, "_d"), "_d").select("_id", "_h", F.col("_group").alias("_g")).dropDuplicates(["_id", "_h"])
 
     digits = base.select("_id", "_h", F.substring("_t", FIRST_DIGIT + 1, SECOND_DIGIT).alias("_d"))
     second = keep(digits.join(active, ["_id", "_h"]), "radix")
     active = keep(second.join(_split(second, "_g", "_d"), ["_g", "_d"]).select("_id", "_h", "_d", "_group"), "radix")
     done = active.filter(F.octet_length("_d") < SECOND_DIGIT).select("_id", "_h", "_group")
 
-    open_rows = active.filter(F.octet_length("_d") == SECOND_DIGIT).select("_id", "_h", "_group").distinct()
+    open_rows = active.filter(F.octet_length("_d") == SECOND_DIGIT).select("_id", "_h", "_group").dropDuplicates(["_id", "_h"])
     rest = F.substring("_t", FIRST_DIGIT + SECOND_DIGIT + 1, 1 << 30)
     rows = keep(base.join(open_rows, ["_id", "_h"]).select("_id", "_h", "_group", rest.alias("_rest")), "radix")
     width = (FIRST_DIGIT + SECOND_DIGIT) * GROWTH
@@ -75,7 +77,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         "_id", "_h", F.length("text").alias("_len"), F.sha2(normalized(F.col("text")), 256).alias("text_sha256"),
         F.monotonically_increasing_id().alias("_u"),
     )
-    rows = keep(info.join(equal_groups(docs).distinct(), ["_id", "_h"], "left"), "copies")
+    rows = keep(info.join(equal_groups(docs).dropDuplicates(["_id", "_h"]), ["_id", "_h"], "left"), "copies")
     best = F.min(F.struct((-F.col("_len")).alias("len"), "_id", "_u")).alias("_best")
     groups = rows.filter("_group is not null").groupBy("_group").agg(best, F.count(F.lit(1)).alias("group_size"))
     many = rows.join(groups, "_group").select(
