@@ -1,7 +1,10 @@
 """The whole flow on a small corpus: batch, replay and stream."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from veritrace.operators.runlog import job_state
+
 from veritrace.plans.flows import Store, ask, ingest_documents, recompute
 from veritrace.session import scratch_path
 from veritrace.sources.tables import scan_files
@@ -74,6 +77,8 @@ def test_flow(spark):
     parts = ask(store, asked).collect()
     assert {r.question_id for r in parts} == {1}
     kinds = [r.component_type for r in sorted(parts, key=lambda r: (r.section, r["rank"]))]
+    assert kinds[-1] == "SourcePreview" and all(r.quote for r in parts if r.component_type == "SourcePreview")
+    assert all(r.confidence is not None and r.explanation for r in parts if r.component_type == "ConflictCard")
     assert kinds[0] == "AnswerText" and kinds.count("FactCard") == 6 and "ConflictCard" in kinds
 
 
@@ -108,6 +113,39 @@ def test_one_document_per_content(spark):
     assert store.read("documents").count() == 2
 
 
+def test_provider_errors_stay_with_their_texts(spark):
+    def load():
+        def answer(texts):
+            if any("broken" in t for t in texts):
+                raise ValueError("model refused")
+            return ['{"facts": [{"subject": "Acme", "subject_type": "org", "predicate": "revenue", "value_raw": "Rs. 5 crore", "quote": "Rs. 5 crore"}]}' for _ in texts]
+        return answer
+
+    store = Store(spark, scratch_path(spark, "provider"))
+    ingest_documents(store, arrivals(spark, [("good.txt", "Revenue was Rs. 5 crore."), ("bad.txt", "This one is broken.")]), provider=load)
+    names = {r.document_id: r.filename for r in store.read("documents").collect()}
+    assert store.read("facts").count() == 1
+    states = {(names[r.document_id], r.status): r.error for r in job_state(store.read("jobs")).collect() if r.stage == "extract_facts"}
+    assert states == {("good.txt", "done"): None, ("bad.txt", "failed"): "model refused"}
+
+
+def test_failed_stage_is_logged_and_may_be_tried_again(spark):
+    store = Store(spark, scratch_path(spark, "failed"))
+
+    def broken(chunks):
+        raise RuntimeError("no extractor today")
+
+    with pytest.raises(RuntimeError):
+        ingest_documents(store, arrivals(spark, CORPUS[:1]), extract=broken)
+    assert [r.status for r in store.read("documents").collect()] == ["failed"]
+    states = {r.stage: (r.status, r.error) for r in job_state(store.read("jobs")).collect()}
+    assert states["extract_facts"] == ("failed", "no extractor today") and states["chunk"] == ("done", None)
+    assert "reason_relationships" not in states
+    ingest_documents(store, arrivals(spark, CORPUS[:1]), batch=1)
+    assert sorted(r.status for r in store.read("documents").collect()) == ["failed", "ready"]
+    assert store.read("facts").count() == 1
+
+
 def test_scan_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
     (tmp_path / "b.txt").write_bytes(b"no")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from veritrace.functions.values import let
+
 # ----------------------------------------------------------------- assembly
 
 # Component for each kind of relationship.
@@ -60,37 +65,112 @@ def assemble(questions: DataFrame, fact_rows: DataFrame, relation_rows: DataFram
 
 # --------------------------------------------------------------- validation
 
-# Fields of each component. A field is "name:kind"; "?" marks it
-# optional, "~" optional and nullable even under the strict level.
+class Field(NamedTuple):
+    """A field of a component. A nullable one may be null even under the strict level."""
+
+    name: str
+    kind: str
+    optional: bool = False
+    nullable: bool = False
+
+
+# Fields of each component.
 FIELDS = {
-    "AnswerText": ["text:text", "citations?:citations"],
+    "AnswerText": [
+        Field("text", "text"),
+        Field("citations", "citations", optional=True),
+    ],
     "FactCard": [
-        "fact_id:id", "subject:text", "predicate:text", "value_display:text", "time_value?:text", "scope?:text",
-        "confidence:share", "source_count?:count",
+        Field("fact_id", "id"),
+        Field("subject", "text"),
+        Field("predicate", "text"),
+        Field("value_display", "text"),
+        Field("time_value", "text", optional=True),
+        Field("scope", "text", optional=True),
+        Field("confidence", "share"),
+        Field("source_count", "count", optional=True),
+    ],
+    "EvidenceCard": [
+        Field("evidence_id", "id", optional=True),
+        Field("document_id", "id"),
+        Field("document_filename", "text"),
+        Field("page", "page"),
+        Field("quote", "text"),
+    ],
+    "CorroborationCard": [
+        Field("fact_ids", "ids"),
+        Field("explanation", "text"),
+        Field("confidence", "share"),
     ],
-    "EvidenceCard": ["evidence_id?:id", "document_id:id", "document_filename:text", "page:page", "quote:text"],
-    "CorroborationCard": ["fact_ids:ids", "explanation:text", "confidence:share"],
     "ConflictCard": [
-        "fact_a_id:id", "fact_b_id:id", "relationship_type:conflict", "explanation:text", "confidence:share",
+        Field("fact_a_id", "id"),
+        Field("fact_b_id", "id"),
+        Field("relationship_type", "conflict"),
+        Field("explanation", "text"),
+        Field("confidence", "share"),
+    ],
+    "ReconciliationCard": [
+        Field("fact_a_id", "id"),
+        Field("fact_b_id", "id"),
+        Field("reason", "text"),
+        Field("explanation", "text"),
+        Field("confidence", "share"),
+    ],
+    "ComparisonTable": [
+        Field("title", "text", optional=True),
+        Field("rows", "rows"),
+    ],
+    "Timeline": [
+        Field("subject", "text"),
+        Field("events", "events"),
+    ],
+    "EntityCard": [
+        Field("entity_id", "id"),
+        Field("name", "text"),
+        Field("entity_type", "text"),
+        Field("fact_count", "count"),
+    ],
+    "UncertaintyCard": [
+        Field("message", "text"),
+        Field("reason", "text"),
     ],
-    "ReconciliationCard": ["fact_a_id:id", "fact_b_id:id", "reason:text", "explanation:text", "confidence:share"],
-    "ComparisonTable": ["title?:text", "rows:rows"],
-    "Timeline": ["subject:text", "events:events"],
-    "EntityCard": ["entity_id:id", "name:text", "entity_type:text", "fact_count:count"],
-    "UncertaintyCard": ["message:text", "reason:text"],
     "RelationshipCard": [
-        "relationship_id?:id", "fact_a_id:id", "fact_b_id:id", "relationship_type:text", "explanation:text",
-        "confidence:share",
+        Field("relationship_id", "id", optional=True),
+        Field("fact_a_id", "id"),
+        Field("fact_b_id", "id"),
+        Field("relationship_type", "text"),
+        Field("explanation", "text"),
+        Field("confidence", "share"),
     ],
     "SourcePreview": [
-        "document_id:id", "document_filename:text", "page:page", "quote:text", "fact_id?:id", "evidence_id?:id",
+        Field("document_id", "id"),
+        Field("document_filename", "text"),
+        Field("page", "page"),
+        Field("quote", "text"),
+        Field("fact_id", "id", optional=True),
+        Field("evidence_id", "id", optional=True),
     ],
 }
 # Fields of list items.
 ITEM_FIELDS = {
-    "citations": ["marker:text", "fact_id?:id", "evidence_id?:id", "document_id~:id", "page~:page", "label~:text"],
-    "rows": ["label:text", "value:text", "fact_id?:id"],
-    "events": ["time_value:text", "value_display:text", "fact_id?:id"],
+    "citations": [
+        Field("marker", "text"),
+        Field("fact_id", "id", optional=True),
+        Field("evidence_id", "id", optional=True),
+        Field("document_id", "id", optional=True, nullable=True),
+        Field("page", "page", optional=True, nullable=True),
+        Field("label", "text", optional=True, nullable=True),
+    ],
+    "rows": [
+        Field("label", "text"),
+        Field("value", "text"),
+        Field("fact_id", "id", optional=True),
+    ],
+    "events": [
+        Field("time_value", "text"),
+        Field("value_display", "text"),
+        Field("fact_id", "id", optional=True),
+    ],
 }
 # Fields that have a default other than null, and so reject null.
 DEFAULTED = {"citations", "source_count"}
@@ -102,12 +182,6 @@ def _fields(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def _parse_field(spec: str) -> tuple[str, str, str]:
-    name, kind = spec.split(":")
-    mark = name[-1] if name[-1] in "?~" else ""
-    return name.rstrip("?~"), kind, mark
-
-
 def _value_ok(value: Column, kind: str, strict: bool) -> Column:
     """Whether a present, non-null value fits. The lenient level reads numbers
     in strings, as the server's model does; the strict level does not, and also
@@ -141,27 +215,28 @@ def _value_ok(value: Column, kind: str, strict: bool) -> Column:
     return ok & (F.size(items) >= 1) if strict and kind in ("rows", "events") else ok
 
 
-def _object_ok(value: Column, specs: list[str], strict: bool) -> Column:
-    have = _fields(value)
-    ok = have.isNotNull()
-    for name, kind, mark in map(_parse_field, specs):
-        item = F.try_element_at(have, F.lit(name))
-        fits = F.coalesce(_value_ok(item, kind, strict), F.lit(False))
-        absent = ~F.map_contains_key(have, name)
-        null_ok = (mark == "~") or (mark == "?" and not strict and name not in DEFAULTED)
-        if mark:
-            fits = fits | absent
-        if null_ok:
-            fits = fits | F.is_variant_null(item)
-        ok = ok & F.coalesce(fits, F.lit(False))
-    return F.coalesce(ok, F.lit(False))
+def _object_ok(value: Column, fields: list[Field], strict: bool) -> Column:
+    def judge(have: Column) -> Column:
+        ok = have.isNotNull()
+        for field in fields:
+            item = F.try_element_at(have, F.lit(field.name))
+            fits = F.coalesce(_value_ok(item, field.kind, strict), F.lit(False))
+            if field.optional:
+                fits = fits | ~F.map_contains_key(have, field.name)
+            if field.nullable or (field.optional and not strict and field.name not in DEFAULTED):
+                fits = fits | F.is_variant_null(item)
+            ok = ok & F.coalesce(fits, F.lit(False))
+        return F.coalesce(ok, F.lit(False))
+
+    # The map is built once, not once per field.
+    return let(_fields(value), judge)
 
 
 def component_ok(component: Column, strict: bool) -> Column:
     kind = F.try_variant_get(component, "$.type", "string")
     ok = F.lit(False)
-    for name, specs in FIELDS.items():
-        ok = F.when(kind == name, _object_ok(component, specs, strict)).otherwise(ok)
+    for name, fields in FIELDS.items():
+        ok = F.when(kind == name, _object_ok(component, fields, strict)).otherwise(ok)
     return F.when(F.schema_of_variant(component).startswith("OBJECT"), ok).otherwise(False)
 
 
@@ -198,11 +273,33 @@ def validate_plans(plans: DataFrame, raw: str = "plan") -> DataFrame:
     )
 
 
+def accepted_plans(plans: DataFrame, raw: str = "plan") -> DataFrame:
+    """Adds ``accepted``: the plan itself if it is valid, else a plan of one uncertainty card."""
+    message = {"type": "UncertaintyCard", "message": "No reliable answer could be built.", "reason": "The answer plan was not valid."}
+    fallback = json.dumps({"components": [message]})
+    judged = validate_plans(plans, raw)
+    return judged.withColumn("accepted", F.when(F.col("valid_lenient"), F.col(raw)).otherwise(F.lit(fallback)))
+
+
 # ---------------------------------------------------------------- citations
 
 MARKER = r"\[\d+\]"
 
 
+def card_details(components: DataFrame, fact_rows: DataFrame, relation_rows: DataFrame) -> DataFrame:
+    """Adds explanation and confidence to cards of facts and relationships."""
+    facts = fact_rows.select(F.col("fact_id").alias("fact_a_id"), F.col("confidence").alias("f_conf")).dropDuplicates(["fact_a_id"])
+    told = relation_rows.select("relationship_id", "explanation", F.col("confidence").alias("r_conf")).dropDuplicates(["relationship_id"])
+    return components.join(facts, "fact_a_id", "left").join(told, "relationship_id", "left").withColumn(
+        "confidence", F.when(F.col("relationship_id").isNotNull(), F.col("r_conf")).when(F.col("component_type") == "FactCard", F.col("f_conf"))
+    ).drop("f_conf", "r_conf")
+
+
+def source_previews(chunk_rows: DataFrame) -> DataFrame:
+    """A preview per retrieved chunk, after all cards."""
+    return chunk_rows.select("question_id", F.lit(3).alias("section"), "rank", F.lit("SourcePreview").alias("component_type"), "chunk_id", F.col("snippet").alias("quote"))
+
+
 def resolve_citations(answers: DataFrame, citations: DataFrame) -> DataFrame:
     """Markers such as [2] in (answer_id, text), each with its citation.
 

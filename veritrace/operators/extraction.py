@@ -240,26 +240,49 @@ Provider = Callable[[pd.Series], list]
 
 
 def extract_by_provider(chunks: DataFrame, load_provider: Callable[[], Provider]) -> DataFrame:
-    """Adds ``raw_response`` from a plug-in model, loaded once per task. An
-    exception of the provider fails its batch's rows only: it is recorded in
-    ``provider_error`` and the response is NULL."""
+    """Adds ``raw_response`` from a plug-in model, loaded once per task. Where
+    the provider fails on a batch, its texts are given one by one; the error of a
+    text that fails alone is in ``provider_error`` and its response is NULL."""
     schema = T.StructType(
         [*chunks.schema.fields, T.StructField("raw_response", T.StringType()), T.StructField("provider_error", T.StringType())]
     )
 
+    def ask(provider: Provider, texts: pd.Series) -> list[tuple]:
+        try:
+            return [(r, None) for r in provider(texts)]
+        except Exception as exc:  # noqa: BLE001 - any provider failure is data
+            if len(texts) == 1:
+                return [(None, str(exc))]
+        return [ask(provider, texts.iloc[i:i + 1])[0] for i in range(len(texts))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = None
+        provider = load_provider()
         for batch in batches:
-            try:
-                provider = provider or load_provider()
-                batch = batch.assign(raw_response=provider(batch["text"]), provider_error=None)
-            except Exception as exc:  # noqa: BLE001 - any provider failure is data
-                batch = batch.assign(raw_response=None, provider_error=str(exc))
-            yield batch
+            said = ask(provider, batch["text"]) if len(batch) else []
+            yield batch.assign(raw_response=[r for r, _ in said], provider_error=[e for _, e in said])
 
     return chunks.mapInPandas(run, schema)
 
 
+def provider_facts(answered: DataFrame) -> DataFrame:
+    """Proposed facts of chunks with ``raw_response``, as ``extract_by_rule`` gives them."""
+    items = coerce_facts(parse_responses(answered).drop("raw_response", "provider_error", "error"))
+    number = F.lpad(F.col("item_no").cast("string"), 10, "0")
+    return items.filter(F.col("drop_reason").isNull()).withColumn("fact_no", number).drop("item_no", "drop_reason", "value_json", "qualifiers_json")
+
+
+def provider_attempts(answered: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(document_id, chunk_no, n_facts, n_dropped, error) per chunk, for ``grounding_metrics``."""
+    counts = proposed.groupBy("chunk_id").agg(
+        F.count_if(F.col("grounding") != "none").alias("f"), F.count_if(F.col("grounding") == "none").alias("d")
+    )
+    tried = parse_responses(answered).withColumn("error", F.coalesce("provider_error", "error"))
+    zero = F.lit(0)
+    return tried.join(counts, "chunk_id", "left").select(
+        "document_id", "chunk_no", F.coalesce("f", zero).alias("n_facts"), F.coalesce("d", zero).alias("n_dropped"), "error"
+    )
+
+
 # ------------------------------------------------------------ rows and log
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -44,12 +45,12 @@ class Store:
 
 
 def fresh_documents(store: Store, arrivals: DataFrame, batch: int) -> DataFrame:
-    """Arrivals (filename, text) with content that is not stored: one per
-    content, under its first file name. The document id is the content's hash,
+    """Arrivals (filename, text) with content that is not stored, or whose
+    processing failed: one per content, under its first file name. The document id is the content's hash,
     so names may repeat, and several names may stand for one content."""
     docs = ingest.fingerprint_documents(arrivals, "text", mime="text/plain")
     first = docs.groupBy("sha256").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "sha256"]), "filename").alias("d"))
-    stored = store.read("documents", before=batch).select("sha256").distinct()
+    stored = store.read("documents", before=batch).filter(F.col("status") != "failed").select("sha256").distinct()
     return first.join(stored, "sha256", "left_anti").select("sha256", "d.*").withColumn(
         "document_id", schemas.natural_id(F.lit("document"), "sha256")
     )
@@ -65,7 +66,7 @@ def text_pages(docs: DataFrame, repair: bool = True) -> DataFrame:
     )
 
 
-def _resolve_subjects(store: Store, proposed: DataFrame, batch: int) -> DataFrame:
+def _resolve_subjects(store: Store, proposed: DataFrame, batch: int, choose: Callable) -> DataFrame:
     """Entity for each distinct (normalized name, type), storing what is new.
     Returns subject_key, subject_type, entity_id."""
     stored = store.read("entities", before=batch)
@@ -79,7 +80,7 @@ def _resolve_subjects(store: Store, proposed: DataFrame, batch: int) -> DataFram
         ), "mentions",
     )
     found = entities.candidate_entities(mentions, stored)
-    choices = entities.guard_choice(entities.choose_by_similarity(mentions, stored, found), found)
+    choices = entities.guard_choice(choose(mentions, stored, found), found)
     resolved = materialize(entities.resolve(mentions, choices), "resolved")
     new = resolved.filter(F.col("decision") == "new")
     among = entities.resolve_batch(new.select("mention_id", "name", "entity_type", "seq"))
@@ -109,26 +110,52 @@ def ingest_documents(
     embed: Callable = embed_hash,
     extract: Callable[[DataFrame], DataFrame] = extraction.extract_by_rule,
     classify: Callable[[DataFrame], DataFrame] = reasoning.classify_pairs,
+    choose: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = entities.choose_by_similarity,
+    provider: Callable[[], extraction.Provider] | None = None,
 ) -> None:
     """Runs every stage for the new documents among ``arrivals`` and compares
     their facts with everything stored.
 
-    Stage results are written before they are used again, so a provider is
-    called once per row. ``batch`` numbers must grow; repeating a number
-    replaces what that batch stored, which makes replays harmless.
+    Facts come from ``extract``, or from the responses of a model if ``provider``
+    is given; ``choose`` picks an entity among the candidates. Stage results are
+    written before they are used again, so a provider is called once per row.
+    ``batch`` numbers must grow; repeating the last one replaces what it stored.
+
+    If a stage fails, it is logged as failed with its error, the documents of the
+    batch are stored as failed, and the error goes on to the caller. A text on
+    which only the provider fails does not stop the batch.
     """
     docs = materialize(fresh_documents(store, arrivals, batch), "docs")
+    started: list[str] = []
+    try:
+        _run_stages(store, docs, batch, embed, extract, classify, choose, provider, started)
+    except Exception as error:
+        _record_failure(store, docs, batch, started, error)
+        raise
+
+
+def _run_stages(store: Store, docs: DataFrame, batch: int, embed, extract, classify, choose, provider, started: list[str]) -> None:
+    started.append("extract_text")
     pages = materialize(text_pages(docs), "pages")
     store.write("pages", pages, batch)
 
+    started.append("chunk")
     chunks = chunking.build_chunks(pages).withColumn("chunk_id", schemas.natural_id("document_id", "chunk_no"))
+    started.append("embed")
     chunks = materialize(chunking.embed_chunks(chunks, embed), "chunks")
     store.write("chunks", chunks, batch)
 
-    proposed = materialize(extraction.ground(extract(chunks)), "proposed")
+    started.append("extract_facts")
+    outcome = None
+    if provider is None:
+        proposed = materialize(extraction.ground(extract(chunks)), "proposed")
+    else:
+        answered = materialize(extraction.extract_by_provider(chunks, provider), "answered")
+        proposed = materialize(extraction.ground(extraction.provider_facts(answered)), "proposed")
+        outcome = extraction.extraction_outcome(extraction.grounding_metrics(extraction.provider_attempts(answered, proposed)))
     grounded = extraction.keep_grounded(proposed)
     store.write("predicates", ontology.grow_ontology(grounded, store.read("predicates", before=batch)), batch)
-    subjects = _resolve_subjects(store, grounded, batch)
+    subjects = _resolve_subjects(store, grounded, batch, choose)
     named = ontology.lookup_predicates(grounded, store.read("predicates")).withColumn(
         "key", tx.normalized_key(F.col("subject"))
     ).join(
@@ -144,20 +171,50 @@ def ingest_documents(
         counts, "document_id", "left"
     ).withColumns({"status": F.lit("ready"), "processed_at": F.current_timestamp()}), batch)
 
+    started.append("reason_relationships")
     related = reasoning.reason(
         store.read("facts"), store.read("evidence"), store.read("documents"), store.read("entities"),
         store.read("predicates"), store.read("relationships", before=batch), anchors=facts, classify=classify,
     )
     store.write("relationships", related, batch)
-    store.write("jobs", _events(docs, pages, chunks, proposed, store.read("relationships"), facts, batch), batch)
+    events = _events(docs, pages, chunks, proposed, store.read("relationships"), facts, batch, outcome)
+    store.write("jobs", _started(docs, batch, started).unionByName(events), batch)
+
+
+def _seq(batch: int, stage: str, closing: bool):
+    """Events of a batch in order: each stage starts, then closes."""
+    return F.lit(2 * (batch * len(runlog.STAGES) + runlog.STAGES.index(stage)) + int(closing))
+
+
+def _started(docs: DataFrame, batch: int, stages: list[str]) -> DataFrame:
+    rows = [runlog.stage_events(docs, stage, "running", _seq(batch, stage, False)) for stage in stages]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _record_failure(store: Store, docs: DataFrame, batch: int, started: list[str], error: Exception) -> None:
+    """Closes the stages of a batch that stopped, and marks its documents."""
+    running = _started(docs, batch, started)
+    last = runlog.job_state(running.filter(F.col("stage") == started[-1]))
+    failures = docs.select("document_id", F.lit(str(error)[:2000]).alias("failure"))
+    closed = [
+        runlog.stage_events(runlog.fail_running(last, failures), started[-1], "failed", _seq(batch, started[-1], True), error=F.col("error")),
+        *(runlog.stage_events(docs, stage, "done", _seq(batch, stage, True)) for stage in started[:-1]),
+    ]
+    store.write("jobs", reduce(DataFrame.unionByName, closed, running), batch)
+    rows = ingest.document_rows(docs).drop("page_count", "status", "processed_at")
+    store.write("documents", rows.withColumns({
+        "page_count": F.lit(None).cast("int"), "status": F.lit("failed"), "processed_at": F.lit(None).cast("timestamp"),
+    }), batch)
 
 
 def _events(
-    docs: DataFrame, pages: DataFrame, chunks: DataFrame, proposed: DataFrame, related: DataFrame, facts: DataFrame, batch: int
+    docs: DataFrame, pages: DataFrame, chunks: DataFrame, proposed: DataFrame, related: DataFrame, facts: DataFrame, batch: int,
+    outcome: DataFrame | None = None,
 ) -> DataFrame:
-    """One closing event per document and stage, with the stage's metrics."""
+    """One closing event per document and stage, with the stage's metrics. Extraction
+    by a provider failed where every chunk of the document did (``outcome``)."""
     def closing(counts: DataFrame, stage: str, **metrics) -> DataFrame:
-        seq = F.lit(batch * len(runlog.STAGES) + runlog.STAGES.index(stage))
+        seq = _seq(batch, stage, True)
         joined = docs.select("document_id").join(counts, "document_id", "left")
         packed = F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(name) for name, c in metrics.items()])
         return runlog.stage_events(joined.withColumn("packed", packed), stage, "done", seq, metrics=F.col("packed"))
@@ -170,11 +227,17 @@ def _events(
         F.count_if(F.col("grounding") == "normalized").alias("not_verbatim"),
     )
     owners = facts.select(F.col("fact_id").alias("fact_a_id"), "document_id")
+    extracted = closing(drops, "extract_facts", facts="kept", dropped_ungrounded="dropped", dropped_not_verbatim="not_verbatim")
+    if outcome is not None:
+        told = outcome.select("document_id", "job_status", "job_error", "sample_error")
+        extracted = extracted.join(told, "document_id", "left").withColumns({
+            "status": F.coalesce("job_status", "status"), "error": F.coalesce("job_error", "sample_error"),
+        }).drop("job_status", "job_error", "sample_error")
     return (
         closing(count(pages), "extract_text", pages="n")
         .unionByName(closing(count(chunks), "chunk", chunks="n"))
         .unionByName(closing(count(chunks.filter(F.col("embedding").isNotNull())), "embed", embedded="n"))
-        .unionByName(closing(drops, "extract_facts", facts="kept", dropped_ungrounded="dropped", dropped_not_verbatim="not_verbatim"))
+        .unionByName(extracted)
         .unionByName(closing(count(related.join(owners, "fact_a_id")), "reason_relationships", relationships_created="n"))
     )
 
@@ -201,12 +264,14 @@ def recompute(
 
 def ask(store: Store, questions: DataFrame, embed: Callable = embed_hash) -> DataFrame:
     """Answer components for (question_id, question) rows; blank questions are
-    rejected."""
+    rejected. Cards have their explanation and confidence, and a preview of each
+    retrieved chunk follows them."""
     asked = materialize(
         retrieval.valid_questions(questions).withColumn("embedding", embed(F.col("question"))), "questions"
     )
     facts = store.read("facts")
     named = views.named_facts(facts, store.read("documents"), store.read("entities"), store.read("predicates"))
     relationships = store.read("relationships").withColumn("relationship_id", F.xxhash64("fact_a_id", "fact_b_id"))
-    fact_rows, relation_rows, _ = retrieval.evidence_bundle(asked, store.read("chunks"), facts, named, relationships)
-    return answers.assemble(asked, fact_rows, relation_rows)
+    fact_rows, relation_rows, chunk_rows = retrieval.evidence_bundle(asked, store.read("chunks"), facts, named, relationships)
+    parts = answers.card_details(answers.assemble(asked, fact_rows, relation_rows), fact_rows, relation_rows)
+    return parts.unionByName(answers.source_previews(chunk_rows), allowMissingColumns=True)
