@@ -6,11 +6,12 @@ joined at once and go on as one representative, the row of least id.
 
 Candidates. Two sets with ``100 * |A & B| >= percent * |A | B|`` share one of
 the first ``n - ceil(percent * n / 100) + 1`` n-grams of each. N-grams seen
-once match nothing and bound the overlap from above. Rows of one such n-gram
-are not paired with each other: they are first compared with the one among
-them that has the largest share of repeated n-grams, which joins the bulk of a group of near copies in
+once match nothing, and the place of the first shared one bounds the overlap
+from above. Rows of one such n-gram are not paired with each other: they are
+first compared with the one among them that has it earliest in its order, the
+least altered of a group of near copies, which joins the bulk of the group in
 one round. Only pairs that are then still in different components, and pass
-the bounds on size, order and overlap, are compared in a second round. So the
+the bounds on size and overlap, are compared in a second round. So the
 components are exact, and a group of m near copies costs about m comparisons.
 
 Comparison. The order is cut into fragments (vertical partitions). Each pair's
@@ -107,8 +108,11 @@ def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int, seen) -> I
 
 
 def _possible(a: str, b: str, percent: int):
-    """Whether sizes and single n-grams leave room for enough overlap."""
-    most = F.least(*(F.col(f"{s}.n") - F.col(f"{s}.single") for s in (a, b)))
+    """Whether sizes and places leave room for enough overlap. At the first
+    n-gram that two sets share, none before it is shared, so no more than
+    what follows in either can be (``most``). At later ones less is left, so
+    a pair that fails here at its first fails at all."""
+    most = F.least(F.col(f"{a}.most"), F.col(f"{b}.most"))
     return most * (100 + percent) >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
@@ -198,13 +202,15 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, percent: int = PERCENT, b
     seen.destroy()
     names = entries.select("r", "_id", "_h")
     postings = keep(
-        entries.select("r", "n", "single", F.explode("prefix").alias("token")).withColumn("most", F.col("n") - F.col("single")), "postings"
+        entries.select("r", "n", "single", F.posexplode("prefix").alias("i", "token")).select(
+            "r", "n", (F.col("n") - F.col("single") - F.col("i")).alias("most"), "token"
+        ), "postings"
     )
     # First round: every row against the least altered row of its n-gram.
     best = postings.groupBy("token").agg(
-        F.count(F.lit(1)).alias("df"), F.min(F.struct((F.col("single") / F.col("n")).alias("u"), "r", "n", "single")).alias("p")
+        F.count(F.lit(1)).alias("df"), F.max(F.struct((F.col("most") / F.col("n")).alias("u"), "r", "n", "most")).alias("p")
     ).filter("df > 1").drop("df")
-    star = postings.select("token", F.struct("r", "n", "single").alias("q")).join(best, "token").filter("q.r != p.r")
+    star = postings.select("token", F.struct("r", "n", "most").alias("q")).join(best, "token").filter("q.r != p.r")
     sizes = F.least("q.n", "p.n") * 100 >= F.greatest("q.n", "p.n") * percent
     star = star.filter(sizes & _possible("q", "p", percent)).select(F.least("q.r", "p.r").alias("a"), F.greatest("q.r", "p.r").alias("b"))
     near = keep(verified(star.distinct(), entries, percent), "links")
