@@ -32,7 +32,7 @@ from veritrace.llm.components import components
 
 GRAM, PERCENT = 4, 85
 #: Counters per sketch row, as a power of two, and the two counts that part the order.
-SKETCH_BITS, OFTEN = 27, (2, 64)
+SKETCH_BITS, OFTEN = 26, (2, 64)
 FRAGMENTS = 8
 SET = "_id long, _h long, n int, k1 long, k2 long"
 ENTRY = "_id long, _h long, n int, single int, prefix array<long>, grams array<binary>"
