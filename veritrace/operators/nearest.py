@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from veritrace.session import materialize
+
 TILE_ROWS = 4096
 # Anchors compared at a time inside a tile; bounds its memory.
 SLICE_ROWS = 512
@@ -250,6 +252,8 @@ def nearest_by_bucket(
         found.select("anchor_id", "candidate_id", "distance").dropDuplicates(["anchor_id", "candidate_id"])
         .withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
     )
+    # Used twice, and dear.
+    close = materialize(close, "near")
     served = close.filter(F.col("rank") == k).select("anchor_id")
     rest = nearest(anchors.join(served, "anchor_id", "left_anti"), candidates, k, group=group)
     return close.join(served, "anchor_id", "left_semi").unionByName(rest.select("anchor_id", "candidate_id", "distance", "rank"))
