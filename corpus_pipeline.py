@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from veritrace.llm import base, exact_dedup, jaccard, mixing, packing, quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies share this many per cent of their shingles of so many words. Not those of op7's query.
+SHINGLE, SIMILAR = 5, 80
 #: The scored stage and the packing model have no equivalent in SQL.
 ORACLE_SQL = None
 
@@ -45,7 +47,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near copies, and all empty ones."""
     base.ready(spark)
-    told = jaccard.jaccard_components(docs).withColumn("_id", F.coalesce("doc_id", F.lit(base.NO_ID)))
+    told = jaccard.jaccard_components(docs, k=SHINGLE, percent=SIMILAR).withColumn("_id", F.coalesce("doc_id", F.lit(base.NO_ID)))
     kept = told.filter("n_shingles = 0 or (_id = _c._id and _h = _c._h)").select("_id", "_h")
     return _only(docs, kept)
 
