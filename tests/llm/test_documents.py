@@ -78,6 +78,45 @@ def test_jaccard_chains(spark, seed):
     assert order((r.doc_id, r.n_shingles, r.component_id) for r in got) == order(edge.jaccard(rows))
 
 
+def test_jaccard_deals_a_common_gram(spark):
+    """An n-gram with one large component and stragglers: no task's group holds
+    it, the component does not meet itself, and no pair of two components is lost."""
+    ready(spark)
+    rng, block = random.Random(1), 32
+    rows = [(5, i, n := rng.randint(80, 130), n - rng.randint(0, 10), 0) for i in range(1500)]
+    rows += [(5, 2000 + i, n := rng.randint(60, 130), n - rng.randint(0, 20), 2000 + i % 40) for i in range(60)]
+    rows += [(6, i, 100, 90, 0) for i in range(50)] + [(7, 1, 100, 90, 0), (7, 2000, 100, 90, 2000), (7, 3000, 20, 20, 3000)]
+    df = spark.createDataFrame(rows, "token long, r long, n int, most int, comp long").repartition(4)
+    groups = collections.defaultdict(list)
+    for r in jaccard.dealt(df, 85, block).collect():
+        groups[r.token, r.x, r.y].append(r)
+    assert max(map(len, groups.values())) <= 4 * block and 6 not in {key[0] for key in groups}
+    assert all(len({r.comp for r in own}) > 1 for own in groups.values())
+    assert sum(map(len, groups.values())) < 20 * len(rows)
+    want = {
+        (min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows
+        if a[0] == b[0] and a[4] != b[4] and 100 * min(a[2], b[2]) >= 85 * max(a[2], b[2]) and 185 * min(a[3], b[3]) >= 85 * (a[2] + b[2])
+    }
+    got = [(r.a, r.b) for r in jaccard.crossing(df, 85, block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1500
+
+
+def test_jaccard_in_small_blocks(spark):
+    """A family of chains whose n-grams all span several blocks."""
+    ready(spark)
+    rng, rows = random.Random(9), []
+    own = [f"w{i}" for i in range(60)]
+    for step in range(120):
+        own = list(own)
+        own[rng.randrange(len(own))] = f"n{step}"
+        rows.append((step * 7 % 121, " ".join(own)))
+        if step % 5 == 0:
+            rows.append((200 + step, " ".join(own + [f"x{step}-{i}" for i in range(rng.randint(0, 14))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard.jaccard_components(df, bits=16, block=3).collect()
+    assert order((r.doc_id, r.n_shingles, r.component_id) for r in got) == order(edge.jaccard(rows))
+
+
 def test_components_of_a_path(spark):
     n = 300
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)], "a long, b long")

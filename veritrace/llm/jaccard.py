@@ -12,7 +12,10 @@ first compared with the one among them that has it earliest in its order, the
 least altered of a group of near copies, which joins the bulk of the group in
 one round. Only pairs that are then still in different components, and pass
 the bounds on size and overlap, are compared in a second round. So the
-components are exact, and a group of m near copies costs about m comparisons.
+components are exact. A group of m near copies that the first round joins costs
+about m comparisons; a row that it leaves apart is compared with all that pass the
+bounds. An n-gram's rows are dealt to blocks of near size, and to pairs of blocks of
+different components, so no task holds an n-gram.
 
 Comparison. The order is cut into fragments (vertical partitions). Each pair's
 overlap is counted in each fragment on its own and summed per pair.
@@ -34,6 +37,8 @@ GRAM, PERCENT = 4, 85
 #: Counters per sketch row, as a power of two, and the two counts that part the order.
 SKETCH_BITS, OFTEN = 27, (2, 64)
 FRAGMENTS = 8
+#: Rows of one n-gram that the second round holds at once, about.
+BLOCK = 2048
 SET = "_id long, _h long, n int, k1 long, k2 long"
 ENTRY = "_id long, _h long, n int, single int, prefix array<long>, grams array<binary>"
 
@@ -140,45 +145,88 @@ def verified(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
 
 def _crossing(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one n-gram's rows that are in different components and pass the
-    bounds. Rows come sorted by n-gram and size; a row is compared with those
-    before it whose size is close enough, as arrays."""
+    bounds. Rows come sorted by n-gram and pair of blocks (x, y), ``own`` first
+    the rows of x, then of y; those of x meet those of y as arrays, and each
+    other if x is y."""
     at, held = None, []
     done: set[tuple[int, int]] = set()
 
     def finish() -> Iterator[pa.RecordBatch]:
         rows = np.array(held, dtype=np.int64)
         held.clear()
-        r, n, most, comp = rows.T
-        if len(r) < 2 or (comp == comp[0]).all():
-            return
+        one = at[1] == at[2]
+        mine, theirs = (rows, rows) if one else (rows[rows[:, 0] == 0], rows[rows[:, 0] == 1])
+        theirs = theirs[np.argsort(theirs[:, 2], kind="stable")]
+        _, r, n, most, comp = theirs.T
         left, right = [], []
-        low = np.searchsorted(n * 100, n * percent)
-        for i in range(1, len(r)):
-            j = np.arange(low[i], i)
-            fits = (comp[j] != comp[i]) & (np.minimum(most[j], most[i]) * (100 + percent) >= percent * (n[j] + n[i]))
-            for other in r[j[fits]]:
-                pair = (int(min(r[i], other)), int(max(r[i], other)))
+        for _, r0, n0, most0, comp0 in mine:
+            # Sizes of which neither is less than so many per cent of the other.
+            j = slice(np.searchsorted(n * 100, n0 * percent), np.searchsorted(n * percent, n0 * 100, side="right"))
+            fits = (comp[j] != comp0) & (np.minimum(most[j], most0) * (100 + percent) >= percent * (n[j] + n0))
+            for other in r[j][fits]:
+                pair = (int(min(r0, other)), int(max(r0, other)))
                 if pair not in done:
                     done.add(pair)
                     left.append(pair[0])
                     right.append(pair[1])
-        if len(done) > 1 << 20:
-            done.clear()
+                    if len(left) >= 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                        left, right = [], []
+            if len(done) > 1 << 20:
+                done.clear()
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        columns = [batch[c].to_pylist() for c in ("token", "r", "n", "most", "comp")]
-        for token, *row in zip(*columns):
-            if token != at and held:
+        columns = [batch[c].to_pylist() for c in ("token", "x", "y", "own", "r", "n", "most", "comp")]
+        for token, x, y, *row in zip(*columns):
+            if (token, x, y) != at and held:
                 yield from finish()
-            at = token
+            at = (token, x, y)
             held.append(row)
     if held:
         yield from finish()
 
 
-def jaccard_components(docs: DataFrame, k: int = GRAM, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
+def dealt(labelled: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """The rows (token, r, n, most, comp) of n-grams that span components, once for
+    each pair of blocks (x, y) in which they may meet a row of another component.
+
+    A block has about ``block`` rows of one n-gram and of near size: of one component if that
+    has as many, else of several. Blocks of the same single component do
+    not meet, nor blocks whose bounds on size and overlap let no pair through."""
+    band = F.floor(F.log("n") / F.log(F.lit(max(100 / percent, 1.01)))).alias("band")
+    parts = labelled.groupBy("token", "comp", band).agg(F.count(F.lit(1)).alias("m"))
+    spans = parts.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum("m").alias("all")).filter("c0 != c1")
+    # An n-gram of few rows is one block; in others, what is small of one band goes together.
+    home = F.when(F.col("all") <= block, F.lit(0)).when(F.col("m") >= block, F.xxhash64("comp", "band")).otherwise(F.xxhash64("band"))
+    parts = parts.join(spans.select("token", "all"), "token").withColumn("home", home)
+    deals = parts.groupBy("token", "home").agg(F.ceil(F.sum("m") / block).alias("deal"))
+    places = parts.select("token", "comp", "band", "home").join(deals, ["token", "home"])
+    rows = labelled.select("*", band).join(places, ["token", "comp", "band"])
+    rows = rows.withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("r"), "deal")))
+    rows = keep(rows.select("token", "r", "n", "most", "comp", "block"), "far")
+    told = rows.groupBy("token", "block").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("most").alias("most")
+    )
+    x, y = (told.select("token", *(F.col(c).alias(f"{c}{s}") for c in ("block", "c0", "c1", "n0", "n1", "most"))) for s in "xy")
+    near = (F.col("n1x") * 100 >= F.col("n0y") * percent) & (F.col("n1y") * 100 >= F.col("n0x") * percent)
+    room = F.least("mostx", "mosty") * (100 + percent) >= percent * (F.col("n0x") + F.col("n0y"))
+    apart = F.least("c0x", "c0y") != F.greatest("c1x", "c1y")
+    pairs = x.join(y, "token").filter(F.col("blockx") <= F.col("blocky")).filter(apart & near & room).select("token", F.col("blockx").alias("x"), F.col("blocky").alias("y"))
+    sides = pairs.select("token", "x", "y", F.explode(F.expr("if(x = y, array(0), array(0, 1))")).alias("own"))
+    sides = sides.withColumn("block", F.when(F.col("own") == 0, F.col("x")).otherwise(F.col("y")))
+    return rows.join(sides, ["token", "block"]).select("token", "x", "y", "own", "r", "n", "most", "comp")
+
+
+def crossing(labelled: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """The pairs (a, b) of rows that share an n-gram, are in different components and pass the bounds."""
+    keys = ["token", "x", "y"]
+    far = dealt(labelled, percent, block).repartition(partitions(labelled.sparkSession), *keys).sortWithinPartitions(*keys)
+    return far.mapInArrow(lambda it: _crossing(it, percent), "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, k: int = GRAM, percent: int = PERCENT, bits: int = SKETCH_BITS, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, ``_h``, and ``_c``,
     the least row of the component.
 
@@ -219,11 +267,7 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, percent: int = PERCENT, b
     labelled = postings.join(label, F.col("r") == F.col("node"), "left").select(
         "token", "r", "n", "most", F.coalesce("component", "r").alias("comp")
     )
-    apart = labelled.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("token")
-    count = partitions(spark)
-    far = labelled.join(apart, "token").repartition(count, "token").sortWithinPartitions("token", "n")
-    crossing = far.mapInArrow(lambda it: _crossing(it, percent), "a long, b long").distinct()
-    links = keep(near.union(verified(crossing, entries, percent)), "links")
+    links = keep(near.union(verified(crossing(labelled, percent, block), entries, percent)), "links")
     # Back to rows: a component is named by the least row of its classes.
     label = components(links)
     member = names.join(label, F.col("r") == F.col("node"), "left").select(F.struct("_id", "_h").alias("rep"), F.coalesce("component", "r").alias("c"))
