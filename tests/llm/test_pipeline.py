@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+
 import corpus_pipeline
 from tests.llm import edge
+from veritrace.llm import mixing
 from veritrace.llm.base import ready
 
 
@@ -20,3 +23,39 @@ def test_near_copies_are_told_by_five_words(spark):
     assert len(a & b) / len(a | b) == 0.82
     got = corpus_pipeline.without_near_copies(spark, corpus(spark, rows), "")
     assert sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def texts(df):
+    return collections.Counter((r.doc_id, r.text or "") for r in df.collect())
+
+
+def test_dedup_stages_on_the_awkward_table(spark):
+    """Nulls, repeated rows and empty texts: one row for each group, and all its rows' groups are there."""
+    ready(spark)
+    df, rows = edge.documents(spark)
+    df = df.cache()
+    got = texts(corpus_pipeline.without_copies(spark, df, ""))
+    squeezed = collections.Counter(edge.SPACE.sub("", t) for _, t in rows)
+    assert collections.Counter(edge.SPACE.sub("", t) for _, t in got.elements()) == dict.fromkeys(squeezed, 1)
+    assert not got - collections.Counter(rows)
+    got = texts(corpus_pipeline.without_near_copies(spark, df, ""))
+    empty = {r for r in rows if not edge.shingles(r[1])}
+    groups = {c for r, (_, _, c) in zip(rows, edge.jaccard(rows, 80, 5)) if r not in empty and r[0] is not None}
+    assert {r for r in got if r in empty} == empty and max(got.values()) == 1
+    assert {i for i, t in got if (i, t) not in empty and i is not None} == groups - {None}
+
+
+def test_mixture_takes_the_picks(spark):
+    """Each pick of the mixture is a row, as often as its epochs say."""
+    ready(spark)
+    rows = [(i, f"text {i} " + "word " * (i % 9)) for i in range(60)]
+    df = corpus(spark, rows)
+    picks = collections.Counter(r.doc_id for r in mixing.mix(df, mixing.sample_domain(), mixing.sample_weights()).collect())
+    assert collections.Counter(r.doc_id for r in corpus_pipeline.mixture(spark, df, "").collect()) == picks
+
+
+def test_stages_on_an_empty_table(spark):
+    ready(spark)
+    df = corpus(spark, [(1, "a")]).filter("false")
+    for stage in (corpus_pipeline.without_copies, corpus_pipeline.without_near_copies, corpus_pipeline.mixture, corpus_pipeline.packed):
+        assert stage(spark, df, "").count() == 0
