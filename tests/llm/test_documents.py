@@ -258,6 +258,21 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {("a", "en", "x"): 10, ("a", "en", "y"): 90, ("a", "de", "z"): 100, ("b", "en", "v"): 200}
 
 
+def test_weight_zero_is_no_capacity(spark):
+    """What a domain holds in a language of weight 0 does not draw budget from its siblings."""
+    ready(spark)
+    leaves = spark.createDataFrame(
+        [("a", "en", "x", 10), ("a", "de", "z", 1000), ("b", "en", "v", 1000), ("b", "en", "off", 1000)],
+        "domain string, lang string, source string, tokens long",
+    )
+    from pyspark.sql import functions as F
+
+    zero = {"lang": {"de": 0}, "source": {"off": 0}}
+    weights = {name: mixing.weighted(name, zero.get(name, {})) for name in mixing.LEVELS}
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(leaves, weights, F.lit(400), 1).collect()}
+    assert got == {("a", "en", "x"): 10, ("b", "en", "v"): 390}
+
+
 def test_sketch_never_underestimates(spark):
     ready(spark)
     values = np.random.default_rng(1).integers(0, 400, 3000).astype(np.uint64)

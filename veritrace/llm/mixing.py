@@ -64,7 +64,12 @@ def share(children: DataFrame, parent: list[str]) -> DataFrame:
 
 def budgets(leaves: DataFrame, weights: dict[str, Column], total: Column, epochs: int) -> DataFrame:
     """Adds ``budget`` to ``leaves``, which have the levels and ``tokens``."""
-    caps = leaves.select(*LEVELS, "tokens", (F.col("tokens") * epochs).alias("cap"), F.lit(0).alias("_root"))
+    # What weighs 0 on any level gets nothing, so it is no capacity of the nodes above.
+    counts = F.lit(True)
+    for name in LEVELS:
+        counts = counts & (weights[name] > 0)
+    cap = F.when(counts, F.col("tokens") * epochs).otherwise(F.lit(0).cast("long")).alias("cap")
+    caps = leaves.select(*LEVELS, "tokens", cap, F.lit(0).alias("_root"))
     above = caps.groupBy("_root").agg(F.least(total.cast("long"), F.sum("cap")).alias("budget"))
     parent = ["_root"]
     for name in LEVELS:
