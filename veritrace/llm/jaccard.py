@@ -17,8 +17,9 @@ about m comparisons; a row that it leaves apart is compared with all that pass t
 bounds. An n-gram's rows are dealt to blocks of near size, and to pairs of blocks of
 different components, so no task holds an n-gram.
 
-Comparison. The order is cut into fragments (vertical partitions). Each pair's
-overlap is counted in each fragment on its own and summed per pair.
+Comparison. The prefixes choose the pairs; vertical partitions only count their
+overlap. The hash values, not the order above, are cut into fragments. Each pair's overlap is
+counted in each fragment on its own and summed per pair.
 """
 
 from __future__ import annotations
