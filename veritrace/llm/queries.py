@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrace.llm import chat, exact_dedup, hamming, jaccard, mixing, packing, quality, sharding, substrings, urls
+from veritrace.llm import chat, exact_dedup, hamming, jaccard, mixing, packing, quality, runs, sharding, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming_topk": hamming.query,
     "op9_sharding": sharding.query,
     "op10_url_filter": urls.query,
+    "op11_periodic_runs": runs.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op7_jaccard": jaccard.SQL,
     "op8_hamming_topk": hamming.SQL,
     "op10_url_filter": urls.SQL,
+    "op11_periodic_runs": runs.SQL,
 }
