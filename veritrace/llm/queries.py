@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrace.llm import chat, exact_dedup, hamming, jaccard, mixing, packing, quality, runs, sharding, substrings, urls
+from veritrace.llm import chat, exact_dedup, hamming, jaccard, mixing, packing, phrases, quality, runs, sharding, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": sharding.query,
     "op10_url_filter": urls.query,
     "op11_periodic_runs": runs.query,
+    "op12_collocations": phrases.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -31,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op8_hamming_topk": hamming.SQL,
     "op10_url_filter": urls.SQL,
     "op11_periodic_runs": runs.SQL,
+    "op12_collocations": phrases.SQL,
 }

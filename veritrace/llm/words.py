@@ -75,9 +75,9 @@ def column(buf: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64).tobytes()), data)
 
 
-def spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the number of words of each row."""
-    solid = ~SPACE[buf]
+def spans(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the number of words of each row. ``space`` tells of each byte whether it parts words."""
+    solid = ~space[buf]
     edge = np.zeros(len(buf) + 1, dtype=bool)
     edge[offsets] = True
     first = solid.copy()
