@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritrace.llm import chat, exact_dedup, hamming, jaccard, mixing, packing, phrases, quality, runs, sharding, substrings, urls
+from veritrace.llm import chat, exact_dedup, hamming, jaccard, languages, mixing, packing, phrases, quality, runs, sharding, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": urls.query,
     "op11_periodic_runs": runs.query,
     "op12_collocations": phrases.query,
+    "op13_language_id": languages.query,
 }
 
 ORACLES: dict[str, str] = {
