@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 SCHEMA = (
@@ -30,6 +32,9 @@ def documents(spark, seed: int = 3):
         (25, text(20) + " " + passage + " " + text(20)), (26, passage + "\n" + text(5)), (27, " ".join(["a"] * 60)), (28, " ".join(["a"] * 40)),
         (29, "<|startoftext|> tricky's TEXT 12 ,.!? <|endoftext|>"), (30, "\U0001f600 e\u0301 \u00e9 \u00df \u0130"), (40, "tie"), (40, "tie two"),
     ]
+    # Words that any polynomial hash modulo a power of two takes for each other.
+    thue = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024)) for flip in (0, 1)]
+    rows += [(50 + flip, " ".join(f"{thue[flip]}{i}" for i in range(16))) for flip in (0, 1)]
     for i in range(60, 80):
         words = base.split()
         for _ in range(rng.randint(0, 12)):
@@ -105,5 +110,52 @@ def jaccard(rows, percent=85, k=4):
     return [(i, len(sets[x]), None if least[find(x)][0] else least[find(x)][1]) for x, (i, _) in enumerate(rows)]
 
 
+def runs(words, least=24, times=3):
+    """By comparing the words with themselves at every distance."""
+    known = {}
+    codes = np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int64)
+    found = {}
+    for q in range(1, len(words) // times + 1):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (codes[q:] == codes[:-q]).astype(np.int8), [0]])))
+        for i, j in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if j - i + q >= max(least, times * q):
+                found.setdefault((i, j - i + q), q)
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def phrase_counts(rows, longest=4):
+    """Counts of (lang, phrase) by length, and of all words by language."""
+    counts, totals = defaultdict(int), defaultdict(int)
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(_LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or "und"] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    counts[lang or "und", tuple(w[i : i + k])] += 1
+    return counts, totals
+
+
+def collocations(rows, longest=4, least=30, top=2000, covered=80):
+    counts, totals = phrase_counts(rows, longest)
+    often = {p: a for p, a in counts.items() if len(p[1]) > 1 and a >= least}
+    gone = set()
+    for (lang, w), f in often.items():
+        for i in range(len(w)):
+            for j in range(i + 2, len(w) + 1):
+                if j - i < len(w) and 100 * f >= covered * often[lang, w[i:j]]:
+                    gone.add((lang, w[i:j]))
+    per = defaultdict(list)
+    for (lang, w), a in often.items():
+        if (lang, w) not in gone:
+            cuts = [(2000000 * a // (counts[lang, w[:k]] + counts[lang, w[k:]]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            per[lang].append((-score, -a, " ".join(w).encode(), counts[lang, w[:k]], counts[lang, w[k:]]))
+    return [
+        (lang, i + 1, p.decode(), -a, l, r, totals[lang], -s)
+        for lang, own in per.items() for i, (s, a, p, l, r) in enumerate(sorted(own)[:top])
+    ]
+
+
 def crc(ids):
     return zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))

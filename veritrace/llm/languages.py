@@ -76,7 +76,7 @@ class Model:
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.langs = sorted(counts)
-        table = np.array([counts[name] for name in self.langs], dtype=np.float64).reshape(len(self.langs), -1) + SMOOTHING
+        table = np.array([counts[name] for name in self.langs], dtype=np.float64).reshape(len(self.langs), 1 << BITS) + SMOOTHING
         self.likelihood = np.ascontiguousarray((table / table.sum(axis=1, keepdims=True)).T, dtype=np.float32)
 
     def mixtures(self, row: np.ndarray, bucket: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
