@@ -17,9 +17,9 @@ about m comparisons; a row that it leaves apart is compared with all that pass t
 bounds. An n-gram's rows are dealt to blocks of near size, and to pairs of blocks of
 different components, so no task holds an n-gram.
 
-Comparison. The prefixes choose the pairs; vertical partitions only count their
-overlap. The hash values, not the order above, are cut into fragments. Each pair's overlap is
-counted in each fragment on its own and summed per pair.
+Comparison. The order is cut into fragments, those of its rarer n-grams first. A pair's overlap is
+counted in each fragment on its own and summed per pair. N-grams seen once are in no
+fragment, as no other set has them. The prefixes choose which pairs are compared.
 """
 
 from __future__ import annotations
@@ -94,7 +94,9 @@ def _gram_batches(k: int):
 def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int, seen) -> Iterator[pa.RecordBatch]:
     """Sets that may have a partner, with their prefix and their fragments."""
     hasher = words.Hasher(21, lower=True)
-    cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
+    # Each level of the order that can be shared is cut into as many fragments.
+    each = FRAGMENTS // len(OFTEN)
+    cuts = np.arange(1, each, dtype=np.uint64) * np.uint64((1 << 64) // each)
     for batch in batches:
         ids, text_h = batch["_id"].to_numpy(), batch["_h"].to_numpy()
         out = {c: [] for c in ("_id", "_h", "n", "single", "prefix", "grams")}
@@ -105,7 +107,7 @@ def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int, seen) -> I
             if single >= need:
                 continue
             order = np.lexsort((grams, level))[single:need]
-            parts = np.split(grams, np.searchsorted(grams, cuts))
+            parts = [p for at in range(1, len(OFTEN) + 1) for own in (grams[level == at],) for p in np.split(own, np.searchsorted(own, cuts))]
             for c, v in zip(out, (ids[row], text_h[row], n, single, grams[order].view(np.int64), [p.tobytes() for p in parts])):
                 out[c].append(v)
         if out["_id"]:

@@ -136,7 +136,8 @@ def build(docs: DataFrame, hashes, bits: int, at: tuple[int, ...]) -> Sketch:
     merged = merged.mapInArrow(_merger(bits, planes), "slice int, planes array<binary>")
     out = [[np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8) for _ in range(ROWS)] for _ in at]
     size = max(1, (1 << width) // 8)
-    for row in merged.collect():
+    # One slice after the other, so that the driver holds the bits once.
+    for row in merged.toLocalIterator():
         r, i = divmod(row["slice"], 1 << (bits - width))
         for plane, data in zip(out, row["planes"]):
             plane[r][i * size : (i + 1) * size] = np.frombuffer(data, dtype=np.uint8)

@@ -3,7 +3,7 @@
 First pass: every task counts the hashes of its windows of ``WORDS`` words in a
 count-min sketch; the sketches are merged. Second pass: windows whose estimate
 is at least two, which misses none that repeats, are grouped exactly, by a
-96-bit fingerprint of their words (two independent hashes), to find the least
+96-bit fingerprint of their words (two hashes of different seeds), to find the least
 document of each. Within a task, a window keeps only the places in its least
 document; its places in the task's later documents are already decided. A
 window shared by a third of all documents thus costs one entry per task.

@@ -11,11 +11,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 PIECE_BYTES = 1 << 21
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_ALL = np.uint64((1 << 64) - 1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -26,30 +30,35 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Polynomial hash of words over random byte values, modulo 2**64."""
+    """64-bit hash of words under a seed. Up to eight bytes the hash is one to one among
+    words of one length; longer words go through it in blocks of eight, each mixed in full,
+    and very long ones through xxhash."""
+
+    BLOCKS = 8
 
     def __init__(self, seed: int, lower: bool = False):
-        rng = np.random.default_rng(seed)
-        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        if lower:
-            self.values[65:91] = self.values[97:123]
-        self.base = int(rng.integers(1, 1 << 60)) * 8 + 3
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) <= n:
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n + 1, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+        self.seed, self.lower = seed, lower
+        self.keys = np.random.default_rng(seed).integers(0, 1 << 63, self.BLOCKS + 1, dtype=np.uint64)
 
     def words(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._powers(len(buf))
-        total = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(self.values[buf] * self.up[: len(buf)], out=total[1:])
-        h = (total[ends] - total[starts]) * self.down[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * _MUL)
+        own = np.zeros(len(buf) + 8, dtype=np.uint8)
+        own[: len(buf)] = _LOWER[buf] if self.lower else buf
+        # Eight bytes from every place on.
+        wide = np.ndarray(len(buf) + 1, dtype="<u8", buffer=own, strides=(1,))
+        size = ends - starts
+        h = mix(size.astype(np.uint64) * _MUL + self.keys[-1])
+        open_ = np.arange(len(starts))
+        for i in range(self.BLOCKS):
+            left = size[open_] - 8 * i
+            open_ = open_[left > 0]
+            if not len(open_):
+                return h
+            left = np.minimum(left[left > 0], 8).astype(np.uint64)
+            block = wide[starts[open_] + 8 * i] & (_ALL >> (np.uint64(64) - np.uint64(8) * left))
+            h[open_] = mix(mix(block + self.keys[i]) ^ h[open_])
+        for w in open_[size[open_] > 8 * self.BLOCKS]:
+            h[w] = xxhash.xxh3_64_intdigest(own[starts[w] : ends[w]].tobytes(), self.seed)
+        return h
 
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
