@@ -35,7 +35,7 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 COVERED = 80
 SCALE = 2_000_000
 #: Words of a block, about; a text is never cut.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: A key is a block and the number of a phrase in it; a block is the turn of a task and the task.
 CODE_BITS, TASK_BITS = 28, 20
 SENT_ROWS = 1 << 16
@@ -80,18 +80,19 @@ def _counted(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa
     from pyspark import TaskContext
 
     task, turn, held, size = TaskContext.get().partitionId(), 0, [], 0
+    langs: dict[str, int] = {}
     schema = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("data", pa.binary())])
 
     def flush() -> Iterator[pa.RecordBatch]:
         block = (turn << TASK_BITS | task) << CODE_BITS
         word = pa.chunked_array([h[0] for h in held]).combine_chunks().dictionary_encode()
-        lang = pa.chunked_array([h[1] for h in held]).combine_chunks().dictionary_encode()
         own = len(word.dictionary)
-        told, code, n = np.unique(lang.indices.to_numpy().astype(np.int64) * own + word.indices.to_numpy(), return_inverse=True, return_counts=True)
+        lang = pa.array(list(langs), pa.string())
+        told, code, n = np.unique(np.concatenate([h[1] for h in held]) * own + word.indices.to_numpy(), return_inverse=True, return_counts=True)
         for a in range(0, len(told), SENT_ROWS):
             part = told[a : a + SENT_ROWS]
             columns = [
-                pa.array(block + np.arange(a, a + len(part))), lang.dictionary.take(pa.array(part // own)).cast(pa.string()),
+                pa.array(block + np.arange(a, a + len(part))), lang.take(pa.array(part // own)),
                 word.dictionary.take(pa.array(part % own)).cast(pa.string()), pa.array(n[a : a + SENT_ROWS]), pa.nulls(len(part), pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -99,11 +100,11 @@ def _counted(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa
         yield pa.RecordBatch.from_pylist([{"key": block, "data": data}], schema=schema)
 
     for batch in batches:
-        langs = batch["lang"]
+        of = np.array([langs.setdefault(x, len(langs)) for x in batch["lang"].to_pylist()], dtype=np.int64)
         for at, end, buf, offsets in words.pieces(batch["text"]):
             word, row, gaps = _tokens(buf, offsets)
             if len(word):
-                held.append((word, langs.take(pa.array(at + row)), gaps))
+                held.append((word, of[at + row], gaps))
                 size += len(word)
             if size >= block_words:
                 yield from flush()
