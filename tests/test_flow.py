@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from veritrace.operators import graph
 from veritrace.operators.runlog import job_state
-
-from veritrace.plans.flows import Store, ask, ingest_documents, recompute
+from veritrace.plans import flows
+from veritrace.plans.flows import ask, ingest_documents, recompute
 from veritrace.session import scratch_path
+from veritrace.sources.store import Store
 from veritrace.sources.tables import scan_files
 from veritrace.streaming.ingest import landing_stream, start_ingest
 
@@ -20,6 +22,15 @@ CORPUS = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """The corpus is tiny and the flow has many steps."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def arrivals(spark, rows=CORPUS):
     return spark.createDataFrame(rows, "filename string, text string")
 
@@ -30,7 +41,26 @@ def contents(store):
         "entities": ["canonical_name"], "evidence": ["evidence_id", "quote"], "predicates": ["canonical_name"],
         "relationships": ["fact_a_id", "fact_b_id", "relationship_type"], "jobs": ["document_id", "stage", "metrics"],
     }
-    return {t: sorted(map(tuple, store.read(t).select(*c).collect())) for t, c in keys.items()}
+    return {t: sorted(map(tuple, store.read(t).select(*c).collect()), key=repr) for t, c in keys.items()}
+
+
+def assert_one_of_each(store):
+    """No row is there twice, and every pair once in either direction."""
+    for table, key in (("documents", "document_id"), ("pages", ["document_id", "page_number"]), ("chunks", "chunk_id"), ("facts", "fact_id"),
+                       ("evidence", "evidence_id"), ("entities", "entity_id"), ("predicates", "predicate_id"), ("nodes", ["label", "node_id"])):
+        rows = store.read(table)
+        assert rows.count() == rows.dropDuplicates([key] if isinstance(key, str) else key).count(), table
+    pairs = [frozenset(r) for r in store.read("relationships").select("fact_a_id", "fact_b_id").collect()]
+    assert len(pairs) == len(set(pairs))
+
+
+def assert_graph_is_that_of_the_store(store):
+    t = {name: store.read(name) for name in ("documents", "facts", "entities", "evidence", "relationships")}
+    nodes = graph.nodes(t["documents"], t["facts"], t["entities"], t["evidence"])
+    stored = store.read("nodes")
+    assert sorted(map(repr, stored.select(*nodes.columns).collect())) == sorted(map(repr, nodes.collect()))
+    edges = graph.edges(*t.values())
+    assert sorted(map(tuple, store.read("edges").collect())) == sorted(map(tuple, edges.collect()))
 
 
 def test_flow(spark):
@@ -114,7 +144,7 @@ def test_one_document_per_content(spark):
 
 
 def test_provider_errors_stay_with_their_texts(spark):
-    def load():
+    def load(known):
         def answer(texts):
             if any("broken" in t for t in texts):
                 raise ValueError("model refused")
@@ -142,10 +172,100 @@ def test_failed_stage_is_logged_and_may_be_tried_again(spark):
     assert states["extract_facts"] == ("failed", "no extractor today") and states["chunk"] == ("done", None)
     assert "reason_relationships" not in states
     ingest_documents(store, arrivals(spark, CORPUS[:1]), batch=1)
-    assert sorted(r.status for r in store.read("documents").collect()) == ["failed", "ready"]
+    assert [r.status for r in store.read("documents").collect()] == ["ready"]
     assert store.read("facts").count() == 1
 
 
+def _failing(spark, monkeypatch, stage):
+    """Arguments of an ingest in which one stage fails, when Spark gets to it."""
+    def late(df, *_):
+        return df.withColumn(df.columns[0], F.when(F.raise_error(F.lit("stopped")).isNull(), df[df.columns[0]]))
+
+    if stage == "extract_text":
+        own = flows.text_pages
+        monkeypatch.setattr(flows, "text_pages", lambda docs: late(own(docs)))
+    elif stage == "chunk":
+        own = flows.chunking.build_chunks
+        monkeypatch.setattr(flows.chunking, "build_chunks", lambda pages: late(own(pages)))
+    elif stage == "embed":
+        return {"embed": lambda text: F.when(F.raise_error(F.lit("stopped")).isNull(), flows.embed_hash(text))}
+    elif stage == "extract_facts":
+        return {"extract": lambda chunks: late(flows.extraction.extract_by_rule(chunks))}
+    else:
+        return {"classify": lambda context: late(flows.reasoning.classify_pairs(context))}
+    return {}
+
+
+def test_batches_that_fail_leave_nothing_and_can_be_repeated(spark, monkeypatch):
+    """Each of the five stages stops once; then the batch goes through, is compacted, and its remains are deleted."""
+    store = Store(spark, scratch_path(spark, "kill"))
+    ingest_documents(store, arrivals(spark, CORPUS[1:2]))
+    before = contents(store)
+    kept = ("chunks", "facts", "entities", "evidence", "predicates", "relationships")
+    for batch, stage in enumerate(flows.runlog.STAGES, 1):
+        # The classifier is only asked if there is a pair.
+        with monkeypatch.context() as patch, pytest.raises(Exception, match="stopped"):
+            ingest_documents(store, arrivals(spark, CORPUS[:1]), batch=batch, **_failing(spark, patch, stage))
+        assert {t: r for t, r in contents(store).items() if t in kept} == {t: before[t] for t in kept}
+        assert sorted(r.status for r in store.read("documents").collect()) == ["failed", "ready"]
+        last = [r for r in store.read("jobs").filter("status = 'failed'").collect() if r.seq // 2 // 5 == batch]
+        assert [(r.stage, "stopped" in r.error) for r in last] == [(stage, True)]
+    for _ in range(2):
+        ingest_documents(store, arrivals(spark, CORPUS[:1]), batch=6)
+        assert {r.status for r in store.read("documents").collect()} == {"ready"}
+        assert store.read("facts").count() == 2 and store.read("relationships").count() == 1
+    assert_one_of_each(store)
+    assert_graph_is_that_of_the_store(store)
+
+    before = contents(store)
+    gone = store.vacuum()
+    assert gone and contents(store) == before
+    assert store.compact() and not store.compact()
+    assert [e.batch for e in store.visible()] == [5, 6] and contents(store) == before
+    assert store.vacuum() and contents(store) == before
+    ingest_documents(store, arrivals(spark, CORPUS[2:3]), batch=7)
+    assert_one_of_each(store)
+    assert_graph_is_that_of_the_store(store)
+    assert store.read("relationships").count() == 3
+
+
+def test_a_provider_knows_the_predicates_of_earlier_batches(spark):
+    def load(known):
+        def answer(texts):
+            fact = '{"facts": [{"subject": "Acme", "subject_type": "org", "predicate": "%s", "value_raw": "Rs. 5 crore", "quote": "Rs. 5 crore"}]}'
+            return [fact % (known[0] + " again" if known else "turnover of mills") for _ in texts]
+        return answer
+
+    store = Store(spark, scratch_path(spark, "known"))
+    ingest_documents(store, arrivals(spark, [("a.txt", "One had Rs. 5 crore.")]), provider=load)
+    ingest_documents(store, arrivals(spark, [("b.txt", "Two had Rs. 5 crore.")]), batch=1, provider=load)
+    assert sorted(r.canonical_name for r in store.read("predicates").collect()) == ["turnover of mills", "turnover of mills again"]
+    with pytest.raises(ValueError):
+        flows.extraction.known_predicates(store.read("predicates"), most=10)
+
+
+def test_pages_with_layout_and_exact_pages_of_quotes(spark):
+    rows = [("scan.txt", "Cover\fx\fAcme Mills reported revenue of Rs. 70 crore for FY2025.", [
+        (1.0, None, None), (1e6, "Acme Mills reported revenue of Rs. 60 crore for FY2024.", [90.0, -1.0, 80.0]), (1.0, "not used", None)])]
+    docs = spark.createDataFrame(rows, f"filename string, text string, layout {flows.LAYOUT}")
+    for exact, want in ((False, [1, 1]), (True, [2, 3])):
+        store = Store(spark, scratch_path(spark, "layout"))
+        ingest_documents(store, docs, exact_pages=exact)
+        pages = store.read("pages").orderBy("page_number").collect()
+        assert [p.extraction_method for p in pages] == ["native", "ocr", "native"] and abs(pages[1].confidence - 0.85) < 1e-6
+        assert store.read("chunks").count() == 1
+        assert [r.page_number for r in store.read("evidence").orderBy("page_number").collect()] == want
+
+
+def test_pages_that_are_there_twice_stop_the_batch(spark, monkeypatch):
+    own = flows.text_pages
+    monkeypatch.setattr(flows, "text_pages", lambda docs: own(docs).union(own(docs)))
+    store = Store(spark, scratch_path(spark, "twice"))
+    with pytest.raises(ValueError, match="more than once"):
+        ingest_documents(store, arrivals(spark, CORPUS[:1]))
+    assert [r.status for r in store.read("documents").collect()] == ["failed"]
+
+
 def test_scan_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1")
     (tmp_path / "b.txt").write_bytes(b"no")

@@ -235,14 +235,26 @@ def extract_by_rule(chunks: DataFrame, metrics: dict[str, str] = METRICS) -> Dat
     return out.withColumn("fact_no", F.concat(*digits)).drop("place")
 
 
+#: Bytes of predicate names that may go to every task.
+KNOWN_BYTES = 1 << 23
+
 # A provider takes chunk texts and returns one raw response per text.
 Provider = Callable[[pd.Series], list]
 
 
-def extract_by_provider(chunks: DataFrame, load_provider: Callable[[], Provider]) -> DataFrame:
-    """Adds ``raw_response`` from a plug-in model, loaded once per task. Where
-    the provider fails on a batch, its texts are given one by one; the error of a
-    text that fails alone is in ``provider_error`` and its response is NULL."""
+def known_predicates(predicates: DataFrame, most: int = KNOWN_BYTES) -> list[str]:
+    """Names of the ontology for an extractor, in order. They go to every task, so their size is checked."""
+    size = predicates.agg(F.coalesce(F.sum(F.octet_length("canonical_name")), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"the names of the ontology have {size} bytes, more than the {most} that are sent to each task")
+    return sorted(r[0] for r in predicates.select("canonical_name").distinct().collect())
+
+
+def extract_by_provider(chunks: DataFrame, load_provider: Callable[[list[str]], Provider], known: list[str] = ()) -> DataFrame:
+    """Adds ``raw_response`` from a plug-in model, loaded once per task with the
+    names of the ``known`` predicates. Where the provider fails on a batch, its two halves are given on their own,
+    and so on; the error of a text that fails alone is in ``provider_error`` and its response is NULL."""
+    names = chunks.sparkSession.sparkContext.broadcast(list(known))
     schema = T.StructType(
         [*chunks.schema.fields, T.StructField("raw_response", T.StringType()), T.StructField("provider_error", T.StringType())]
     )
@@ -253,10 +265,11 @@ def extract_by_provider(chunks: DataFrame, load_provider: Callable[[], Provider]
         except Exception as exc:  # noqa: BLE001 - any provider failure is data
             if len(texts) == 1:
                 return [(None, str(exc))]
-        return [ask(provider, texts.iloc[i:i + 1])[0] for i in range(len(texts))]
+        half = len(texts) // 2
+        return ask(provider, texts.iloc[:half]) + ask(provider, texts.iloc[half:])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = load_provider()
+        provider = load_provider(names.value)
         for batch in batches:
             said = ask(provider, batch["text"]) if len(batch) else []
             yield batch.assign(raw_response=[r for r, _ in said], provider_error=[e for _, e in said])
@@ -320,10 +333,16 @@ def build_facts(grounded: DataFrame) -> DataFrame:
         values.normalize_value(F.col("value_raw")).alias("value_normalized"),
         "time_type", "time_value", "scope", F.col("confidence").cast("float").alias("confidence"),
         "char_start", "char_end", "embedding", F.lit("active").alias("status"),
-        F.current_timestamp().alias("created_at"), "quote", "page_start",
+        F.current_timestamp().alias("created_at"), "quote", "page_start", *([F.col("unit_pages")] if "unit_pages" in grounded.columns else []),
     )
 
 
+def quote_page(unit_pages: Column, char_start: Column) -> Column:
+    """The page a quote starts on. ``unit_pages`` has where each unit of its chunk starts, in order, with the
+    page of the unit; a chunk has no more units than its token budget, so the array is bounded."""
+    return F.element_at(F.filter(unit_pages, lambda u: u["at"] <= char_start), -1)["page_number"]
+
+
 def build_evidence(facts: DataFrame, page: Column | None = None) -> DataFrame:
     """One evidence row per fact. The page is the first of its chunk, unless
     ``page`` gives the page of the quote itself."""

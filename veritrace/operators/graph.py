@@ -6,11 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Relationship types that may become edge types.
-EDGE_TYPES = [
-    "CORROBORATES", "CONTRADICTS", "POTENTIAL_CONTRADICTION", "RECONCILES",
-    "TEMPORAL_UPDATE", "UNIT_DIFFERENCE", "SCOPE_DIFFERENCE", "UNCERTAIN",
-]
+from veritrace.functions.labels import RELATIONSHIP_TYPES
+
+# Relationship types that may become edge types.
+EDGE_TYPES = [label for label in RELATIONSHIP_TYPES if label != "UNRELATED"]
 
 
 def nodes(documents: DataFrame, facts: DataFrame, entities: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -41,11 +40,14 @@ def ref(label: str, key: str) -> Column:
 
 
 def edges(
-    documents: DataFrame, facts: DataFrame, entities: DataFrame, evidence: DataFrame, relationships: DataFrame
+    documents: DataFrame, facts: DataFrame, entities: DataFrame, evidence: DataFrame, relationships: DataFrame,
+    all_facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct edges (edge_type, src, dst) whose two ends exist."""
+    """Distinct edges (edge_type, src, dst) whose two ends exist. If ``facts`` are those of
+    a batch, ``all_facts`` has those that its relationships may lead to."""
     doc_ids = documents.select("document_id")
     fact_ids = facts.select("fact_id")
+    known = fact_ids if all_facts is None else all_facts.select("fact_id")
     subject_ids = entities.select(F.col("entity_id").alias("subject_entity_id"))
 
     def edge(df: DataFrame, kind: Column | str, src: Column, dst: Column) -> DataFrame:
@@ -54,8 +56,8 @@ def edges(
 
     typed = (
         relationships.withColumn("kind", F.upper("relationship_type")).filter(F.col("kind").isin(EDGE_TYPES))
-        .join(fact_ids.withColumnRenamed("fact_id", "fact_a_id"), "fact_a_id", "left_semi")
-        .join(fact_ids.withColumnRenamed("fact_id", "fact_b_id"), "fact_b_id", "left_semi")
+        .join(known.withColumnRenamed("fact_id", "fact_a_id"), "fact_a_id", "left_semi")
+        .join(known.withColumnRenamed("fact_id", "fact_b_id"), "fact_b_id", "left_semi")
     )
     parts = [
         edge(facts.join(doc_ids, "document_id", "left_semi"), "FROM_DOCUMENT",

@@ -156,11 +156,12 @@ def storable(judged: DataFrame) -> DataFrame:
 
 
 def insert_relationships(judged: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows to append: storable pairs that are not stored in either direction."""
-    return new_pairs(storable(judged), stored).select(
-        "fact_a_id", "fact_b_id", "relationship_type", "explanation", "confidence",
-        F.current_timestamp().alias("created_at"),
-    )
+    """Rows to append: storable pairs that are not stored in either direction,
+    each once. Of several judgements of a pair the one with the smaller id in front stays, then the least."""
+    low, high = pair_key()
+    row = F.struct("fact_a_id", "fact_b_id", "relationship_type", "explanation", "confidence")
+    each = new_pairs(storable(judged), stored).groupBy(low.alias("low"), high.alias("high")).agg(F.min(row).alias("r"))
+    return each.select("r.*", F.current_timestamp().alias("created_at"))
 
 
 def candidate_pairs(facts: DataFrame, stored: DataFrame, anchors: DataFrame | None = None) -> DataFrame:

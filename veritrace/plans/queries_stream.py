@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritrace.plans.catalog import ORACLES, QUERIES
-from veritrace.plans.flows import Store
+from veritrace.sources.store import Store
 from veritrace.session import scratch_path
 from veritrace.streaming.ingest import landing_stream, start_ingest
 

@@ -21,6 +21,17 @@ DOCUMENTS = T.StructType([
     T.StructField("processed_at", T.TimestampType()),
 ])
 
+# What of a document never changes, and each change of the rest.
+DOCUMENT_ROWS = T.StructType([f for f in DOCUMENTS.fields if f.name in ("document_id", "filename", "sha256", "mime_type", "uploaded_at")])
+
+DOCUMENT_CHANGES = T.StructType([
+    T.StructField("document_id", T.StringType(), False),
+    T.StructField("seq", T.LongType(), False),
+    T.StructField("status", T.StringType(), False),
+    T.StructField("page_count", T.IntegerType()),
+    T.StructField("at", T.TimestampType(), False),
+])
+
 PAGES = T.StructType([
     T.StructField("document_id", T.StringType(), False),
     T.StructField("page_number", T.IntegerType(), False),
@@ -128,6 +139,29 @@ JOB_EVENTS = T.StructType([
 ])
 
 
+# Nodes and edges of the graph as each batch projects them.
+NODE_VERSIONS = T.StructType([
+    T.StructField("batch", T.LongType(), False),
+    T.StructField("label", T.StringType(), False),
+    T.StructField("node_id", T.StringType(), False),
+    T.StructField("filename", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("value_raw", T.StringType()),
+    T.StructField("confidence", T.FloatType()),
+    T.StructField("time_value", T.StringType()),
+    T.StructField("scope", T.StringType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("quote", T.StringType()),
+    T.StructField("page_number", T.IntegerType()),
+])
+
+EDGE_VERSIONS = T.StructType([
+    T.StructField("edge_type", T.StringType(), False),
+    T.StructField("src", T.StringType(), False),
+    T.StructField("dst", T.StringType(), False),
+])
+
+
 def natural_id(*parts: Column | str) -> Column:
     """A stable id from the natural key: the same row gets the same id on a
     retry or a replay, unlike a random uuid. Parts are length-prefixed so that

@@ -1,8 +1,8 @@
-"""Reading and writing the fact tables."""
+"""Reading files as they arrive."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scan_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -16,32 +16,3 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame
             "length AS n_bytes", "modificationTime AS modified_at",
         )
     )
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """A stored table, or an empty one where nothing was written yet.
-
-    Rows lie in one folder per batch; ``before`` reads only the folders of
-    earlier batches.
-    """
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    if before is not None:
-        rows = rows.filter(rows["batch"] < before)
-    return rows.drop("batch")
-
-
-def write_batch(rows: DataFrame, path: str, schema: T.StructType, batch: int) -> None:
-    """Writes the rows of one batch with the columns and types of the table.
-
-    A replayed batch replaces its own folder, so it stores nothing twice and
-    needs no comparison with what other batches wrote.
-    """
-    cols = [rows[f.name].cast(f.dataType).alias(f.name) for f in schema.fields]
-    rows.select(*cols).write.mode("overwrite").parquet(f"{path}/batch={batch}")
