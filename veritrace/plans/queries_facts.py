@@ -36,12 +36,25 @@ def extract_facts(t):
     )
 
 
-# Whole sample texts, with any word as a metric: every figure with a unit.
-@query("extract_facts_documents")
+# Whole sample texts, each with a closing statement of its own figures.
+STATED = """
+    SELECT doc_id, coalesce(text, '') AS body,
+           concat('Mill ', CAST(doc_id AS STRING), ' reported ', CASE doc_id % 3 WHEN 0 THEN 'revenue' WHEN 1 THEN 'turnover' ELSE 'ebitda' END,
+                  ' of Rs. ', CAST(1 + doc_id % 9973 AS STRING), ' crore for FY', CAST(2000 + doc_id % 25 AS STRING), '.') AS said
+    FROM {documents}"""
+
+
+@query("extract_facts_documents", f"""
+    SELECT doc_id, concat('Mill ', CAST(doc_id AS VARCHAR)) AS subject, CASE doc_id % 3 WHEN 2 THEN 'ebitda' ELSE 'revenue' END AS predicate,
+           concat('Rs. ', CAST(1 + doc_id % 9973 AS VARCHAR), ' crore') AS value_raw, concat('FY', CAST(2000 + doc_id % 25 AS VARCHAR)) AS time_value,
+           'exact' AS grounding, CAST(length(body) + 2 AS INT) AS char_start, CAST(length(body) + 2 + length(said) AS INT) AS char_end
+    FROM ({STATED.format(documents='documents').replace('STRING', 'VARCHAR')}) d""")
 def extract_facts_documents(t):
-    docs = t("documents").select("doc_id", "text")
-    found = extraction.extract_by_rule(docs, {r"\p{L}+": "figure"})
-    return extraction.ground(found).select("doc_id", "predicate", "value_raw", "grounding", "char_start", "char_end")
+    docs = t("documents").sparkSession.sql(STATED, documents=t("documents"))
+    texts = docs.select("doc_id", F.concat("body", F.lit(". "), "said").alias("text"))
+    return extraction.ground(extraction.extract_by_rule(texts)).select(
+        "doc_id", "subject", "predicate", "value_raw", "time_value", "grounding", "char_start", "char_end"
+    )
 
 
 # Responses of every shape, one per order.
