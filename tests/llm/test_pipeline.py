@@ -5,9 +5,12 @@ from __future__ import annotations
 import collections
 
 import corpus_pipeline
+import public_tokenizers
 from tests.llm import edge
-from veritrace.llm import mixing
-from veritrace.llm.base import ready
+from veritrace.llm import mixing, quality
+from veritrace.llm.base import ready, table
+
+SF = "/root/testdata/sf0.001"
 
 
 def corpus(spark, rows):
@@ -59,3 +62,25 @@ def test_stages_on_an_empty_table(spark):
     df = corpus(spark, [(1, "a")]).filter("false")
     for stage in (corpus_pipeline.without_copies, corpus_pipeline.without_near_copies, corpus_pipeline.mixture, corpus_pipeline.packed):
         assert stage(spark, df, "").count() == 0
+
+
+def test_quality_stage_and_run(spark):
+    """The first stage keeps what the classifier accepts; the run has the pieces of what all stages keep."""
+    from tokenizers import Tokenizer
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    scores = {r.doc_id: r.score for r in quality.quality_scores(docs, quality.positives(labels)).collect()}
+    good = corpus_pipeline.good_quality(spark, docs, SF).cache()
+    assert {r.doc_id for r in good.collect()} == {i for i, s in scores.items() if s >= quality.THRESHOLD} and good.columns == list(corpus_pipeline.COLUMNS)
+    rows = [(r.doc_id, r.text) for r in good.collect()]
+    once = {keep for _, keep, _, _ in edge.exact(rows)[0]}
+    rows = [r for r in rows if r[0] in once]
+    least = {i for (i, t), (_, n, c) in zip(rows, edge.jaccard(rows, 80, 5)) if c == i or not n}
+    left = good.filter(good.doc_id.isin(sorted(least)))
+    picks = collections.Counter(r.doc_id for r in mixing.mix(left, mixing.sample_domain(), mixing.sample_weights()).collect())
+    encode, text = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode, dict(rows)
+    want = collections.Counter()
+    for i, times in picks.items():
+        length = len(encode(text[i], add_special_tokens=False).ids) + 1
+        want.update({(i, piece): times for piece in range(-(-length // 4096))})
+    assert collections.Counter((r.doc_id, r.piece) for r in corpus_pipeline.run(spark, SF).collect()) == want
