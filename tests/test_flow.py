@@ -245,7 +245,7 @@ def test_a_provider_knows_the_predicates_of_earlier_batches(spark):
 
 
 def test_pages_with_layout_and_exact_pages_of_quotes(spark):
-    rows = [("scan.txt", "Cover\fx\fAcme Mills reported revenue of Rs. 70 crore for FY2025.", [
+    rows = [("scan.txt", "Cover.\fx\fAcme Mills reported revenue of Rs. 70 crore for FY2025.", [
         (1.0, None, None), (1e6, "Acme Mills reported revenue of Rs. 60 crore for FY2024.", [90.0, -1.0, 80.0]), (1.0, "not used", None)])]
     docs = spark.createDataFrame(rows, f"filename string, text string, layout {flows.LAYOUT}")
     for exact, want in ((False, [1, 1]), (True, [2, 3])):
