@@ -11,14 +11,14 @@ judged by a template tree per host, grown level by level over counts, never over
 4. A template is rejected if its smoothed purity, (good + PRIOR * base) / (labelled +
    PRIOR), is below ``PURITY``; base is the share of good labels overall.
 
-Counting by (host, generalised segments) combines before the shuffle, so a host
-with a third of all pages is a few rows; pages meet their template by a key join
-whose large keys adaptive execution splits.
+Counting by (host, generalised segments), and by parent template, combines before the shuffle. A host with a
+third of all pages may have as many shapes; its shapes meet the counts of their parents, and pages their
+template, by key joins whose large keys adaptive execution splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritrace.llm.base import keep, table
 
@@ -66,16 +66,21 @@ def templates(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     for i in range(1, depth + 1):
         s = f"s{i}"
         branch = tree.groupBy("host", "t", s).agg(*(F.sum(c).alias(c) for c in ("n", "good", "bad")))
-        above = Window.partitionBy("host", "t")
-        labelled, all_labelled = F.col("good") + F.col("bad"), F.sum(F.col("good") + F.col("bad")).over(above)
-        mean = (F.sum("good").over(above) + 0.5) / (all_labelled + 1)
+        # A host may have most shapes, so what its parents sum up to is combined before the shuffle and joined back.
+        above = branch.groupBy("host", "t").agg(
+            F.count(F.lit(1)).alias("branches"), F.sum("n").alias("all_n"), F.sum("good").alias("all_good"),
+            F.sum(F.col("good") + F.col("bad")).alias("all_labelled"),
+        )
+        branch = branch.join(above, ["host", "t"])
+        labelled = F.col("good") + F.col("bad")
+        mean = (F.col("all_good") + 0.5) / (F.col("all_labelled") + 1)
         share = (F.col("good") + 0.5) / (labelled + 1)
         error = F.sqrt(mean * (1 - mean) / F.greatest(labelled, F.lit(1)))
-        varied = F.count(F.lit(1)).over(above) > VARIETY * F.sum("n").over(above)
+        varied = F.col("branches") > VARIETY * F.col("all_n")
         apart = (labelled > 0) & (F.abs(share - mean) > Z * error)
         # A segment kept by itself differs from its siblings and is no variable.
         step = branch.select("host", "t", s, F.when(apart & ~varied, F.col(s)).otherwise(F.when(F.col(s) == "", F.lit("")).otherwise(F.lit("*"))).alias("_s"))
-        tree = tree.join(step, ["host", "t", s]).withColumn("t", F.concat("t", F.lit("/"), "_s")).drop("_s")
+        tree = keep(tree.join(step, ["host", "t", s]).withColumn("t", F.concat("t", F.lit("/"), "_s")).drop("_s"), "tree")
     return tree
 
 
