@@ -153,7 +153,7 @@ def test_bucketed_search_recall(spark):
 
 def grams(name):
     out = set()
-    for word in re.findall(r"[^\W_]+", name.lower()):
+    for word in re.findall(r"[^\W_]+", (name or "").lower()):
         word = "  " + word + " "
         out |= {word[i:i + 3] for i in range(len(word) - 2)}
     return out
@@ -171,15 +171,15 @@ def random_names(rng, n):
 
 def test_candidates_are_exact(spark):
     rng = random.Random(8)
-    known = [(i, n, rng.choice(["org", "place"])) for i, n in enumerate(random_names(rng, 60))]
-    asked = [(i, n, rng.choice(["org", "place"])) for i, n in enumerate(random_names(rng, 50) + ["", "acme", "acme"])]
+    known = [(i, n, rng.choice(["org", "place"])) for i, n in enumerate(random_names(rng, 60) + ["foods acme", "acme foods", None, ""])]
+    asked = [(i, n, rng.choice(["org", "place"])) for i, n in enumerate(random_names(rng, 50) + ["", "acme", "acme", None, "zq"])]
     mentions = spark.createDataFrame(asked, "mention_id int, name string, entity_type string")
     stored = spark.createDataFrame(known, "entity_id int, canonical_name string, entity_type string")
     want = set()
     for i, n, kind in asked:
         best = sorted((-alike(n, m), j) for j, m, k in known if k == kind)[:8]
         want |= {(i, j, rank) for rank, (_, j) in enumerate(best, 1)}
-    for options in ({}, {"common": 0, "tile": 9}, {"common": 6}):
+    for options in ({}, {"first_read": 0, "part": 4}, {"first_read": 12}):
         got = entities.candidate_entities(mentions, stored, **options).collect()
         assert {(r.mention_id, r.entity_id, r["rank"]) for r in got} == want, options
 

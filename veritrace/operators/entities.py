@@ -17,11 +17,15 @@ CANDIDATES = 8
 LINK = 0.95
 ALIAS = 0.75
 
-# A trigram in more names than this is common: it is left out of the first
-# search, and the names for which that might matter are searched in tiles.
-COMMON_NAMES = 64
+# Names of a tile of the batch resolution.
 TILE_NAMES = 2048
 
+# Entries read per mention before a bound is known (one trigram's lists at
+# least), and entries and visitors of a part of a list. No result depends on them.
+FIRST_READ = 512
+LIST_PART = 4096
+VISITS_PART = 65536
+
 
 def upsert_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities to insert for (name, entity_type, seq) mentions: one per
@@ -41,60 +45,38 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _tiles(mentions: DataFrame, entities: DataFrame, k: int, tile: int) -> DataFrame:
-    """Exact top ``k`` by comparing blocks of names of one type with blocks of
-    entities of that type. A tile returns its best ``k`` per mention."""
-    m_type = dict(mentions.dtypes)["mention_id"]
-    e_type = dict(entities.dtypes)["entity_id"]
-    m_blocks = mentions.groupBy("entity_type").agg(F.ceil(F.count(F.lit(1)) / tile).alias("n_m"))
-    e_blocks = entities.groupBy("entity_type").agg(F.ceil(F.count(F.lit(1)) / tile).alias("n_e"))
-    sizes = m_blocks.join(e_blocks, "entity_type")
-
-    def spread(df: DataFrame, key: str, mine: str, other: str) -> DataFrame:
-        return df.join(sizes, "entity_type").select(
-            "entity_type", F.col(key).alias(key), F.col("grams").alias("grams"),
-            F.pmod(F.xxhash64(key), F.col(f"n_{mine}")).cast("int").alias(f"b_{mine}"),
-            F.explode(F.sequence(F.lit(0), (F.col(f"n_{other}") - 1).cast("int"))).alias(f"b_{other}"),
-        )
+def _scored(met: DataFrame, asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Exact similarity of the (mention_id, entity_id) pairs, each once."""
+    return (
+        met.distinct().join(asked.select("mention_id", F.col("grams").alias("m")), "mention_id")
+        .join(known.select("entity_id", F.col("grams").alias("e")), "entity_id")
+        .select("mention_id", "entity_id", set_similarity(F.col("m"), F.col("e")).alias("similarity"))
+    )
 
-    def best(m: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if m.empty or e.empty:
-            return pd.DataFrame({"mention_id": m["mention_id"].iloc[:0], "entity_id": e["entity_id"].iloc[:0], "similarity": []})
-        e = e.sort_values("entity_id")
-        sizes_e = e["grams"].map(len).to_numpy()
-        codes, names = pd.factorize(np.concatenate([*e["grams"], np.array([], dtype=object)]))
-        owner = np.repeat(np.arange(len(e)), sizes_e)
-        # Entities per trigram, as slices of one array.
-        order = np.argsort(codes, kind="stable")
-        posting, ends = owner[order], np.searchsorted(codes[order], np.arange(len(names) + 1))
-        number = {g: i for i, g in enumerate(names)}
-        ids, who, score = e["entity_id"].to_numpy(), [], []
-        for mention, grams in zip(m["mention_id"], m["grams"]):
-            known = [number[g] for g in grams if g in number]
-            lists = [posting[ends[i]:ends[i + 1]] for i in known]
-            shared = np.bincount(np.concatenate(lists), minlength=len(e)) if lists else np.zeros(len(e))
-            total = len(grams) + sizes_e - shared
-            value = np.divide(shared, total, out=np.zeros(len(e)), where=total > 0)
-            cut = min(k, len(e))
-            limit = np.partition(value, len(e) - cut)[len(e) - cut]
-            at = np.nonzero(value >= limit)[0]
-            at = at[np.argsort(-value[at], kind="stable")][:k]
-            who.append(np.column_stack([np.full(len(at), len(who)), at]))
-            score.append(value[at])
-        pair = np.concatenate(who)
-        return pd.DataFrame({
-            "mention_id": m["mention_id"].to_numpy()[pair[:, 0]], "entity_id": ids[pair[:, 1]],
-            "similarity": np.concatenate(score),
-        })
 
-    keys = ["entity_type", "b_m", "b_e"]
-    left = spread_tiles(spread(mentions, "mention_id", "m", "e"), keys).groupBy(*keys)
-    right = spread_tiles(spread(entities, "entity_id", "e", "m"), keys).groupBy(*keys)
-    return left.cogroup(right).applyInPandas(best, f"mention_id {m_type}, entity_id {e_type}, similarity double")
+def _visit(visits: DataFrame, postings: DataFrame, part: int) -> DataFrame:
+    """The entities of the lists (entity_type, gram, n_e) that mentions visit.
+    A long list and one with many visitors is cut on both sides, so that its
+    entries and its visitors meet part by part."""
+    key = ["entity_type", "gram", "n_e"]
+    parts = visits.groupBy(*key).agg(
+        F.ceil(F.first("entries") / part).cast("int").alias("n_list"),
+        F.ceil(F.count(F.lit(1)) / VISITS_PART).cast("int").alias("n_visit"),
+    )
+
+    def cut(df: DataFrame, own: str, mine: str, other: str) -> DataFrame:
+        return df.join(parts, key).select(
+            *key, own, F.pmod(F.xxhash64(own), F.col(f"n_{mine}")).cast("int").alias(f"at_{mine}"),
+            F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(f"at_{other}"),
+        )
+
+    left = cut(visits.select(*key, "mention_id"), "mention_id", "visit", "list")
+    right = cut(postings, "entity_id", "list", "visit")
+    return left.join(right, [*key, "at_visit", "at_list"]).select("mention_id", "entity_id")
 
 
 def candidate_entities(
-    mentions: DataFrame, entities: DataFrame, k: int = CANDIDATES, common: int = COMMON_NAMES, tile: int = TILE_NAMES
+    mentions: DataFrame, entities: DataFrame, k: int = CANDIDATES, first_read: int = FIRST_READ, part: int = LIST_PART
 ) -> DataFrame:
     """The ``k`` most similar entities of the same type for each mention, with
     no lower limit; ties go to the smaller id.
@@ -102,45 +84,69 @@ def candidate_entities(
     ``mentions``: mention_id, name, entity_type. ``entities``: entity_id,
     canonical_name, entity_type. Returns mention_id, entity_id, similarity, rank.
 
-    First, names meet through the trigrams that few entities have. An entity
-    that this misses shares only common trigrams with the mention, so its
-    similarity is at most (common trigrams of the mention) / (all of them). A
-    mention whose ``k``-th find is above that is done. The others, and those
-    with fewer than ``k`` finds, are compared in tiles.
+    A threshold algorithm over inverted lists, one per trigram and size of the
+    entity's trigram set. A mention reads the lists of its rarest trigrams
+    first. An entity of ``s`` trigrams that it first meets at a later one
+    shares at most the ``x`` trigrams from there on, so its similarity is at
+    most ``x / (n + s - x)`` with ``x <= s``; a list is read only if that
+    reaches the ``k``-th find so far. Who finds fewer than ``k`` reads every
+    list, and gets the smallest ids among the entities that share nothing.
+    A name without trigrams shares nothing with any.
     """
+    none = F.array().cast("array<string>")
+    grams = lambda name: F.coalesce(trigrams(F.col(name)), none).alias("grams")
     # A name that many mentions share is looked up once.
     named = mentions.select("mention_id", "entity_type", F.col("name").alias("name"))
-    asked = named.groupBy("entity_type", "name").agg(F.min("mention_id").alias("mention_id")).select(
-        "mention_id", "entity_type", trigrams(F.col("name")).alias("grams"), "name"
+    asked = materialize(
+        named.groupBy("entity_type", "name").agg(F.min("mention_id").alias("mention_id"))
+        .select("mention_id", "entity_type", "name", grams("name")), "mention-grams",
     )
-    known = entities.select("entity_id", "entity_type", trigrams(F.col("canonical_name")).alias("grams"))
-    known_grams = known.select("entity_type", "entity_id", F.size("grams").alias("n_e"), F.explode("grams").alias("gram"))
-    rare = known_grams.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= common)
-    rare_grams = known_grams.join(rare.drop("df"), ["entity_type", "gram"])
-    asked_grams = asked.select("mention_id", "entity_type", F.size("grams").alias("n_m"), F.explode("grams").alias("gram"))
-
-    # Which entities share a rare trigram; their exact similarity needs all.
-    met = asked_grams.join(rare_grams, ["entity_type", "gram"]).select("mention_id", "entity_id").distinct()
-    scored = (
-        met.join(asked.select("mention_id", F.col("grams").alias("m")), "mention_id")
-        .join(known.select("entity_id", F.col("grams").alias("e")), "entity_id")
-        .select("mention_id", "entity_id", set_similarity(F.col("m"), F.col("e")).alias("similarity"))
+    # Entities with equal trigrams tie, so only the smallest ids among them can be results.
+    equal = Window.partitionBy("entity_type", "grams").orderBy("entity_id")
+    known = materialize(
+        entities.select("entity_id", "entity_type", F.array_sort(grams("canonical_name")).alias("grams"))
+        .withColumn("_n", F.row_number().over(equal)).filter(F.col("_n") <= k).drop("_n"), "entity-grams",
     )
-    first = _top(scored, k)
-    worst = first.groupBy("mention_id").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("worst"))
-    frequent = (
-        known_grams.groupBy("entity_type", "gram").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > common).drop("df")
+    postings = known.select("entity_type", "entity_id", F.size("grams").alias("n_e"), F.explode("grams").alias("gram"))
+    lists = postings.groupBy("entity_type", "gram", "n_e").agg(F.count(F.lit(1)).alias("entries"))
+    rarity = lists.groupBy("entity_type", "gram").agg(F.sum("entries").alias("df"))
+
+    # Trigrams that no entity has are in no list, but count in the mention's size.
+    by_rarity = Window.partitionBy("mention_id").orderBy("df", "gram")
+    reads = materialize(
+        asked.select("mention_id", "entity_type", F.size("grams").alias("n_m"), F.explode("grams").alias("gram"))
+        .join(rarity, ["entity_type", "gram"])
+        .withColumns({
+            "before": F.coalesce(F.sum("df").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "left": F.count(F.lit(1)).over(by_rarity.rowsBetween(0, Window.unboundedFollowing)),
+        }), "mention-reads",
     )
-    bound = asked_grams.join(frequent.withColumn("hit", F.lit(1)), ["entity_type", "gram"], "left").groupBy("mention_id").agg(
-        (F.count("hit") / F.first("n_m")).alias("bound")
+    at_once = (F.col("before") == 0) | (F.col("before") + F.col("df") <= first_read)
+    visits = reads.filter(at_once).join(lists, ["entity_type", "gram"])
+    first = materialize(_top(_scored(_visit(visits, postings, part), asked, known), k), "first-finds")
+    limit = first.filter(F.col("rank") == k).select("mention_id", F.col("similarity").alias("limit"))
+    most = F.least("left", F.col("n_e").cast("long"))
+    reach = most.cast("double") / (F.col("n_m") + F.col("n_e") - most)
+    more = (
+        reads.filter(~at_once).join(limit, "mention_id", "left").join(lists, ["entity_type", "gram"])
+        .filter(reach >= F.coalesce("limit", F.lit(0.0)))
     )
-    done = worst.join(bound, "mention_id").filter((F.col("n") >= k) & (F.col("worst") > F.col("bound"))).select("mention_id")
-    rest = _tiles(asked.join(done, "mention_id", "left_anti"), known, k, tile)
-    best = first.join(done, "mention_id", "left_semi").select("mention_id", "entity_id", "similarity", "rank").unionByName(
-        _top(rest, k).select("mention_id", "entity_id", "similarity", "rank")
+    later = _scored(_visit(more, postings, part), asked, known)
+    found = materialize(
+        _top(first.select("mention_id", "entity_id", "similarity").unionByName(later).distinct(), k), "finds"
     )
+
+    # Fewer than k finds: among the 2k smallest ids of the type are enough that share nothing.
+    full = found.filter(F.col("rank") == k).select("mention_id")
+    by_id = Window.partitionBy("entity_type").orderBy("entity_id")
+    least = known.select("entity_type", "entity_id", F.row_number().over(by_id).alias("_n")).filter(F.col("_n") <= 2 * k).drop("_n")
+    short = asked.join(full, "mention_id", "left_anti").select("mention_id", "entity_type").join(least, "entity_type")
+    filled = short.select("mention_id", "entity_id").join(found, ["mention_id", "entity_id"], "left_anti").withColumn("similarity", F.lit(0.0))
+    best = _top(found.select("mention_id", "entity_id", "similarity").unionByName(filled), k)
     answered = best.join(asked.select("mention_id", "entity_type", "name"), "mention_id").drop("mention_id")
-    return named.join(answered, ["entity_type", "name"]).select("mention_id", "entity_id", "similarity", "rank")
+    left, right = named.alias("l"), answered.alias("r")
+    same = (F.col("l.entity_type") == F.col("r.entity_type")) & F.col("l.name").eqNullSafe(F.col("r.name"))
+    return left.join(right, same).select("l.mention_id", "r.entity_id", "r.similarity", "r.rank")
 
 
 def decide(confidence: Column, matched: Column) -> Column:
