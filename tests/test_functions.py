@@ -166,3 +166,24 @@ def test_page_methods(spark):
         ("native", "many words here to read", None), ("ocr", "scanned text", 0.8), ("native", "few", None),
         ("failed", "", None), ("ocr", "scanned", None),
     ]
+
+
+def test_every_embedding_of_the_table(spark):
+    """The registered query against hashes from another library, word by word."""
+    import re
+
+    import xxhash
+    from veritrace.plans.all_queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for row in QUERIES["embed_hash"](spark, sf_dir).collect():
+        words = [w.encode() for w in re.findall(r"\S+", texts[row.doc_id].lower())]
+        hashes = [xxhash.xxh64_intdigest(w, 42) for w in words]
+        hashes += [xxhash.xxh64_intdigest(b, h) for b, h in zip(words[1:], hashes[: len(words)])]
+        want = [0.0] * 64
+        for h in map(signed, hashes):
+            want[abs(h % 64)] += -1.0 if h < 0 else 1.0
+        size = sum(x * x for x in want) ** 0.5
+        assert max(abs(x - (y / size if size else 0.0)) for x, y in zip(row.embedding, want, strict=True)) < 1e-6

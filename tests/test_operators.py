@@ -151,6 +151,27 @@ def test_bucketed_search_recall(spark):
     assert sum(a == 1000 for a, _ in close) == 4 and len(close) == len(exact)
 
 
+def test_cells_find_neighbours(spark):
+    from veritrace.operators.cells import nearest_by_cells, train_cells
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 0.2 * rng.normal(size=16)).tolist()) for i in range(400)]
+    rows += [(1000, None), (1001, [0.0] * 16), (1002, rows[0][1])]
+    df = spark.createDataFrame(rows, "id int, embedding array<float>")
+    asked, pool = df.withColumnRenamed("id", "anchor_id"), df.withColumnRenamed("id", "candidate_id")
+    cells = train_cells(pool, 4)
+    # Vectors that cluster need few of the cells.
+    assert cells.probes <= len(cells.centres) // 4
+    exact = {(r.anchor_id, r["rank"]): r.candidate_id for r in nearest.nearest(asked, pool, 4).collect()}
+    close = {(r.anchor_id, r["rank"]): r.candidate_id for r in nearest_by_cells(asked, pool, 4, cells).collect()}
+    assert close.keys() == exact.keys()
+    assert sum(exact[key] == close[key] for key in exact) / len(exact) > 0.9
+    assert all(exact[i, n] == close[i, n] for i in (1000, 1001) for n in range(1, 5))
+    none = pool.filter("candidate_id in (1000, 1001)")
+    assert train_cells(none, 4) is None and nearest_by_cells(asked.filter("anchor_id < 5"), none, 4).count() == 10
+
+
 def grams(name):
     out = set()
     for word in re.findall(r"[^\W_]+", (name or "").lower()):
@@ -270,3 +291,22 @@ def test_pairs_are_idempotent(spark):
     assert {tuple(r) for r in once.collect()} == {(1, 2), (3, 1)}
     assert {tuple(r) for r in reasoning.dedupe_pairs(once).collect()} == {(1, 2), (3, 1)}
     assert {tuple(r) for r in reasoning.new_pairs(once, spark.createDataFrame([(1, 3)], pairs.schema)).collect()} == {(1, 2)}
+
+
+def test_timeline_of_hot_keys(spark):
+    """A subject without a name, events without a period and a day with very many events, over few rows a range."""
+    from veritrace.operators import views
+
+    rng = random.Random(12)
+    days = [None, None, "2024-03-01", "2024-03-01", "2023-01-31", "2025-12-31"]
+    rows = [(i, rng.choice([None, None, "a", "b"]), rng.choice(["p", None]), rng.choice(days), rng.choice([None, 1.0, 2.5, 7.0])) for i in range(400)]
+    schema = "fact_id int, subject_entity_id string, predicate_id string, period_start string, amount double"
+    df = spark.createDataFrame(rows, schema).withColumn("period_start", F.col("period_start").cast("date"))
+    want, last = {}, {}
+    for i, s, p, day, amount in sorted(rows, key=lambda r: (r[3] is None, r[3] or "", r[0])):
+        no, before = last.get((s, p), (0, None))
+        want[i] = (no + 1, None if before is None or amount is None else amount - before)
+        last[s, p] = no + 1, amount
+    got = views.timeline(df)
+    assert {r.fact_id: (r.event_no, r.change) for r in got.collect()} == want
+    assert views.timeline(df.limit(0)).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritrace.functions import labels, text as tx
+from veritrace.session import materialize
 
 # Fixed value: rows in a recent listing.
 LIST_LIMIT = 200
@@ -175,28 +176,34 @@ def timeline(facts: DataFrame) -> DataFrame:
     Needs subject_entity_id, predicate_id, fact_id, period_start, amount. Adds
     ``event_no`` and the change of the amount since the event before.
 
-    A subject with very many events is cut into months; each month is ordered
-    on its own and only one summary row per month is ordered per subject.
+    The events are cut into ranges of (subject, predicate, period, id), so a
+    subject with very many events, one without a name or period, and a day
+    with very many events are in as many ranges as they need. Each range is
+    numbered on its own, and one summary row per subject and range is ordered
+    per subject. Repeated rows each count as an event.
     """
     key = ["subject_entity_id", "predicate_id"]
-    cut = facts.withColumn("_month", F.trunc("period_start", "month"))
-    months = cut.groupBy(*key, "_month").agg(
-        F.count(F.lit(1)).alias("_n"), F.max(F.struct("period_start", "fact_id", "amount"))["amount"].alias("_last")
+    order = [F.col("period_start").asc_nulls_last(), "fact_id"]
+    # Stored, as the borders come from a sample and must not move between reads.
+    cut = materialize(facts.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "timeline")
+    ranges = cut.groupBy(*key, "_range").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max(F.struct(F.col("period_start").isNull(), "period_start", "fact_id", "amount"))["amount"].alias("_last"),
     )
-    by_month = Window.partitionBy(*key).orderBy(F.col("_month").asc_nulls_last())
-    before = months.select(
-        *key, "_month",
-        F.coalesce(F.sum("_n").over(by_month.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
-        F.lag("_last").over(by_month).alias("_previous"),
+    by_range = Window.partitionBy(*key).orderBy("_range")
+    before = ranges.select(
+        *key, "_range",
+        F.coalesce(F.sum("_n").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
+        F.lag("_last").over(by_range).alias("_previous"),
     )
-    inside = Window.partitionBy(*key, "_month").orderBy(F.col("period_start").asc_nulls_last(), "fact_id")
+    inside = Window.partitionBy(*key, "_range").orderBy(*order)
     numbered = cut.withColumn("_at", F.row_number().over(inside)).withColumn("_lag", F.lag("amount").over(inside))
     left, right = numbered.alias("l"), before.alias("r")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*key, "_month"]]
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*key, "_range"]]
     previous = F.when(F.col("_at") == 1, F.col("_previous")).otherwise(F.col("_lag"))
     return left.join(right, same).select(
         "l.*", (F.col("_base") + F.col("_at")).alias("event_no"), (F.col("amount") - previous).alias("change")
-    ).drop("_month", "_at", "_lag")
+    ).drop("_range", "_at", "_lag")
 
 
 def comparison_table(facts: DataFrame) -> DataFrame:

@@ -627,12 +627,26 @@ PLAN_EXPR = """
                 WHEN o_orderkey % 12 = 4 THEN 'empty' WHEN o_orderkey % 12 = 10 THEN 'no_list' ELSE 'bad_component' END AS problem
     FROM orders""")
 def plan_validate(t):
+    return answers.validate_plans(_plans(t)).select("plan_id", "valid_lenient", "valid_strict", "bad_component", "problem")
+
+
+def _plans(t):
     uuid = F.concat(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("-0000-4000-8000-000000000000"))
-    plans = t("orders").select("o_orderkey", uuid.alias("id")).select(
+    return t("orders").select("o_orderkey", uuid.alias("id")).select(
         F.col("o_orderkey").alias("plan_id"),
         F.concat(F.lit('{"components": '), F.expr(PLAN_EXPR), F.when(F.col("o_orderkey") % 13 == 0, "").otherwise("}")).alias("plan"),
     )
-    return answers.validate_plans(plans).select("plan_id", "valid_lenient", "valid_strict", "bad_component", "problem")
+
+
+# What a reader gets of each plan: the plan, or the one card that stands for a bad one.
+@query("plan_accept", f"""
+    SELECT o_orderkey AS plan_id, CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 12 IN (0, 1, 2, 3, 6, 8, 9)
+      THEN concat('{{"components": ', {PLAN_EXPR}, '}}')
+      ELSE '{{"components": [{{"type": "UncertaintyCard", "message": "No reliable answer could be built.", "reason": "The answer plan was not valid."}}]}}'
+      END AS accepted
+    FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 8, '0') || '-0000-4000-8000-000000000000' AS id FROM orders)""")
+def plan_accept(t):
+    return answers.accepted_plans(_plans(t)).select("plan_id", "accepted")
 
 
 # Orders cite their lines; a line number that occurs twice takes the last part.

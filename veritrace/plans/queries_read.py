@@ -34,10 +34,11 @@ def cosine_distance(t):
 
 
 # Default embedding of every text: unit length, or zero for a text without words.
+# No SQL, as the hash is Spark's own; tests compare every vector with a rebuilt one.
 @query("embed_hash")
 def embed_hash(t):
-    embedded = t("documents").select("doc_id", vectors.embed_hash(F.col("text"), dim=64).alias("v"))
-    return embedded.select("doc_id", F.size("v").alias("dims"), F.round(vectors.norm(F.col("v")), 3).alias("length"))
+    embedded = t("documents").select("doc_id", vectors.embed_hash(F.col("text"), dim=64).alias("embedding"))
+    return embedded.select("doc_id", "embedding", F.round(vectors.norm(F.col("embedding")), 3).alias("length"))
 
 
 @query("vector_topk", f"""
@@ -83,6 +84,30 @@ def vector_topk_lsh(t):
     ).select("anchor_id", "candidate_id", rounded("distance"), "rank")
 
 
+# The same through trained cells, with its recall over every chunk as anchor.
+@query("vector_topk_cells")
+def vector_topk_cells(t):
+    from veritrace.operators.cells import nearest_by_cells
+
+    rows = t("fx_chunks")
+    return nearest_by_cells(
+        rows.select(F.col("chunk_id").alias("anchor_id"), "embedding"), rows.select(F.col("chunk_id").alias("candidate_id"), "embedding"), k=4
+    ).select("anchor_id", "candidate_id", rounded("distance"), "rank")
+
+
+@query("vector_recall", """
+    SELECT count(*) AS asked, CAST(sum(least(4, n)) AS BIGINT) AS exact, true AS enough
+    FROM embeddings, (SELECT count(*) AS n FROM embeddings)""")
+def vector_recall(t):
+    rows = t("fx_chunks").select(F.col("chunk_id").alias("question_id"), "embedding")
+    exact = retrieval.search_chunks_batch(rows, t("fx_chunks")).select(F.col("question_id").alias("anchor_id"), F.col("chunk_id").alias("candidate_id"))
+    close = vector_topk_cells(t).select("anchor_id", "candidate_id", F.lit(1).alias("hit"))
+    return exact.join(close, ["anchor_id", "candidate_id"], "left").agg(
+        F.countDistinct("anchor_id").alias("asked"), F.count(F.lit(1)).alias("exact"),
+        (F.count("hit") >= F.lit(0.9) * F.count(F.lit(1))).alias("enough"),
+    )
+
+
 # The first character starting after byte 500 is cut off, found by summing
 # the byte lengths of the characters.
 @query("snippet", """
