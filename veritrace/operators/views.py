@@ -184,8 +184,9 @@ def timeline(facts: DataFrame) -> DataFrame:
     """
     key = ["subject_entity_id", "predicate_id"]
     order = [F.col("period_start").asc_nulls_last(), "fact_id"]
-    # Stored, as the borders come from a sample and must not move between reads.
-    cut = materialize(facts.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "timeline")
+    # Stored before, as the sample for the borders reads the rows once more than the cut
+    # does, and after, as the borders must not move between reads.
+    cut = materialize(materialize(facts, "events").repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()), "timeline")
     ranges = cut.groupBy(*key, "_range").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.struct(F.col("period_start").isNull(), "period_start", "fact_id", "amount"))["amount"].alias("_last"),
