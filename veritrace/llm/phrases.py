@@ -6,9 +6,10 @@ stored in blocks, each of the pieces of some documents. One level:
 
 1. merge join: occurrences of length ``k`` at adjacent positions of one piece meet, which gives
    the occurrences of length ``k + 1`` whose both parts of ``k`` words are frequent;
-2. group count: each block sends a row per distinct phrase with its count, and
-   the rows of a phrase are summed. A phrase has no more rows than there are blocks,
-   however often it occurs;
+2. group count: each block sends an entry per distinct phrase with its count, and
+   the entries of a phrase are summed. A phrase has no more of them than there are blocks,
+   however often it occurs. The entries of phrases longer than a word travel packed, a row per block
+   and bucket of phrases, and there are buckets enough for one to hold the phrases of a few blocks;
 3. semi-join: the frequent ones go back to the blocks that have them, and each block
    keeps the occurrences of those, as the stored relation of the next level.
 
@@ -36,11 +37,14 @@ COVERED = 80
 SCALE = 2_000_000
 #: Words of a block, about; a text is never cut.
 BLOCK = 1 << 20
+#: Blocks whose distinct phrases would fill a bucket.
+BUCKET_BLOCKS = 2
 #: A key is a block and the number of a phrase in it; a block is the turn of a task and the task.
 CODE_BITS, TASK_BITS = 28, 20
 SENT_ROWS = 1 << 16
 COUNTED = "key long, lang string, word string, n long, data binary"
-PAIRED = "key long, left long, right long, n long"
+PAIRED = "bucket long, key long, data binary"
+FREQUENT = "key long, id long, left long, right long, f long"
 
 _SPLIT = np.zeros(256, dtype=bool)
 _SPLIT[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -50,17 +54,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _pack(places: np.ndarray, ids: np.ndarray) -> bytes:
-    """A relation as gaps between positions, then ids, both byte by byte."""
-    both = np.concatenate([np.diff(places, prepend=0), ids]).astype("<i8")
+def _pack(rising: list[np.ndarray], other: list[np.ndarray]) -> bytes:
+    """Columns of numbers, the rising ones as gaps, byte by byte."""
+    both = np.concatenate([*(np.diff(c, prepend=0) for c in rising), *other]).astype("<i8")
     return zstandard.ZstdCompressor(level=1).compress(both.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(data: bytes, rising: int = 1, other: int = 1) -> list[np.ndarray]:
     wide = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    both = np.ascontiguousarray(wide.reshape(8, -1).T).view("<i8").ravel()
-    gaps, ids = np.split(both, 2)
-    return np.cumsum(gaps), ids
+    columns = np.split(np.ascontiguousarray(wide.reshape(8, -1).T).view("<i8").ravel(), rising + other)
+    return [np.cumsum(c) for c in columns[:rising]] + columns[rising:]
 
 
 def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -96,7 +99,7 @@ def _counted(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa
                 word.dictionary.take(pa.array(part % own)).cast(pa.string()), pa.array(n[a : a + SENT_ROWS]), pa.nulls(len(part), pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
-        data = _pack(np.cumsum(np.concatenate([h[2] for h in held])), code)
+        data = _pack([np.cumsum(np.concatenate([h[2] for h in held]))], [code])
         yield pa.RecordBatch.from_pylist([{"key": block, "data": data}], schema=schema)
 
     for batch in batches:
@@ -121,15 +124,60 @@ def _adjacent(places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, known, local[at] * len(known) + local[at + 1]
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ right.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _paired(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Per block and bucket: number in the block, left, right and count of each distinct pair."""
     for batch in batches:
         for key, data in zip(batch["key"].to_pylist(), batch["data"].to_pylist()):
             _, known, pair = _adjacent(*_unpack(data))
             told, n = np.unique(pair, return_counts=True)
-            for a in range(0, len(told), SENT_ROWS):
-                part = told[a : a + SENT_ROWS]
-                columns = [key + np.arange(a, a + len(part)), known[part // len(known)], known[part % len(known)], n[a : a + SENT_ROWS]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "left", "right", "n"])
+            if not len(told):
+                continue
+            left, right = known[told // len(known)], known[told % len(known)]
+            bucket = _bucket(left, right, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            for part in (order[a:b] for a, b in zip(cuts[:-1], cuts[1:])):
+                row = {"bucket": int(bucket[part[0]]), "key": key, "data": _pack([part, left[part]], [right[part], n[part]])}
+                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("data", pa.binary())]))
+
+
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The keys of the frequent pairs, bucket by bucket, as ``_frequent`` gives them."""
+    at, held = None, []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        key, left, right, n = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((key, right, left))
+        key, left, right, n = key[order], left[order], right[order], n[order]
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        starts = np.flatnonzero(first)
+        f = np.add.reduceat(n, starts)
+        sizes = np.diff(np.append(starts, len(key)))
+        # The least key of a pair is its first.
+        f, name = np.repeat(f, sizes), np.repeat(key[starts], sizes)
+        some = np.flatnonzero(f >= least)
+        for a in range(0, len(some), SENT_ROWS):
+            i = some[a : a + SENT_ROWS]
+            told = [pa.array(c[i], mask=~first[i]) for c in (left, right, f)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(name[i]), *told], names=["key", "id", "left", "right", "f"])
+
+    for batch in batches:
+        for bucket, key, data in zip(*(batch[c].to_pylist() for c in ("bucket", "key", "data"))):
+            if bucket != at and held:
+                yield from flush()
+                held = []
+            code, left, right, n = _unpack(data, 2, 2)
+            at = bucket
+            held.append((key + code, left, right, n))
+    if held:
+        yield from flush()
 
 
 def _kept(batches: Iterator[pa.RecordBatch], paired: bool) -> Iterator[pa.RecordBatch]:
@@ -159,16 +207,23 @@ def _kept(batches: Iterator[pa.RecordBatch], paired: bool) -> Iterator[pa.Record
                 name[every] = np.concatenate(ids)
                 name = name[code]
                 left = name >= 0
-                yield pa.RecordBatch.from_arrays([pa.array([int(at) << CODE_BITS]), pa.array([_pack(places[left], name[left])], pa.binary())], names=["key", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(at) << CODE_BITS]), pa.array([_pack([places[left]], [name[left]])], pa.binary())], names=["key", "data"])
 
 
 def _frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame:
-    """The rows of frequent phrases, with their sum ``f`` and the name ``id``. A window is no wider than there are blocks."""
+    """The rows of frequent words, with their sum ``f`` and the name ``id``. A window is no wider than there are blocks."""
     own = Window.partitionBy(*by)
     told = rows.withColumns({"f": F.sum("n").over(own), "id": F.min("key").over(own)}).filter(F.col("f") >= least)
     return keep(told.select("key", "id", *(F.when(F.col("key") == F.col("id"), F.col(c)).alias(c) for c in (*by, "f"))), "frequent")
 
 
+def _frequent_pairs(relation: DataFrame, least: int, buckets: int) -> DataFrame:
+    """The same for the pairs of a relation: each bucket holds all entries of its pairs."""
+    packed = relation.mapInArrow(lambda it: _paired(it, buckets), PAIRED)
+    dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return keep(dealt.mapInArrow(lambda it: _summed(it, least), FREQUENT), "frequent")
+
+
 def _advance(relation: DataFrame, frequent: DataFrame, paired: bool, parts: int) -> DataFrame:
     names = frequent.select("key", "id", F.lit(None).cast("binary").alias("data"))
     met = names.union(relation.select("key", F.lit(None).cast("long").alias("id"), "data")).withColumn("block", F.shiftright("key", CODE_BITS))
@@ -184,14 +239,15 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     stored = keep(rows.mapInArrow(lambda it: _counted(it, block), COUNTED), "words")
     counted, relation = stored.filter("data is null"), stored.filter("data is not null").select("key", "data")
     # As many tasks as blocks would be one each; a few blocks follow each other in one.
-    parts = max(partitions(spark), relation.count() // 4)
+    blocks = relation.count()
+    parts, buckets = max(partitions(spark), blocks // 4), max(partitions(spark), blocks // BUCKET_BLOCKS)
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = _frequent(counted.select("key", "lang", "word", "n"), ["lang", "word"], least)
     named = frequent.filter("key = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
     found = [named.withColumn("k", F.lit(1))]
     for k in range(2, longest + 1):
         relation = _advance(relation, frequent, k > 2, parts)
-        frequent = _frequent(relation.mapInArrow(_paired, PAIRED), ["left", "right"], least)
+        frequent = _frequent_pairs(relation, least, buckets)
         a, b = (named.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("lang", "phrase", "last"))) for side in ("left", "right"))
         named = keep(
             frequent.filter("key = id").select("id", "left", "right", "f").join(a, "left").join(b, "right").select(
