@@ -37,8 +37,8 @@ COVERED = 80
 SCALE = 2_000_000
 #: Words of a block, about; a text is never cut.
 BLOCK = 1 << 20
-#: Blocks whose distinct phrases would fill a bucket.
-BUCKET_BLOCKS = 2
+#: A bucket holds as many entries as the distinct phrases of so many blocks.
+BUCKET_BLOCKS = 1
 #: A key is a block and the number of a phrase in it; a block is the turn of a task and the task.
 CODE_BITS, TASK_BITS = 28, 20
 SENT_ROWS = 1 << 16
@@ -139,6 +139,7 @@ def _paired(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             if not len(told):
                 continue
             left, right = known[told // len(known)], known[told % len(known)]
+            del pair, told
             bucket = _bucket(left, right, buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
@@ -152,9 +153,13 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
     at, held = None, []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        key, left, right, n = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((key, right, left))
-        key, left, right, n = key[order], left[order], right[order], n[order]
+        columns = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
+        order = np.lexsort(columns[:3])
+        for c in range(4):
+            columns[c] = columns[c][order]
+        del order
+        key, right, left, n = columns
         first = np.ones(len(key), dtype=bool)
         first[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
         starts = np.flatnonzero(first)
@@ -172,10 +177,9 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         for bucket, key, data in zip(*(batch[c].to_pylist() for c in ("bucket", "key", "data"))):
             if bucket != at and held:
                 yield from flush()
-                held = []
             code, left, right, n = _unpack(data, 2, 2)
             at = bucket
-            held.append((key + code, left, right, n))
+            held.append((key + code, right, left, n))
     if held:
         yield from flush()
 
