@@ -247,6 +247,25 @@ def test_facts_of_long_texts_keep_their_numbers(spark):
     assert {(r.chunk_id, r.n, r.d) for r in got} == {("a", 1, 1), ("b", 2000, 2000)}
 
 
+def test_numbers_of_names_and_values_are_no_periods(spark):
+    from veritrace.operators import extraction
+
+    texts = {
+        "Supplier 2049 reported revenue of Rs. 1 crore for FY99.": ["FY99"],
+        "Supplier 2049 reported revenue of Rs. 1 crore.": [None],
+        "Mill 7 reported turnover of Rs. 1945 crore for FY2019.": ["FY2019"],
+        "Mill 1944 reported ebitda of 2050 units, revenue of Rs. 2 crore.": [None, None],
+        "Q3 FY2025 recorded revenue of Rs. 5 crore, as in 2024.": ["Q3 FY2025"],
+        "In financial year 2024 employees were 2030 people.": ["financial year 2024", "financial year 2024"],
+        "Mill 1999 reported revenue of Rs. 5 crore in 2021, headcount of 20 people.": ["2021", "2021"],
+    }
+    df = spark.createDataFrame([(t, t) for t in texts], "chunk_id string, text string")
+    got = {}
+    for r in extraction.extract_by_rule(df).orderBy("fact_no").collect():
+        got.setdefault(r.chunk_id, []).append(r.time_value)
+    assert got == texts
+
+
 def test_decisions_and_guard(spark):
     rows = [(1, "a", 0.96), (2, "a", 0.95), (3, "a", 0.9), (4, "a", 0.75), (5, "a", 0.74), (6, "x", 0.99), (7, None, None)]
     choices = spark.createDataFrame(rows, "mention_id int, match_entity_id string, confidence float")

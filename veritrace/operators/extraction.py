@@ -175,10 +175,12 @@ COUNT_NOUNS = "units|employees|people|tonnes|shares|customers"
 _SCALE = "|".join(values.SCALE_WORDS.values())
 MONEY_TEXT = rf"(?:Rs\.?|₹|INR|USD|EUR|GBP|US\$|\$|€|£)\s*{values.NUMBER}(?:\s*(?:{_SCALE})\b)?"
 VALUE_TEXT = rf"(?i)(?:{MONEY_TEXT}|{values.NUMBER}\s*(?:%|per\s?cent\b)|{values.NUMBER}\s+(?:{COUNT_NOUNS})\b)"
-PERIOD_TEXT = (
-    r"(?i)(?:\bQ[1-4]\s+(?:FY\s*'?)?[0-9]{2,4}\b|\b(?:FY|financial year|fiscal year)\s*'?[0-9]{2,4}(?:[-–/][0-9]{2,4})?\b"
-    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:\s*(?:to|–)\s*[0-9]{4}-[0-9]{2}-[0-9]{2})?|\b(?:19|20)[0-9]{2}\b)"
+# Periods that cannot be meant as any other number, and those with bare years.
+MARKED_PERIOD = (
+    r"\bQ[1-4]\s+(?:FY\s*'?)?[0-9]{2,4}\b|\b(?:FY|financial year|fiscal year)\s*'?[0-9]{2,4}(?:[-–/][0-9]{2,4})?\b"
+    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:\s*(?:to|–)\s*[0-9]{4}-[0-9]{2}-[0-9]{2})?"
 )
+PERIOD_TEXT = rf"(?i)(?:{MARKED_PERIOD}|\b(?:19|20)[0-9]{{2}}\b)"
 # A sentence ends at . ! or ? before a capital; a clause at a comma or semicolon.
 SENTENCE_END = rf"(?<!\bLtd)(?<!\bRs)(?<=[.!?]){tx.WS}+(?=\p{{Lu}})"
 CLAUSE_END = rf"[,;]{tx.WS}+"
@@ -190,6 +192,13 @@ def _first(text: Column, pattern: str) -> Column:
     return F.regexp_substr(text, F.lit(pattern))
 
 
+def _first_period(text: Column, name: Column) -> Column:
+    """The first period of a text. Numbers of the name that opens it and of values are none, unless marked as a period."""
+    opening = F.regexp_replace(name, rf"(?i)({MARKED_PERIOD})|[0-9]+", "$1 ")
+    named = F.when(F.startswith(text, name), F.concat(opening, text.substr(F.length(name) + 1, F.length(text)))).otherwise(text)
+    return _first(F.regexp_replace(named, rf"(?i)({MARKED_PERIOD})|{VALUE_TEXT}", "$1 "), PERIOD_TEXT)
+
+
 def extract_by_rule(chunks: DataFrame, metrics: dict[str, str] = METRICS) -> DataFrame:
     """Default extractor: values of known metrics, found by pattern.
 
@@ -214,9 +223,9 @@ def extract_by_rule(chunks: DataFrame, metrics: dict[str, str] = METRICS) -> Dat
     before = clause.substr(F.lit(1), F.position(F.col("value_raw"), clause) - 1)
     # A wording that only a pattern of the table matches names itself.
     name = F.coalesce(F.try_element_at(names, F.lower(metric)), F.lower(metric))
-    period = F.coalesce(_first(clause, PERIOD_TEXT), _first(sentence, PERIOD_TEXT))
     scope = F.lower(F.coalesce(*[_first(c, r"(?i)\b(?:consolidated|standalone)\b") for c in (clause, sentence)]))
     subject = F.nullif(F.regexp_extract(sentence, SUBJECT_TEXT, 1), F.lit(""))
+    period = F.coalesce(_first_period(clause, subject), _first_period(sentence, subject))
     if "default_subject" in chunks.columns:
         subject = F.coalesce(subject, F.col("default_subject"))
     out = found.select(
