@@ -123,6 +123,17 @@ def test_stream_equals_batch(spark):
     assert contents(stream) == contents(batch)
 
 
+def test_stream_reads_a_table_in_a_folder(spark):
+    from veritrace.plans.queries_stream import stream_ingest
+
+    root = scratch_path(spark, "folder")
+    rows = [(1, "One text."), (2, "Another text."), (3, "One text.")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(9, "Of another table.")], "doc_id long, text string").write.parquet(f"{root}/pages.parquet")
+    got = stream_ingest(spark, root).collect()
+    assert {(r.filename, r.n_chunks, r.n_chars) for r in got} == {("000000000001.txt", 1, 9), ("000000000002.txt", 1, 13)}
+
+
 def test_documents_arriving_later_are_compared_with_stored_ones(spark):
     store = Store(spark, scratch_path(spark, "steps"))
     for n, row in enumerate(CORPUS[:3]):

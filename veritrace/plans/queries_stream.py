@@ -14,7 +14,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the stream; every distinct text once, with the
     chunks made of it."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    rows = landing_stream(spark, sf_dir, schema, glob="documents.parquet").select(
+    # The table is one file or a folder of them; a stream takes either by a pattern, which here fits one name.
+    rows = landing_stream(spark, f"{sf_dir}/documents[.]parquet", schema, glob="*").select(
         F.format_string("%012d.txt", "doc_id").alias("filename"), "text"
     )
     root = scratch_path(spark, "stream")
