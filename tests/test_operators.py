@@ -247,6 +247,44 @@ def test_facts_of_long_texts_keep_their_numbers(spark):
     assert {(r.chunk_id, r.n, r.d) for r in got} == {("a", 1, 1), ("b", 2000, 2000)}
 
 
+def test_groups_that_share_vectors(spark):
+    """Zero, missing and tied vectors, owners with most of the near rows, and groups with too few."""
+    rng = np.random.default_rng(5)
+    vectors = [None, [0.0] * 4, *[[float(x) for x in v] for v in rng.integers(-3, 4, (30, 4)).astype(float) if v.any()]]
+    rows = [(i, vectors[rng.integers(len(vectors))], int(rng.integers(6)) if i < 900 else 6, int(rng.choice([0, 0, 0, 1, 2, 3]))) for i in range(904)]
+    df = spark.createDataFrame(rows, "id int, embedding array<float>, g int, owner int")
+    anchors = df.select(F.col("id").alias("anchor_id"), "embedding", "g", "owner")
+    candidates = df.filter("id % 3 > 0").select(F.col("id").alias("candidate_id"), "embedding", "g", "owner")
+    pairs = nearest.nearest_in_groups(anchors, candidates, 5, ["g"])
+    # The vectors are compared once for all groups, not only group by group.
+    assert "posexplode" in pairs._jdf.queryExecution().toString()
+    want = {(r.anchor_id, r.candidate_id, r["rank"], str(r.distance)) for r in nearest.nearest(anchors, candidates, 5, ["g"]).collect()}
+    assert {(r.anchor_id, r.candidate_id, r["rank"], str(r.distance)) for r in pairs.collect()} == want and len(want) > 4000
+
+
+def test_vectors_are_not_copied_per_group(spark):
+    """As many groups as it takes for the vectors to weigh: they cross a shuffle once, whatever the number of groups."""
+    from unittest import mock
+
+    from veritrace.operators import reasoning as r
+
+    facts = spark.range(6000).select(
+        F.col("id").alias("fact_id"), (F.col("id") % 20).alias("predicate_id"), (F.col("id") % 613).alias("document_id"), F.lit("active").alias("status"),
+        F.transform(F.sequence(F.lit(1), F.lit(8)), lambda j: F.sin(j * (1 + F.col("id") % 37)).cast("float")).alias("embedding"),
+    )
+    sizes = []
+
+    def counted(anchors, candidates, k, group=None, **other):
+        sizes.append(anchors.count())
+        return nearest_of(anchors, candidates, k, group, **other)
+
+    nearest_of = nearest.nearest
+    with mock.patch.object(nearest, "nearest", counted):
+        found = r.related_facts(facts).count()
+    # 37 vectors among themselves, and no fact is left for its own comparison.
+    assert found == 30000 and sizes == [37, 0]
+
+
 def test_numbers_of_names_and_values_are_no_periods(spark):
     from veritrace.operators import extraction
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veritrace.functions import labels, values
-from veritrace.operators.nearest import nearest
+from veritrace.operators.nearest import nearest_in_groups
 from veritrace.operators.views import first_evidence
 from veritrace.session import materialize
 
@@ -34,7 +34,7 @@ def related_facts(facts: DataFrame, anchors: DataFrame | None = None, k: int = R
     if anchors is not None:
         # A few arriving anchors touch only the facts of their predicates.
         pool = pool.join(asked.select("predicate_id").distinct(), "predicate_id", "left_semi")
-    return _pairs(nearest(asked, pool, k, group=["predicate_id"]))
+    return _pairs(nearest_in_groups(asked, pool, k, group=["predicate_id"]))
 
 
 def _pairs(found: DataFrame) -> DataFrame:
