@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from veritrace.functions import text as tx
 from veritrace.functions.vectors import cosine_distance
 from veritrace.operators.nearest import distance_order, nearest_to_questions
+from veritrace.session import materialize
 
 # Items retrieved per question.
 CHUNKS_PER_QUESTION = 4
@@ -67,7 +68,8 @@ def evidence_bundle(
     ``views`` is the fact view, keyed by fact_id. Kept as rows, not nested
     lists: one fact may have any number of relationships.
     """
-    hits = search_facts_batch(questions, facts)
+    # Used twice, and dear.
+    hits = materialize(search_facts_batch(questions, facts), "hits")
     fact_rows = hits.join(views, "fact_id")
     ends = relationships.withColumn("fact_id", F.explode(F.array("fact_a_id", "fact_b_id")))
     relation_rows = hits.select("question_id", "fact_id", "rank").join(ends, "fact_id")
