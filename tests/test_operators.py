@@ -205,6 +205,30 @@ def test_candidates_are_exact(spark):
         assert {(r.mention_id, r.entity_id, r["rank"]) for r in got} == want, options
 
 
+def test_similar_names_read_no_long_lists(spark):
+    """Names that share most trigrams with all entities meet only those that share rare ones, too."""
+    from unittest import mock
+
+    known = [(i, f"Supplier#{i:09d}", "org") for i in range(600)]
+    asked = [(i, f"Supplier {i * 7:09d}", "org") for i in range(60)]
+    mentions = spark.createDataFrame(asked, "mention_id int, name string, entity_type string")
+    stored = spark.createDataFrame(known, "entity_id int, canonical_name string, entity_type string")
+    visits, visit = [], entities._visit
+
+    def seen(*given):
+        visits.append(visit(*given).count())
+        return visit(*given)
+
+    with mock.patch.object(entities, "_visit", seen):
+        got = entities.candidate_entities(mentions, stored).collect()
+    want = set()
+    for i, n, _ in asked:
+        best = sorted((-alike(n, m), j) for j, m, _ in known)[:8]
+        want |= {(i, j, rank) for rank, (_, j) in enumerate(best, 1)}
+    assert {(r.mention_id, r.entity_id, r["rank"]) for r in got} == want
+    assert sum(visits) < len(asked) * 20
+
+
 def test_batch_resolution_goes_one_by_one(spark):
     rng = random.Random(9)
     names = random_names(rng, 80)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -25,6 +27,9 @@ TILE_NAMES = 2048
 FIRST_READ = 512
 LIST_PART = 4096
 VISITS_PART = 65536
+# Similarities, in per cent, down to which mentions are looked up by pairs of
+# trigrams; all above 50. No result depends on them.
+LEVELS = (90, 80, 70, 65, 60)
 
 
 def upsert_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -75,8 +80,68 @@ def _visit(visits: DataFrame, postings: DataFrame, part: int) -> DataFrame:
     return left.join(right, [*key, "at_visit", "at_list"]).select("mention_id", "entity_id")
 
 
+def _pair_keys(names: DataFrame, own: str, sizes: DataFrame, level: int) -> DataFrame:
+    """Keys (key, id) under which a name meets all of at least ``level`` per cent similarity: the pairs
+    of its rarest trigrams, for each size that such a name of the other side may have.
+
+    Sets of ``n`` and ``o`` trigrams that are as similar share at least ``t``, and the first two
+    shared ones are among the first ``n - t + 2`` of a set by rarity. ``sizes`` has the
+    sizes (entity_type, o) of the other side; ``names`` has n and, rarest first, the numbers of the trigrams that entities have."""
+    n, o = F.col("n"), F.col("o")
+    shared = F.ceil((level * (n + o)) / F.lit(100 + level) - F.lit(1e-9))
+    # Trigrams that no entity has are the rarest.
+    first = F.greatest(F.least(n - shared + 2 - (n - F.size("codes")), F.size("codes")), F.lit(0)).cast("int")
+    met = names.join(sizes, "entity_type").filter((n * 100 >= o * level) & (o * 100 >= n * level)).withColumn("front", F.slice("codes", 1, first))
+    pairs = F.flatten(F.transform("front", lambda a, i: F.transform(
+        F.slice("front", i + 2, F.size("front")), lambda b: F.struct(a.alias("a"), b.alias("b"))
+    )))
+    both = ("n", "o") if own == "mention_id" else ("o", "n")
+    return met.select(F.col(own), "entity_type", *both, F.explode(pairs).alias("p")).select(
+        F.xxhash64("entity_type", *both, "p.a", "p.b").alias("key"), own
+    )
+
+
+def _near_by_pairs(asked: DataFrame, known: DataFrame, lists: DataFrame, k: int, levels: tuple[int, ...]) -> DataFrame | None:
+    """The ``k`` best entities (mention_id, entity_id, similarity, rank) of the mentions that have ``k`` at or above
+    one of the falling ``levels``. All entities from a level on are met there, so such a result is exact."""
+    vocabulary = materialize(
+        lists.groupBy("entity_type", "gram").agg(F.sum("entries").alias("df")).withColumn("code", F.monotonically_increasing_id()), "vocabulary"
+    )
+
+    def coded(df: DataFrame, own: str) -> DataFrame:
+        code = F.sort_array(F.collect_list(F.struct("df", "gram", "code"))).getField("code")
+        rows = df.select(own, "entity_type", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+        return rows.join(vocabulary, ["entity_type", "gram"]).groupBy(own, "entity_type", "n").agg(code.alias("codes"))
+
+    open_ = materialize(coded(asked, "mention_id"), "mention-codes")
+    rows = materialize(coded(known, "entity_id"), "entity-codes")
+    sizes = rows.select("entity_type", F.col("n").alias("o")).distinct()
+    found = []
+    for level in levels:
+        asked_sizes = open_.select("entity_type", F.col("n").alias("o")).distinct()
+        met = _pair_keys(open_, "mention_id", sizes, level).join(_pair_keys(rows, "entity_id", asked_sizes, level), "key")
+        m, e = F.col("m.codes"), F.col("e.codes")
+        shared = F.size(F.array_intersect(m, e))
+        similar = (
+            met.select("mention_id", "entity_id").distinct()
+            .join(open_.alias("m"), "mention_id").join(rows.alias("e"), "entity_id")
+            .filter(F.col("m.entity_type") == F.col("e.entity_type"))
+            .select("mention_id", "entity_id", shared.alias("shared"), (F.col("m.n") + F.col("e.n")).alias("sizes"))
+            .filter(F.col("shared") * (100 + level) >= F.col("sizes") * level)
+            .select("mention_id", "entity_id", (F.col("shared").cast("double") / (F.col("sizes") - F.col("shared"))).alias("similarity"))
+        )
+        best = materialize(_top(similar, k), "similar")
+        served = best.filter(F.col("rank") == k).select("mention_id")
+        found.append(best.join(served, "mention_id", "left_semi"))
+        open_ = materialize(open_.join(served, "mention_id", "left_anti"), "mention-codes")
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def candidate_entities(
-    mentions: DataFrame, entities: DataFrame, k: int = CANDIDATES, first_read: int = FIRST_READ, part: int = LIST_PART
+    mentions: DataFrame, entities: DataFrame, k: int = CANDIDATES, first_read: int = FIRST_READ, part: int = LIST_PART,
+    levels: tuple[int, ...] = LEVELS,
 ) -> DataFrame:
     """The ``k`` most similar entities of the same type for each mention, with
     no lower limit; ties go to the smaller id.
@@ -84,7 +149,9 @@ def candidate_entities(
     ``mentions``: mention_id, name, entity_type. ``entities``: entity_id,
     canonical_name, entity_type. Returns mention_id, entity_id, similarity, rank.
 
-    A threshold algorithm over inverted lists, one per trigram and size of the
+    Mentions with ``k`` similar entities find them by pairs of rare trigrams
+    that both have, at falling ``levels`` of similarity. The others go through
+    a threshold algorithm over inverted lists, one per trigram and size of the
     entity's trigram set. A mention reads the lists of its rarest trigrams
     first. An entity of ``s`` trigrams that it first meets at a later one
     shares at most the ``x`` trigrams from there on, so its similarity is at
@@ -97,7 +164,7 @@ def candidate_entities(
     grams = lambda name: F.coalesce(trigrams(F.col(name)), none).alias("grams")
     # A name that many mentions share is looked up once.
     named = mentions.select("mention_id", "entity_type", F.col("name").alias("name"))
-    asked = materialize(
+    every = materialize(
         named.groupBy("entity_type", "name").agg(F.min("mention_id").alias("mention_id"))
         .select("mention_id", "entity_type", "name", grams("name")), "mention-grams",
     )
@@ -109,6 +176,8 @@ def candidate_entities(
     )
     postings = known.select("entity_type", "entity_id", F.size("grams").alias("n_e"), F.explode("grams").alias("gram"))
     lists = postings.groupBy("entity_type", "gram", "n_e").agg(F.count(F.lit(1)).alias("entries"))
+    near = _near_by_pairs(every, known, lists, k, levels)
+    asked = every if near is None else materialize(every.join(near.select("mention_id").distinct(), "mention_id", "left_anti"), "mention-open")
     rarity = lists.groupBy("entity_type", "gram").agg(F.sum("entries").alias("df"))
 
     # Trigrams that no entity has are in no list, but count in the mention's size.
@@ -143,7 +212,9 @@ def candidate_entities(
     short = asked.join(full, "mention_id", "left_anti").select("mention_id", "entity_type").join(least, "entity_type")
     filled = short.select("mention_id", "entity_id").join(found, ["mention_id", "entity_id"], "left_anti").withColumn("similarity", F.lit(0.0))
     best = _top(found.select("mention_id", "entity_id", "similarity").unionByName(filled), k)
-    answered = best.join(asked.select("mention_id", "entity_type", "name"), "mention_id").drop("mention_id")
+    if near is not None:
+        best = best.unionByName(near)
+    answered = best.join(every.select("mention_id", "entity_type", "name"), "mention_id").drop("mention_id")
     left, right = named.alias("l"), answered.alias("r")
     same = (F.col("l.entity_type") == F.col("r.entity_type")) & F.col("l.name").eqNullSafe(F.col("r.name"))
     return left.join(right, same).select("l.mention_id", "r.entity_id", "r.similarity", "r.rank")
