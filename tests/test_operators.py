@@ -271,6 +271,16 @@ def test_facts_of_long_texts_keep_their_numbers(spark):
     assert {(r.chunk_id, r.n, r.d) for r in got} == {("a", 1, 1), ("b", 2000, 2000)}
 
 
+def test_neighbours_store_each_frontier(spark):
+    """Edges may repeat and lead back; the frontier has a known size when it joins them."""
+    from veritrace.operators import graph
+
+    edges = [("a", "b"), ("a", "b"), ("c", "a"), ("b", "a"), ("b", "d"), ("d", "e"), ("x", "y"), ("c", "c")]
+    found = graph.neighbours(spark.createDataFrame(edges, "src string, dst string"), "a", 2)
+    assert {(r.node, r.hops) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)} and found.count() == 4
+    assert any("frontier-" in f for f in found.inputFiles())
+
+
 def test_groups_that_share_vectors(spark):
     """Zero, missing and tied vectors, owners with most of the near rows, and groups with too few."""
     rng = np.random.default_rng(5)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veritrace.functions.labels import RELATIONSHIP_TYPES
+from veritrace.session import materialize
 
 # Relationship types that may become edge types.
 EDGE_TYPES = [label for label in RELATIONSHIP_TYPES if label != "UNRELATED"]
@@ -43,7 +44,15 @@ def edges(
     documents: DataFrame, facts: DataFrame, entities: DataFrame, evidence: DataFrame, relationships: DataFrame,
     all_facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct edges (edge_type, src, dst) whose two ends exist. If ``facts`` are those of
+    """Distinct edges (edge_type, src, dst); see ``edge_rows``."""
+    return edge_rows(documents, facts, entities, evidence, relationships, all_facts).distinct()
+
+
+def edge_rows(
+    documents: DataFrame, facts: DataFrame, entities: DataFrame, evidence: DataFrame, relationships: DataFrame,
+    all_facts: DataFrame | None = None,
+) -> DataFrame:
+    """Edges (edge_type, src, dst) whose two ends exist, some maybe more than once. If ``facts`` are those of
     a batch, ``all_facts`` has those that its relationships may lead to."""
     doc_ids = documents.select("document_id")
     fact_ids = facts.select("fact_id")
@@ -70,7 +79,7 @@ def edges(
              ref("Evidence", "evidence_id"), ref("Document", "document_id")),
         edge(typed, F.col("kind"), ref("Fact", "fact_a_id"), ref("Fact", "fact_b_id")),
     ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def provenance_trace(facts: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
@@ -84,8 +93,9 @@ def provenance_trace(facts: DataFrame, evidence: DataFrame, documents: DataFrame
 
 def neighbours(edge_rows: DataFrame, start: str, hops: int) -> DataFrame:
     """Nodes within ``hops`` undirected steps of ``start``, with the fewest
-    steps that reach them. The depth is fixed, so this is one plan; each step
-    reduces the frontier to distinct nodes before it joins again."""
+    steps that reach them. Each step reduces the frontier to distinct nodes and
+    stores it, so that its size is known before it joins: a small one goes to
+    the edges. They may repeat, as making them distinct would send them all."""
     pairs = edge_rows.select(F.array("src", "dst").alias("ends"))
     arrows = pairs.select(
         F.inline(F.array(
@@ -97,6 +107,8 @@ def neighbours(edge_rows: DataFrame, start: str, hops: int) -> DataFrame:
     step = arrows.filter(F.col("node") == start).select(F.col("other").alias("node")).distinct()
     found = [arrows.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("hops"))]
     for depth in range(1, hops + 1):
+        if depth < hops:
+            step = materialize(step, "frontier")
         found.append(step.withColumn("hops", F.lit(depth)))
         if depth < hops:
             step = arrows.join(step, "node").select(F.col("other").alias("node")).distinct()

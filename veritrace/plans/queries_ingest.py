@@ -283,4 +283,4 @@ def provenance_trace(t):
       SELECT 'Entity:7' AS node, 0 AS hops UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two)
     GROUP BY node""")
 def entity_neighbours(t):
-    return graph.neighbours(graph.edges(*_parts(t)), "Entity:7", hops=2)
+    return graph.neighbours(graph.edge_rows(*_parts(t)), "Entity:7", hops=2)
