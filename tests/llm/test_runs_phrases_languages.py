@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,6 +87,22 @@ def test_phrases_on_the_awkward_table(spark, least, longest, block):
     assert phrases.collocations(df.filter("false")).count() == 0
 
 
+def test_frequent_pairs_are_no_row_per_pair_and_block(spark):
+    ready(spark)
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, 30, 3000) for _ in range(12)]
+    relation = spark.createDataFrame(
+        [(b << phrases.CODE_BITS, phrases._pack([np.arange(3000)], [x])) for b, x in enumerate(ids)], "key long, data binary"
+    )
+    rows = phrases._frequent_pairs(relation, 20, 4).collect()
+    told = Counter(pair for x in ids for pair in zip(x[:-1].tolist(), x[1:].tolist()))
+    want = {pair: n for pair, n in told.items() if n >= 20}
+    found = [r for r in rows if r.left is not None]
+    assert {(r.left, r.right): r.f for r in found} == want and len(found) == len(want) == len({r.id for r in found})
+    # Each of some 900 pairs is in most of the 12 blocks, which take no more than a row per bucket.
+    assert len(want) > 800 and len(rows) <= len(want) + 12 * 4
+
+
 def test_languages_held_out(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = {r.doc_id: r for r in languages.identify(docs).collect()}

@@ -10,11 +10,11 @@ stored in blocks, each of the pieces of some documents. One level:
    the entries of a phrase are summed. A phrase has no more of them than there are blocks,
    however often it occurs. The entries of phrases longer than a word travel packed, a row per block
    and bucket of phrases, and there are buckets enough for one to hold the phrases of a few blocks;
-3. semi-join: the frequent ones go back to the blocks that have them, and each block
+3. semi-join: the frequent ones go back to the blocks that have them, packed likewise, and each block
    keeps the occurrences of those, as the stored relation of the next level.
 
-Positions leave a gap between pieces, so adjacent ones are of one piece. A phrase is
-named by the least of its rows' keys, and is told by its two parts, down to words compared as strings: no
+Positions leave a gap between pieces, so adjacent ones are of one piece. A word is named by the least of its
+rows' keys and a longer phrase by its place in its bucket. It is told by its two parts, down to words compared as strings: no
 hash stands for a phrase. Counts of all lengths are exact, since every part of a frequent phrase is frequent.
 """
 
@@ -44,7 +44,8 @@ CODE_BITS, TASK_BITS = 28, 20
 SENT_ROWS = 1 << 16
 COUNTED = "key long, lang string, word string, n long, data binary"
 PAIRED = "bucket long, key long, data binary"
-FREQUENT = "key long, id long, left long, right long, f long"
+#: A phrase, or the phrases of a bucket that a block has, packed.
+FREQUENT = "id long, left long, right long, f long, key long, bucket long, data binary"
 
 _SPLIT = np.zeros(256, dtype=bool)
 _SPLIT[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -148,9 +149,11 @@ def _paired(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("data", pa.binary())]))
 
 
-def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The keys of the frequent pairs, bucket by bucket, as ``_frequent`` gives them."""
+def _summed(batches: Iterator[pa.RecordBatch], least: int, buckets: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """The frequent pairs, bucket by bucket, and unless these are the ``last``, per block and bucket
+    the numbers in the block of those it has with their places in the bucket, as ``_kept`` takes them."""
     at, held = None, []
+    schema = pa.schema([(c, pa.binary() if c == "data" else pa.int64()) for c in ("id", "left", "right", "f", "key", "bucket", "data")])
 
     def flush() -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(c) for c in zip(*held)]
@@ -164,14 +167,26 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         first[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
         starts = np.flatnonzero(first)
         f = np.add.reduceat(n, starts)
+        often = f >= least
+        place = np.cumsum(often) - 1
         sizes = np.diff(np.append(starts, len(key)))
-        # The least key of a pair is its first.
-        f, name = np.repeat(f, sizes), np.repeat(key[starts], sizes)
-        some = np.flatnonzero(f >= least)
-        for a in range(0, len(some), SENT_ROWS):
-            i = some[a : a + SENT_ROWS]
-            told = [pa.array(c[i], mask=~first[i]) for c in (left, right, f)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(name[i]), *told], names=["key", "id", "left", "right", "f"])
+        told = [place[often] * buckets + at, left[starts[often]], right[starts[often]], f[often]]
+        for a in range(0, len(told[0]), SENT_ROWS):
+            some = [pa.array(c[a : a + SENT_ROWS]) for c in told]
+            none = [pa.nulls(len(some[0]), schema.field(c).type) for c in ("key", "bucket", "data")]
+            yield pa.RecordBatch.from_arrays([*some, *none], schema=schema)
+        if last:
+            return
+        some = np.repeat(often, sizes)
+        key, place = key[some], np.repeat(place, sizes)[some]
+        # In a block, both its numbers and the places in the bucket rise with the pair.
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+        cuts = np.flatnonzero(np.diff(key >> CODE_BITS, prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            block = int(key[a]) >> CODE_BITS << CODE_BITS
+            row = {"key": block, "bucket": at, "data": _pack([key[a:b] - block, place[a:b]], [])}
+            yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     for batch in batches:
         for bucket, key, data in zip(*(batch[c].to_pylist() for c in ("bucket", "key", "data"))):
@@ -184,8 +199,9 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield from flush()
 
 
-def _kept(batches: Iterator[pa.RecordBatch], paired: bool) -> Iterator[pa.RecordBatch]:
-    """The relation of each block with only what is frequent, under its name. A block's names come before it."""
+def _kept(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The relation of each block with only what is frequent, under its name. A block's names come before it:
+    of pairs packed by bucket, of words, if there are no ``buckets``, one by one."""
     at, codes, ids = None, [], []
     for batch in batches:
         keys, names = batch["key"].to_numpy(), batch["id"]
@@ -194,16 +210,21 @@ def _kept(batches: Iterator[pa.RecordBatch], paired: bool) -> Iterator[pa.Record
         for a, b in zip(cuts[:-1], cuts[1:]):
             if block[a] != at:
                 at, codes, ids = block[a], [], []
-            data = batch["data"].slice(a, b - a)
-            told = b - a - (len(data) - data.null_count)
-            if told:
+            named, data = names.slice(a, b - a), batch["data"].slice(a, b - a)
+            told = b - a - named.null_count
+            if buckets:
+                for bucket, packed in zip(named[:told].to_pylist(), data[:told].to_pylist()):
+                    code, place = _unpack(packed, 2, 0)
+                    codes.append(code)
+                    ids.append(place * buckets + bucket)
+            elif told:
                 codes.append(keys[a : a + told] & ((1 << CODE_BITS) - 1))
-                ids.append(names.slice(a, told).to_numpy())
+                ids.append(named[:told].to_numpy())
             # At most one relation, the last row of its block.
-            if data.null_count < len(data) and codes:
+            if named.null_count and codes:
                 places, held = _unpack(data[told].as_py())
                 code = held
-                if paired:
+                if buckets:
                     spot, _, pair = _adjacent(places, held)
                     places, code = places[spot], np.unique(pair, return_inverse=True)[1]
                 every = np.concatenate(codes)
@@ -221,18 +242,18 @@ def _frequent(rows: DataFrame, by: list[str], least: int) -> DataFrame:
     return keep(told.select("key", "id", *(F.when(F.col("key") == F.col("id"), F.col(c)).alias(c) for c in (*by, "f"))), "frequent")
 
 
-def _frequent_pairs(relation: DataFrame, least: int, buckets: int) -> DataFrame:
+def _frequent_pairs(relation: DataFrame, least: int, buckets: int, last: bool = False) -> DataFrame:
     """The same for the pairs of a relation: each bucket holds all entries of its pairs."""
     packed = relation.mapInArrow(lambda it: _paired(it, buckets), PAIRED)
     dealt = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return keep(dealt.mapInArrow(lambda it: _summed(it, least), FREQUENT), "frequent")
+    return keep(dealt.mapInArrow(lambda it: _summed(it, least, buckets, last), FREQUENT), "frequent")
 
 
-def _advance(relation: DataFrame, frequent: DataFrame, paired: bool, parts: int) -> DataFrame:
-    names = frequent.select("key", "id", F.lit(None).cast("binary").alias("data"))
+def _advance(relation: DataFrame, names: DataFrame, buckets: int, parts: int) -> DataFrame:
+    """The relation of the ``names`` (key, id, data) of words, or of pairs in so many ``buckets``."""
     met = names.union(relation.select("key", F.lit(None).cast("long").alias("id"), "data")).withColumn("block", F.shiftright("key", CODE_BITS))
-    met = met.repartition(parts, "block").sortWithinPartitions("block", F.col("data").isNotNull()).select("key", "id", "data")
-    return keep(met.mapInArrow(lambda it: _kept(it, paired), "key long, data binary"), "relation")
+    met = met.repartition(parts, "block").sortWithinPartitions("block", F.col("id").isNull()).select("key", "id", "data")
+    return keep(met.mapInArrow(lambda it: _kept(it, buckets), "key long, data binary"), "relation")
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -249,12 +270,14 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     frequent = _frequent(counted.select("key", "lang", "word", "n"), ["lang", "word"], least)
     named = frequent.filter("key = id").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f")
     found = [named.withColumn("k", F.lit(1))]
+    names, packed = frequent.select("key", "id", F.lit(None).cast("binary").alias("data")), 0
     for k in range(2, longest + 1):
-        relation = _advance(relation, frequent, k > 2, parts)
-        frequent = _frequent_pairs(relation, least, buckets)
+        relation = _advance(relation, names, packed, parts)
+        frequent = _frequent_pairs(relation, least, buckets, k == longest)
+        names, packed = frequent.filter("key is not null").select("key", F.col("bucket").alias("id"), "data"), buckets
         a, b = (named.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("lang", "phrase", "last"))) for side in ("left", "right"))
         named = keep(
-            frequent.filter("key = id").select("id", "left", "right", "f").join(a, "left").join(b, "right").select(
+            frequent.filter("key is null").select("id", "left", "right", "f").join(a, "left").join(b, "right").select(
                 "id", F.col("lang_left").alias("lang"), F.concat_ws(" ", "phrase_left", "last_right").alias("phrase"), F.col("last_right").alias("last"), "f"
             ), "phrases",
         )
