@@ -172,6 +172,28 @@ def test_cells_find_neighbours(spark):
     assert train_cells(none, 4) is None and nearest_by_cells(asked.filter("anchor_id < 5"), none, 4).count() == 10
 
 
+def test_block_search_of_cells_is_exact_and_sends_each_candidate_once_a_block(spark, monkeypatch):
+    from veritrace.operators import inverted
+
+    monkeypatch.setattr(inverted, "LEAST_ROWS", 40)
+    monkeypatch.setattr(inverted, "CHUNK_ROWS", 64)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 8)).astype(np.float32).tolist()
+    rows = [(f"c{i:03d}", v) for i, v in enumerate(vectors + vectors[:60] + vectors[:9] * 6)] + [("x", None), ("y", [0.0] * 8)]
+    pool = spark.createDataFrame(rows, "candidate_id string, embedding array<float>")
+    asked = pool.withColumnRenamed("candidate_id", "anchor_id")
+    # All vectors are in cell 1 and in one or two of the others.
+    shared = lambda v: np.stack([np.ones(len(v), dtype=int), 2 + (v[:, 0] > 0), 4 + (v[:, 1] > 0.3)], axis=1)
+    got = {(r.anchor_id, r["rank"]): (r.candidate_id, r.distance) for r in inverted.nearest_in_cells(asked, pool, 5, shared, shared).collect()}
+    want = {(r.anchor_id, r["rank"]): (r.candidate_id, r.distance) for r in nearest.nearest(asked, pool, 5).collect() if r.anchor_id not in "xy"}
+    assert got == want
+    few = nearest.distinct_candidates(pool.filter("candidate_id < 'x'"), 5, [], False).drop("vkey")
+    wanted = spark.createDataFrame([(b, c) for b in range(7) for c in (1, 2, 3, 4, 5)], "block int, cell int")
+    assert inverted._sent(few, wanted, 7, shared).count() == 7 * few.count()
+    half = spark.createDataFrame([(b, 2 + b % 2) for b in range(6)], "block int, cell int")
+    assert inverted._sent(few, half, 6, lambda v: shared(v)[:, 1:2]).count() == 3 * few.count()
+
+
 def grams(name):
     out = set()
     for word in re.findall(r"[^\W_]+", (name or "").lower()):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -94,17 +93,12 @@ def embed_with(load_model: Callable[[], Model]) -> Callable[[Column], Column]:
     return run.asNondeterministic()
 
 
-def hyperplane_buckets(vector: Column, planes: list[list[float]], bits: int) -> Column:
-    """Sign patterns of the vector against fixed hyperplanes: one integer per
-    run of ``bits`` planes, as an array."""
-    # As JSON the planes are one literal, folded when the query is planned.
-    table = F.from_json(F.lit(json.dumps(planes)), "array<array<double>>")
-    sides = F.transform(table, lambda p: F.when(dot(vector, p) >= 0, 1).otherwise(0))
-    starts = F.lit(list(range(1, len(planes) + 1, bits)))
-    return F.transform(
-        starts, lambda s: F.aggregate(F.slice(sides, s, F.lit(bits)), F.lit(0), lambda acc, bit: acc * 2 + bit)
-    )
+def hyperplane_buckets(vectors: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
+    """Sign patterns of vectors, one per row, against fixed hyperplanes: one integer per
+    run of ``bits`` planes."""
+    sides = (vectors @ planes.T >= 0).reshape(len(vectors), -1, bits)
+    return sides @ (1 << np.arange(bits - 1, -1, -1))
 
 
-def random_planes(count: int, dim: int, seed: int = 7) -> list[list[float]]:
-    return np.random.default_rng(seed).standard_normal((count, dim)).tolist()
+def random_planes(count: int, dim: int, seed: int = 7) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((count, dim))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from veritrace.operators.nearest import distance_order, nearest
-from veritrace.session import materialize
+from veritrace.operators.inverted import CellsOf, nearest_in_cells, served_or_exact, unit
+from veritrace.operators.nearest import nearest
 
 #: Rows the cells are fitted on, in hash order; every row is indexed.
 SAMPLE = 16_384
@@ -28,11 +27,6 @@ class Cells:
     probes: int
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
-
-
 def train_cells(rows: DataFrame, k: int, recall: float = RECALL, sample: int = SAMPLE, most: int = CELLS, seed: int = 7) -> Cells | None:
     """Cells for the vectors in ``rows.embedding``, about the root of their
     number, by spherical k-means on a sample. The number of probes is the least
@@ -44,14 +38,14 @@ def train_cells(rows: DataFrame, k: int, recall: float = RECALL, sample: int = S
     taken = real.orderBy(F.xxhash64("embedding"), "embedding").limit(sample).toPandas()["embedding"]
     if n == 0:
         return None
-    data = _unit(np.stack(taken.to_numpy()).astype(np.float64))
+    data = unit(np.stack(taken.to_numpy()).astype(np.float64))
     rng = np.random.default_rng(seed)
     centres = data[np.sort(rng.permutation(len(data))[: min(int(np.ceil(np.sqrt(n))), most, len(data))])]
     for _ in range(_ROUNDS):
         own = (data @ centres.T).argmax(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, data)
-        centres = np.where(np.bincount(own, minlength=len(centres))[:, None] > 0, _unit(sums), centres)
+        centres = np.where(np.bincount(own, minlength=len(centres))[:, None] > 0, unit(sums), centres)
     own = (data @ centres.T).argmax(axis=1)
     asked = data[rng.permutation(len(data))[:_ASKED]]
     best = np.argsort(-(asked @ data.T), axis=1, kind="stable")[:, :k]
@@ -61,18 +55,14 @@ def train_cells(rows: DataFrame, k: int, recall: float = RECALL, sample: int = S
     return Cells(centres, int(turns[int(np.ceil(recall * len(turns))) - 1]) + 1)
 
 
-def _nearest_cells(centres: np.ndarray, probes: int):
-    """The numbers of the ``probes`` nearest cells of a vector, none for a zero or missing one."""
+def _nearest_cells(centres: np.ndarray, probes: int) -> CellsOf:
+    """The numbers of the ``probes`` nearest cells of each vector, in any order."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def cells(vectors: pd.Series) -> pd.Series:
-        out = pd.Series([[]] * len(vectors), index=vectors.index, dtype=object)
-        real = [i for i, v in enumerate(vectors) if v is not None and np.any(v)]
-        if real:
-            near = _unit(np.stack([vectors.iloc[i] for i in real]).astype(np.float64)) @ centres.T
-            for i, order in zip(real, np.argsort(-near, axis=1, kind="stable")[:, :probes]):
-                out.iloc[i] = order.tolist()
-        return out
+    def cells(vectors: np.ndarray) -> np.ndarray:
+        like = vectors @ centres.T
+        if probes == 1:
+            return like.argmax(axis=1)[:, None]
+        return np.argpartition(-like, probes - 1, axis=1)[:, :probes]
 
     return cells
 
@@ -91,15 +81,5 @@ def nearest_by_cells(anchors: DataFrame, candidates: DataFrame, k: int, cells: C
     if cells is None:
         return nearest(anchors, candidates, k)
 
-    def spread(df: DataFrame, probes: int) -> DataFrame:
-        return df.withColumn("cell", F.explode(_nearest_cells(cells.centres, probes)("embedding")))
-
-    found = nearest(spread(anchors, cells.probes), spread(candidates, 1), k, group=["cell"])
-    window = Window.partitionBy("anchor_id").orderBy(*distance_order(), "candidate_id")
-    # Used twice, and dear.
-    close = materialize(
-        found.select("anchor_id", "candidate_id", "distance").withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k), "cells"
-    )
-    served = close.filter(F.col("rank") == k).select("anchor_id")
-    rest = nearest(anchors.join(served, "anchor_id", "left_anti"), candidates, k)
-    return close.join(served, "anchor_id", "left_semi").unionByName(rest.select("anchor_id", "candidate_id", "distance", "rank"))
+    found = nearest_in_cells(anchors, candidates, k, _nearest_cells(cells.centres, cells.probes), _nearest_cells(cells.centres, 1))
+    return served_or_exact(found, anchors, candidates, k)
