@@ -194,6 +194,18 @@ def test_block_search_of_cells_is_exact_and_sends_each_candidate_once_a_block(sp
     assert inverted._sent(few, half, 6, lambda v: shared(v)[:, 1:2]).count() == 3 * few.count()
 
 
+def test_rows_once_by_one_sort(spark, capsys):
+    from veritrace.operators import graph
+
+    rows = [(i % 7 if i % 5 else None, f"e{i % 11}", i % 2 or None) for i in range(300)]
+    df = spark.createDataFrame(rows, "fact_id int, evidence_id string, page int")
+    once = graph.once(df, "fact_id")
+    assert sorted(map(repr, map(tuple, once.collect()))) == sorted(map(repr, set(rows))) and once.columns == df.columns
+    graph.once(df.repartition("fact_id"), "fact_id").repartition("fact_id").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Sort [") == 1 and "HashAggregate" not in plan
+
+
 def grams(name):
     out = set()
     for word in re.findall(r"[^\W_]+", (name or "").lower()):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veritrace.functions.labels import RELATIONSHIP_TYPES
 from veritrace.session import materialize
@@ -82,6 +82,13 @@ def edge_rows(
     return reduce(DataFrame.unionByName, parts)
 
 
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """Distinct rows in the order of ``key``. One sort, which also serves a join by the key; as a grouping
+    without values it would hold all rows of a task in two hash tables before that sort."""
+    same = Window.partitionBy(key, *(c for c in rows.columns if c != key)).orderBy(key)
+    return rows.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") == 1).drop("_n")
+
+
 def provenance_trace(facts: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
     """Claim, the quotes that support it, and the documents they stand in."""
     return (

@@ -270,7 +270,7 @@ def graph_edges(t):
     JOIN (SELECT DISTINCT * FROM fx_evidence) e ON e.fact_id = f.fact_id
     JOIN fx_documents d ON d.document_id = e.document_id""")
 def provenance_trace(t):
-    return graph.provenance_trace(t("fx_facts"), t("fx_evidence").distinct(), t("fx_documents"))
+    return graph.provenance_trace(t("fx_facts"), graph.once(t("fx_evidence"), "fact_id"), t("fx_documents"))
 
 
 # Everything within two steps of one entity, edges taken in both directions.
