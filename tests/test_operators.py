@@ -206,6 +206,26 @@ def test_rows_once_by_one_sort(spark, capsys):
     assert plan.count("Sort [") == 1 and "HashAggregate" not in plan
 
 
+def test_chunks_read_their_pages_twice_at_most(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        seen.add(1)
+        return "\n\n".join(f"unit {j} " + "word " * (j % 7) for j in range(i % 9)) + "\n \n"
+
+    ids = spark.range(40).select((F.col("id") % 5).alias("document_id"), F.floor(F.col("id") / 5).alias("page_number"), "id")
+    pages = ids.withColumn("text", text.asNondeterministic()("id"))
+    chunks = chunking.build_chunks(pages, budget=20, block=8).collect()
+    assert seen.value <= 2 * 40
+    plain = spark.createDataFrame(pages.collect(), pages.schema)
+    want = chunking.build_chunks(plain, budget=20).collect()
+    assert sorted(map(repr, chunks)) == sorted(map(repr, want)) and len(want) > 20
+    for c in chunks:
+        assert c.unit_pages[0]["at"] == 0 and c.unit_pages[0].page_number == c.page_start and c.unit_pages[-1].page_number == c.page_end
+        assert c.token_count == max(1, round(len(c.text.split()) * 1.3))
+
+
 def grams(name):
     out = set()
     for word in re.findall(r"[^\W_]+", (name or "").lower()):

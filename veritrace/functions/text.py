@@ -26,7 +26,11 @@ def word_count(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """At least 1; halves round to even."""
-    words = word_count(F.coalesce(text, F.lit("")))
+    return tokens_of(word_count(F.coalesce(text, F.lit(""))))
+
+
+def tokens_of(words: Column) -> Column:
+    """The estimate for a text of so many words."""
     return F.greatest(F.lit(1), F.bround(words * F.lit(TOKENS_PER_WORD)).cast("int"))
 
 

@@ -14,10 +14,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from veritrace.functions import text as tx
 from veritrace.operators.ingest import running_totals
+from veritrace.session import materialize
 
 # Units of a document that one task takes at once, with their texts.
 BLOCK_UNITS = 32_768
@@ -25,33 +26,39 @@ BLOCK_UNITS = 32_768
 
 def paragraph_units(pages: DataFrame, sep: str = tx.PARAGRAPH_SEP) -> DataFrame:
     """Units of every document, its non-blank paragraphs: (document_id, unit_no,
-    page_number, text, char_start, char_end, tokens). Offsets are in the page
+    page_number, text, char_start, char_end, words, tokens). Offsets are in the page
     texts joined by a blank line; units are numbered from 0 in page order."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    parts = F.split(body, sep, -1)
-    sized = pages.select(
+    solid = lambda parts: F.transform(parts, lambda p: ~tx.is_blank(p))
+    # Stored, as both halves of the totals read it.
+    sized = materialize(pages.select(
         "document_id", "page_number", F.length(body).alias("n_chars"),
-        F.size(F.filter(parts, lambda p: ~tx.is_blank(p))).alias("n_units"),
-    )
+        F.size(F.filter(solid(F.split(body, sep, -1)), lambda yes: yes)).alias("n_units"),
+    ), "pages")
     placed = running_totals(
         sized, "document_id", "page_number", {"char_base": F.col("n_chars") + 2, "unit_base": F.col("n_units")}
     ).select("document_id", "page_number", "char_base", "unit_base")
-    zipped = F.arrays_zip(parts.alias("text"), F.regexp_extract_all(body, F.lit(sep), 0).alias("sep"))
-    cut = pages.select("document_id", "page_number", F.posexplode(zipped).alias("at", "part"))
-    before = Window.partitionBy("document_id", "page_number").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    wide = F.length("part.text") + F.coalesce(F.length("part.sep"), F.lit(0))
-    solid = ~tx.is_blank(F.col("part.text"))
-    units = cut.select(
-        "document_id", "page_number", F.col("part.text").alias("text"), solid.alias("solid"),
-        F.coalesce(F.sum(wide).over(before), F.lit(0)).alias("start"),
-        F.coalesce(F.sum(solid.cast("int")).over(before), F.lit(0)).alias("nth"),
-    ).filter("solid")
-    return units.join(placed, ["document_id", "page_number"]).select(
+    # Within a page, its one row gives the places; the texts stay where they are.
+    cut = pages.join(placed, ["document_id", "page_number"]).select(
+        "document_id", "page_number", "char_base", "unit_base", F.split(body, sep, -1).alias("parts"),
+        F.regexp_extract_all(body, F.lit(sep), 0).alias("seps"),
+    )
+    wide = F.zip_with("parts", "seps", lambda p, s: F.length(p) + F.coalesce(F.length(s), F.lit(0)))
+    ready = cut.withColumn("solid", solid(F.col("parts"))).withColumns({"start": _sum_before(wide), "nth": _sum_before(F.transform("solid", lambda y: y.cast("int")))})
+    rows = F.filter(F.arrays_zip(F.col("parts").alias("text"), "solid", "start", "nth"), lambda u: u["solid"])
+    units = ready.select("document_id", "page_number", "char_base", "unit_base", F.inline(rows))
+    return units.select(
         "document_id", (F.col("unit_base") + F.col("nth")).alias("unit_no"), "page_number", "text",
         (F.col("char_base") + F.col("start")).alias("char_start"),
         (F.col("char_base") + F.col("start") + F.length("text")).alias("char_end"),
-        tx.token_estimate(F.col("text")).alias("tokens"),
-    )
+        tx.word_count(F.col("text")).alias("words"),
+    ).withColumn("tokens", tx.tokens_of(F.col("words")))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _sum_before(values: pd.Series) -> pd.Series:
+    """For each place of a list the sum of the numbers before it."""
+    return pd.Series([np.cumsum(v, dtype=np.int64) - v for v in values], dtype=object)
 
 
 def _next_starts(tokens: np.ndarray, ends: np.ndarray, budget: int) -> np.ndarray:
@@ -165,25 +172,30 @@ def _chunks(rows: pa.RecordBatch, begins: np.ndarray, budget: int, block: int) -
         "first_unit": pa.array(places[first] - 1), "last_unit": pa.array(places[closed] - 1),
     }
     if "text" in rows.schema.names:
-        texts, pages = rows["text"].to_pylist(), rows["page_number"].to_numpy(zero_copy_only=False)
-        text, starts = [], []
-        for a, b in zip(first.tolist(), (closed + 1).tolist()):
-            own = texts[a:b]
-            text.append("\n\n".join(own))
-            turns = [i for i in range(b - a) if not i or pages[a + i] != pages[a + i - 1]]
-            starts.append([{"at": sum(map(len, own[:i])) + 2 * i, "page_number": int(pages[a + i])} for i in turns])
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("page_number", pa.int32())]))
+        sizes = closed + 1 - first
+        ends = np.cumsum(sizes)
+        chunk = np.repeat(np.arange(len(first)), sizes)
+        place = np.arange(len(chunk)) - np.repeat(ends - sizes, sizes) + first[chunk]
+        texts = rows["text"].take(pa.array(place))
+        pages = pc.fill_null(rows["page_number"], 0).to_numpy()
+        lengths, words = (np.concatenate([[0], np.cumsum(pc.fill_null(c, 0).to_numpy().astype(np.int64))]) for c in (pc.utf8_length(rows["text"]), rows["words"]))
+        # The first unit of a chunk, and each that begins a page in it.
+        turns = np.flatnonzero((place == first[chunk]) | (pages[place] != pages[place - 1]))
+        at = lengths[place[turns]] - lengths[first[chunk[turns]]] + 2 * (place[turns] - first[chunk[turns]])
+        starts = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(pages[place[turns]].astype(np.int32))], ["at", "page_number"])
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
         out |= {
             "page_start": rows["page_number"].take(pa.array(first)), "page_end": rows["page_number"].take(pa.array(closed)),
-            "text": pa.array(text, pa.string()), "char_start": rows["char_start"].take(pa.array(first)),
-            "char_end": rows["char_end"].take(pa.array(closed)), "unit_pages": pa.array(starts, kind),
+            "text": pc.binary_join(lists(ends, texts), "\n\n"), "char_start": rows["char_start"].take(pa.array(first)),
+            "char_end": rows["char_end"].take(pa.array(closed)), "unit_pages": lists(np.searchsorted(turns, ends), starts),
+            "words": pa.array((words[closed + 1] - words[first]).astype(np.int32)),
         }
     return pa.RecordBatch.from_pydict(out)
 
 
 def _packed(units: DataFrame, budget: int, block: int) -> DataFrame:
     """Chunks of units (document_id, unit_no, tokens, and maybe page_number,
-    text, char_start, char_end), by a segmented scan.
+    text, char_start, char_end, words), by a segmented scan.
 
     Units are dealt by document and block and sorted; a task walks through its
     documents one after the other, so a document costs no call of its own. Only
@@ -198,7 +210,9 @@ def _packed(units: DataFrame, budget: int, block: int) -> DataFrame:
     each document, so that the first chunk follows the same rule as the others.
     """
     halo = budget + 4
-    more = [c for c in ("page_number", "text", "char_start", "char_end") if c in units.columns]
+    # Dear, and read by each of the steps below.
+    units = materialize(units, "units")
+    more = [c for c in ("page_number", "text", "char_start", "char_end", "words") if c in units.columns]
     kinds = dict(units.dtypes)
     row = lambda at, tokens, value: F.struct(
         at.cast("long").alias("at"), tokens.cast("int").alias("tokens"), F.lit(0).cast("long").alias("number"), *(value(c).alias(c) for c in more)
@@ -228,7 +242,7 @@ def _packed(units: DataFrame, budget: int, block: int) -> DataFrame:
     columns = f"document_id {kinds['document_id']}, chunk_no int, first_unit long, last_unit long"
     if more:
         columns += (
-            ", page_start int, page_end int, text string, char_start long, char_end long, unit_pages array<struct<at:int,page_number:int>>"
+            ", page_start int, page_end int, text string, char_start long, char_end long, unit_pages array<struct<at:int,page_number:int>>, words int"
         )
     return met.mapInArrow(lambda it: _walk(it, budget, block), columns)
 
@@ -251,7 +265,8 @@ def build_chunks(
     ``unit_pages`` tells where in the text each page begins.
     """
     units = paragraph_units(pages.select("document_id", F.col("page_number").cast("int").alias("page_number"), "text"), sep)
-    return _packed(units, budget, block).withColumn("token_count", tx.token_estimate(F.col("text")))
+    # Units are joined by whitespace, so their words add up.
+    return _packed(units, budget, block).withColumn("token_count", tx.tokens_of(F.col("words"))).drop("words")
 
 
 def attach_embeddings(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
