@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veritrace.functions import labels, values
-from veritrace.operators.nearest import nearest_in_groups
+from veritrace.operators.nearest import nearest_in_groups, nearest_within
 from veritrace.operators.views import first_evidence
 from veritrace.session import materialize
 
@@ -24,16 +24,15 @@ def related_facts(facts: DataFrame, anchors: DataFrame | None = None, k: int = R
     ``anchors`` defaults to all facts; their own status does not matter. Facts
     without a predicate take no part.
     """
-    source = facts if anchors is None else anchors
-    asked = source.filter(F.col("predicate_id").isNotNull()).select(
-        F.col("fact_id").alias("anchor_id"), "predicate_id", F.col("document_id").alias("owner"), "embedding"
-    )
-    pool = facts.filter((F.col("status") == "active") & F.col("predicate_id").isNotNull()).select(
-        F.col("fact_id").alias("candidate_id"), "predicate_id", F.col("document_id").alias("owner"), "embedding"
-    )
-    if anchors is not None:
-        # A few arriving anchors touch only the facts of their predicates.
-        pool = pool.join(asked.select("predicate_id").distinct(), "predicate_id", "left_semi")
+    active, columns = F.col("status") == "active", ["predicate_id", F.col("document_id").alias("owner"), "embedding"]
+    facts = facts.filter(F.col("predicate_id").isNotNull())
+    if anchors is None:
+        # Read once for both sides.
+        offers = F.coalesce(active, F.lit(False)).alias("offers")
+        return _pairs(nearest_within(facts.select(F.col("fact_id").alias("id"), *columns, F.lit(True).alias("asks"), offers), k, ["predicate_id"]))
+    asked = anchors.filter(F.col("predicate_id").isNotNull()).select(F.col("fact_id").alias("anchor_id"), *columns)
+    # A few arriving anchors touch only the facts of their predicates.
+    pool = facts.filter(active).select(F.col("fact_id").alias("candidate_id"), *columns).join(asked.select("predicate_id").distinct(), "predicate_id", "left_semi")
     return _pairs(nearest_in_groups(asked, pool, k, group=["predicate_id"]))
 
 
@@ -184,8 +183,8 @@ def reason(
     stored: DataFrame, anchors: DataFrame | None = None, classify=classify_pairs,
 ) -> DataFrame:
     """New relationships of the anchors (default: every active fact)."""
-    anchors = facts.filter(F.col("status") == "active") if anchors is None else anchors
-    pairs = candidate_pairs(facts, stored, anchors)
+    # Only active facts are found, so without others they are the anchors, too.
+    pairs = candidate_pairs(facts.filter(F.col("status") == "active") if anchors is None else facts, stored, anchors)
     return insert_relationships(
         classify(reasoning_context(pairs, facts, evidence, documents, entities, predicates)), stored
     )
