@@ -49,3 +49,11 @@ def test_views_do_not_read_vectors(spark):
 def test_filters_reach_the_scan(spark):
     pending = load(spark, SF_DIR, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
     assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,F)]" in plan(pending)
+
+
+def test_both_ends_of_pairs_read_one_table(spark):
+    """Quotes, values and periods of the facts are found once, not once for each end."""
+    t = lambda n: load(spark, SF_DIR, n)
+    pairs = t("fx_relationships").select("fact_a_id", "fact_b_id")
+    df = reasoning.reasoning_context(pairs, t("fx_facts"), t("fx_evidence"), t("fx_documents"), t("fx_entities"), t("fx_predicates"))
+    assert any("/sides-" in f for f in df.inputFiles()) and not any("lineitem" in f for f in df.inputFiles())

@@ -97,6 +97,8 @@ def reasoning_context(
             values.normalize_period(F.col("time_value")).alias("period"),
         )
     )
+    # Both ends of the pairs read it.
+    side = materialize(side, "sides")
 
     def named(letter: str) -> DataFrame:
         return side.select(
