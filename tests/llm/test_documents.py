@@ -78,6 +78,43 @@ def test_jaccard_chains(spark, seed):
     assert order((r.doc_id, r.n_shingles, r.component_id) for r in got) == order(edge.jaccard(rows))
 
 
+def test_jaccard_with_a_full_sketch(spark):
+    """A sketch that takes all n-grams for common: only those in several prefixes are posted, and only texts of pairs that may link are read again."""
+    from unittest import mock
+
+    rng = np.random.default_rng(12)
+    line = " ".join(f"line{j}" for j in range(8))
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 100_000, 60)) + " " + line) for i in range(150)]
+    rows += [(500 + i, " ".join(f"v{x}" for x in rng.integers(0, 100_000, 80))) for i in range(50)]
+    rows += [(200 + i, rows[i][1] + f" more{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    read, posted, verified, postings = [], [], jaccard.verified, jaccard.shared_postings
+
+    def seen(pairs, entries, percent):
+        read.append(entries.count())
+        return verified(pairs, entries, percent)
+
+    def told(entries):
+        found = postings(entries)
+        posted.append({r.token for r in found.groupBy("token").count().filter("count = 1").collect()})
+        return found
+
+    with mock.patch.object(jaccard, "verified", seen), mock.patch.object(jaccard, "shared_postings", told):
+        got = jaccard.jaccard_components(df, bits=3).collect()
+    assert order((r.doc_id, r.n_shingles, r.component_id) for r in got) == order(edge.jaccard(rows))
+    assert posted == [set()] and read[0] == 10 and sum(read) <= 20
+
+
+def test_signatures_bound_the_difference():
+    """Never more than the n-grams in one set only, whatever the sizes; and all of them if there are few."""
+    rng = np.random.default_rng(13)
+    for n, m, shared in ((1, 1, 0), (50, 70, 40), (300, 200, 200), (5000, 700, 650), (100, 100, 100)):
+        grams = np.unique(rng.integers(0, 1 << 63, n + m - shared, dtype=np.uint64))
+        a, b = grams[:n], grams[n - shared :]
+        told = jaccard.least_difference(jaccard.signature(a), jaccard.signature(b))
+        assert told <= n + m - 2 * shared and (told > 0 or n == m == shared)
+
+
 def test_jaccard_deals_a_common_gram(spark):
     """An n-gram with one large component and stragglers: no task's group holds
     it, the component does not meet itself, and no pair of two components is lost."""

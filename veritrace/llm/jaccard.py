@@ -17,9 +17,14 @@ about m comparisons; a row that it leaves apart is compared with all that pass t
 bounds. An n-gram's rows are dealt to blocks of near size, and to pairs of blocks of
 different components, so no task holds an n-gram.
 
-Comparison. The order is cut into fragments, those of its rarer n-grams first. A pair's overlap is
+Comparison. A row's signature has a bit for the parity of its n-grams in each of about as many cells as it has n-grams.
+Two sets differ by as many n-grams at least as their signatures by bits, which rules out most pairs that do not link.
+For the rows of the others the n-grams are taken from the texts again. The order is cut into fragments, those of its rarer n-grams first. A pair's overlap is
 counted in each fragment on its own and summed per pair. N-grams seen once are in no
 fragment, as no other set has them. The prefixes choose which pairs are compared.
+
+Size. A full sketch takes all n-grams for repeated. What is sent and stored is the prefixes, of which those in one prefix only
+are dropped at once by an exact count, and the n-grams of rows in pairs; never the n-grams of all rows.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from veritrace.llm import sketch, words
 from veritrace.llm.base import id_or_null, identified, keep, partitions, table
@@ -41,7 +46,10 @@ FRAGMENTS = 8
 #: Rows of one n-gram that the second round holds at once, about.
 BLOCK = 2048
 SET = "_id long, _h long, n int, k1 long, k2 long"
-ENTRY = "_id long, _h long, n int, single int, prefix array<long>, grams array<binary>"
+ENTRY = "_id long, _h long, n int, single int, rare int, prefix array<long>, sign binary"
+GRAMS = "_id long, _h long, n int, grams array<binary>"
+#: Cells of the bits that tell which texts to read again, as a power of two; texts that share a cell are read, too, and left out by a join.
+CELL_BITS = 26
 
 
 def gram_sets(column: pa.Array, k: int, hasher: words.Hasher) -> Iterator[tuple[int, np.ndarray]]:
@@ -91,15 +99,32 @@ def _gram_batches(k: int):
     return hashes
 
 
+def signature(grams: np.ndarray) -> bytes:
+    """The parity of the number of n-grams in each cell; as many cells as n-grams or up to twice that, 64 at least."""
+    cells = max(64, 1 << (len(grams) - 1).bit_length())
+    counts = np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """N-grams at least that are in one of two sets of these signatures only."""
+    x, y = (np.frombuffer(s, dtype=np.uint8) for s in (a, b))
+    # The larger one is folded to the cells of the smaller.
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int, seen) -> Iterator[pa.RecordBatch]:
-    """Sets that may have a partner, with their prefix and their fragments."""
+    """Sets that may have a partner, with their prefix and their signature. The first ``rare`` of a
+    prefix are in less sets than the last count of the sketch."""
     hasher = words.Hasher(21, lower=True)
-    # Each level of the order that can be shared is cut into as many fragments.
-    each = FRAGMENTS // len(OFTEN)
-    cuts = np.arange(1, each, dtype=np.uint64) * np.uint64((1 << 64) // each)
+    types = {"n": pa.int32(), "single": pa.int32(), "rare": pa.int32(), "prefix": pa.list_(pa.int64()), "sign": pa.binary()}
     for batch in batches:
         ids, text_h = batch["_id"].to_numpy(), batch["_h"].to_numpy()
-        out = {c: [] for c in ("_id", "_h", "n", "single", "prefix", "grams")}
+        out = {c: [] for c in ("_id", "_h", "n", "single", "rare", "prefix", "sign")}
         for row, grams in gram_sets(batch["text"], k, hasher):
             level, n = seen.value.level(grams), len(grams)
             need = n - (-(-percent * n // 100)) + 1
@@ -107,11 +132,31 @@ def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int, seen) -> I
             if single >= need:
                 continue
             order = np.lexsort((grams, level))[single:need]
+            rare = int((level[order] < len(OFTEN)).sum())
+            for c, v in zip(out, (ids[row], text_h[row], n, single, rare, grams[order].view(np.int64), signature(grams))):
+                out[c].append(v)
+        if out["_id"]:
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()})
+
+
+def _fragments(batches: Iterator[pa.RecordBatch], k: int, seen, wanted) -> Iterator[pa.RecordBatch]:
+    """The n-grams of the texts whose cell is wanted, in fragments."""
+    hasher = words.Hasher(21, lower=True)
+    # Each level of the order that can be shared is cut into as many fragments.
+    each = FRAGMENTS // len(OFTEN)
+    cuts = np.arange(1, each, dtype=np.uint64) * np.uint64((1 << 64) // each)
+    types = {"n": pa.int32(), "grams": pa.list_(pa.binary())}
+    for batch in batches:
+        cell = batch["cell"].to_numpy()
+        batch = batch.filter(pa.array((wanted.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1))
+        ids, text_h = batch["_id"].to_numpy(), batch["_h"].to_numpy()
+        out = {c: [] for c in ("_id", "_h", "n", "grams")}
+        for row, grams in gram_sets(batch["text"], k, hasher):
+            level = seen.value.level(grams)
             parts = [p for at in range(1, len(OFTEN) + 1) for own in (grams[level == at],) for p in np.split(own, np.searchsorted(own, cuts))]
-            for c, v in zip(out, (ids[row], text_h[row], n, single, grams[order].view(np.int64), [p.tobytes() for p in parts])):
+            for c, v in zip(out, (ids[row], text_h[row], len(grams), [p.tobytes() for p in parts])):
                 out[c].append(v)
         if out["_id"]:
-            types = {"n": pa.int32(), "single": pa.int32(), "prefix": pa.list_(pa.int64()), "grams": pa.list_(pa.binary())}
             yield pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, pa.int64())) for c, v in out.items()})
 
 
@@ -124,6 +169,36 @@ def _possible(a: str, b: str, percent: int):
     return most * (100 + percent) >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _hopeful(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = batch["sizes"].to_numpy()
+        apart = np.array([least_difference(x, y) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())], dtype=np.int64)
+        keep_ = (sizes - apart) // 2 * (100 + percent) >= sizes * percent
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep_))
+
+
+def hopeful(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures leave room for enough overlap."""
+    signs = entries.select("r", F.col("n").cast("long").alias("n"), "sign")
+    sides = pairs.join(signs.select(F.col("r").alias("a"), F.col("n").alias("na"), F.col("sign").alias("x")), "a").join(
+        signs.select(F.col("r").alias("b"), F.col("n").alias("nb"), F.col("sign").alias("y")), "b"
+    )
+    return sides.select("a", "b", (F.col("na") + F.col("nb")).alias("sizes"), "x", "y").mapInArrow(lambda it: _hopeful(it, percent), "a long, b long")
+
+
+def _cells(cells: DataFrame, bits: int = CELL_BITS) -> np.ndarray:
+    """A bit for each cell that occurs, eight to a byte."""
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    # Spark's bitmaps count from 1.
+    place = F.col("cell") + 1
+    told = cells.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    for row in told.collect():
+        piece = np.frombuffer(row["bits"], dtype=np.uint8)[: len(out)]
+        at = (row["at"] - 1) * len(piece)
+        out[at : at + len(piece)] = piece
+    return out
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shared = [
@@ -229,6 +304,18 @@ def crossing(labelled: DataFrame, percent: int, block: int = BLOCK) -> DataFrame
     return far.mapInArrow(lambda it: _crossing(it, percent), "a long, b long").distinct()
 
 
+def shared_postings(entries: DataFrame) -> DataFrame:
+    """(r, n, most, token) of the n-grams that are in several prefixes. Those that the sketch does not take for common
+    are in less sets than its last count, so their rows may meet; the others are counted before they meet."""
+    each = entries.select("r", "rare", (F.col("n") - F.col("single")).alias("left"), F.posexplode("prefix").alias("i", "token"))
+    each = each.select("r", (F.col("left") - F.col("i")).alias("most"), "token", (F.col("i") < F.col("rare")).alias("rare"))
+    alike = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    several = each.filter("rare").select("r", "most", "token").withColumn("df", alike).filter("df > 1").select("r", "most", "token")
+    common = each.filter("not rare").select("r", "most", "token")
+    found = several.unionByName(common.join(common.groupBy("token").count().filter("count > 1"), "token", "left_semi"))
+    return found.join(entries.select("r", "n"), "r").select("r", "n", "most", "token")
+
+
 def jaccard_components(docs: DataFrame, k: int = GRAM, percent: int = PERCENT, bits: int = SKETCH_BITS, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, ``_h``, and ``_c``,
     the least row of the component.
@@ -249,14 +336,20 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, percent: int = PERCENT, b
     reps = classes.select("rep._id", "rep._h")
     # A class is named by the place of its representative, so that ids may repeat.
     entries = keep(open_sets.dropDuplicates(["_id", "_h"]).join(reps, ["_id", "_h"]).withColumn("r", F.monotonically_increasing_id()), "entries")
-    # Executors keep a broadcast on their disks; it is not needed any more.
-    seen.destroy()
     names = entries.select("r", "_id", "_h")
-    postings = keep(
-        entries.select("r", "n", "single", F.posexplode("prefix").alias("i", "token")).select(
-            "r", "n", (F.col("n") - F.col("single") - F.col("i")).alias("most"), "token"
-        ), "postings"
-    )
+    postings = keep(shared_postings(entries), "postings")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by the n-grams of the texts of those that may."""
+        likely = keep(hopeful(pairs, entries, percent), "pairs")
+        asked = names.join(likely.select(F.explode(F.array("a", "b")).alias("r")).distinct(), "r", "left_semi")
+        cell = F.pmod(F.xxhash64("_id", "_h"), F.lit(1 << CELL_BITS)).alias("cell")
+        wanted = spark.sparkContext.broadcast(_cells(asked.select(cell)))
+        again = rows.select("*", cell).mapInArrow(lambda it: _fragments(it, k, seen, wanted), GRAMS)
+        cut = keep(again.dropDuplicates(["_id", "_h"]).join(asked, ["_id", "_h"]).select("r", "n", "grams"), "grams")
+        wanted.destroy()
+        return verified(likely, cut, percent)
+
     # First round: every row against the least altered row of its n-gram.
     best = postings.groupBy("token").agg(
         F.count(F.lit(1)).alias("df"), F.max(F.struct((F.col("most") / F.col("n")).alias("u"), "r", "n", "most")).alias("p")
@@ -264,13 +357,15 @@ def jaccard_components(docs: DataFrame, k: int = GRAM, percent: int = PERCENT, b
     star = postings.select("token", F.struct("r", "n", "most").alias("q")).join(best, "token").filter("q.r != p.r")
     sizes = F.least("q.n", "p.n") * 100 >= F.greatest("q.n", "p.n") * percent
     star = star.filter(sizes & _possible("q", "p", percent)).select(F.least("q.r", "p.r").alias("a"), F.greatest("q.r", "p.r").alias("b"))
-    near = keep(verified(star.distinct(), entries, percent), "links")
+    near = keep(linked(star.distinct()), "links")
     label = components(near)
     # Second round: what is still apart.
     labelled = postings.join(label, F.col("r") == F.col("node"), "left").select(
         "token", "r", "n", "most", F.coalesce("component", "r").alias("comp")
     )
-    links = keep(near.union(verified(crossing(labelled, percent, block), entries, percent)), "links")
+    links = keep(near.union(linked(crossing(labelled, percent, block))), "links")
+    # Executors keep a broadcast on their disks; it is not needed any more.
+    seen.destroy()
     # Back to rows: a component is named by the least row of its classes.
     label = components(links)
     member = names.join(label, F.col("r") == F.col("node"), "left").select(F.struct("_id", "_h").alias("rep"), F.coalesce("component", "r").alias("c"))
